@@ -1,0 +1,49 @@
+"""Cutting text where a byte-level pre-tokenizer always cuts, and a bounded cache.
+
+A pre-token holds white space only at its start (one space) or consists of it, so a text
+may be cut before every space that follows a visible character: each piece is then
+tokenized the same alone as in its text.
+"""
+
+from __future__ import annotations
+
+import re
+
+_CUT = re.compile(r"(?<=\S) ")
+_RUN = re.compile(r"\s ")
+
+
+def segments(text: str) -> list[str]:
+    """Pieces of ``text``, each but the first with its leading space."""
+    if " " not in text:
+        return [text] if text else []
+    if text[0] != " " and not _RUN.search(text):
+        head, *rest = text.split(" ")
+    else:
+        head, *rest = _CUT.split(text)
+    out = [" " + x for x in rest]
+    return [head, *out] if head else out
+
+
+class Cache:
+    """A dictionary of at most two generations of ``size`` entries; used entries survive."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> set:
+        """Those of ``keys`` in neither generation; the others are in ``young`` afterwards."""
+        absent = set()
+        young, old = self.young, self.old
+        for k in set(keys) - young.keys():
+            v = old.get(k)
+            if v is None:
+                absent.add(k)
+            else:
+                young[k] = v
+        return absent
+
+    def turn(self) -> None:
+        """Drop what has not been used lately; call between documents."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
