@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, licences, secrets, sharding, token_files
 from .staging import new_folder
 
 
@@ -30,6 +30,48 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder, with_ids=False)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text by kind and place, with those that ownership adds."""
+    found = secrets.scan_secrets(documents(spark, sf_dir).select("doc_id", "text", "source"), carry=("doc_id",))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    return found.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "owned")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        count("owned"),
+    )
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every text."""
+    found = licences.scan_licences(documents(spark, sf_dir).select("doc_id", "text"), carry=("doc_id",))
+    labels = lambda *columns: F.array_join(
+        F.array_sort(F.array_distinct(F.concat(*[F.transform(c, lambda m: m["label"]) for c in columns]))), ","
+    )
+    starts = F.transform("base", lambda m: m["word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("base", "templates").alias("labels"),
+        "score",
+    )
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 and place in it."""
+    return sharding.assign_shards(documents(spark, sf_dir), 40)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of both."""
     path = tokenizer_path()
@@ -45,7 +87,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function."""
-    return {f.__name__: f for f in (op1_token_files, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op2_secrets, op4_licences, op7_sharding, op9_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
