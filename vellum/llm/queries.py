@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licences, secrets, sharding, token_files
+from . import bpe, decontaminate, language, licences, secrets, sharding, token_files
 from .staging import new_folder
 
 
@@ -67,6 +67,14 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the rows."""
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.select("doc_id", "text", "lang"))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "shares")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 40 and place in it."""
     return sharding.assign_shards(documents(spark, sf_dir), 40)
@@ -85,9 +93,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, with the item and where it stands."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function."""
-    return {f.__name__: f for f in (op1_token_files, op2_secrets, op4_licences, op7_sharding, op9_bpe)}
+    return {f.__name__: f for f in (op1_token_files, op2_secrets, op4_licences, op6_language, op7_sharding, op9_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
