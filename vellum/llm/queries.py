@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licences, secrets, sharding, token_files
+from . import bpe, decontaminate, language, licences, near_dedup, secrets, sharding, token_files
 from .staging import new_folder
 
 
@@ -48,6 +48,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class under links of similarity 0.85."""
+    found = near_dedup.near_duplicates(documents(spark, sf_dir), shingle=5, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and templates of every text."""
     found = licences.scan_licences(documents(spark, sf_dir).select("doc_id", "text"), carry=("doc_id",))
@@ -100,7 +106,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function."""
-    return {f.__name__: f for f in (op1_token_files, op2_secrets, op4_licences, op6_language, op7_sharding, op9_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op6_language, op7_sharding, op9_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
