@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licences, near_dedup, secrets, sharding, token_files
+from . import bpe, decontaminate, language, licences, near_dedup, secrets, sharding, substrings, token_files
 from .staging import new_folder
 
 
@@ -86,6 +86,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 40)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text that lie in windows of 35 words which recur."""
+    found = substrings.find_repeats(documents(spark, sf_dir), window=35)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of both."""
     path = tokenizer_path()
@@ -106,7 +112,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function."""
-    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op6_language, op7_sharding, op9_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op6_language, op7_sharding, op8_substrings, op9_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
