@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licences, near_dedup, secrets, sharding, substrings, token_files
+from . import bpe, decontaminate, embeddings, language, licences, near_dedup, secrets, sharding, substrings, token_files
 from .staging import new_folder
 
 
@@ -73,6 +73,11 @@ def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and class under cosine 0.98 among equal labels."""
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.98)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from three quarters of the rows."""
     docs = documents(spark, sf_dir)
@@ -112,7 +117,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function."""
-    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op6_language, op7_sharding, op8_substrings, op9_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op5_embeddings, op6_language, op7_sharding, op8_substrings, op9_bpe, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
