@@ -1,6 +1,88 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids: five stages, each over all rows its predecessor kept.
+
+1. ``language``: rows whose text has no letter, or whose best language has under half of
+   the words, go.
+2. ``near_dedup``: one row of each class of near copies stays (five words, Jaccard 0.8).
+3. ``decontaminate``: rows that hold a benchmark item, whole or edited, go.
+4. ``secrets``: rows stay; what is found in their texts is replaced by a mark, and
+   ``n_chars`` follows.
+5. ``bpe``: rows become token ids; the digest of what they decode to comes along.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of its input, the last its own.
+Null ids, texts, languages and sources pass through every stage; a null text is dropped by
+the first.  An empty table stays empty.
+"""
+
 from __future__ import annotations
-STAGES: list = []
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.llm import bpe, decontaminate, language, near_dedup, secrets
+from vellum.llm.queries import tokenizer_path
+from vellum.llm.staging import stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is clear."""
+    columns = docs.columns
+    model = language.fit(docs)
+    # an input column called like a result of the operator is set aside meanwhile
+    aside = {c: f"__in_{c}" for c in columns if c.lower() in ("lang_pred", "score", "shares")}
+    found = language.predict(docs.withColumnsRenamed(aside), model)
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).drop("lang_pred", "score", "shares")
+    return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class."""
+    return near_dedup.keep_one(docs, shingle=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no test item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, secrets in their texts replaced."""
+    columns = docs.columns
+    aside = {c: f"__in_{c}" for c in columns if c.lower() == "spans"}
+    found = secrets.scan_secrets(docs.withColumnsRenamed(aside))
+    changed = F.size("spans") > 0
+    if "n_chars" in columns:
+        found = found.withColumn("__changed", changed)
+    out = secrets.redact(found)
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("__changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and the digest of the decoded text."""
+    path = tokenizer_path()
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
+    both = bpe.decode(ids, path)
+    digest = F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", digest)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_benchmark),
+    ("secrets", hide_secrets),
+    ("bpe", encode),
+]
+
+#: SQL can't express the language model; tests hold the stages against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

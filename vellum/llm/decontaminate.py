@@ -157,7 +157,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, reach: int
     """One row a document and item that it holds: key, item_id, score (0 to 1), first_word, last_word."""
     spark = docs.sparkSession
     out = None
-    block: list[tuple[int, str | None]] = []
 
     def search(rows: list[tuple[int, str | None]]) -> DataFrame:
         items = Items(rows, gram)
@@ -179,13 +178,45 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, reach: int
 
         return docs.select(key, text).mapInArrow(run, schema)
 
+    for rows in _blocks(benchmark):
+        out = search(rows) if out is None else out.unionByName(search(rows))
+    return out if out is not None else search([])
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, reach: int = 5, least: float = 0.6, text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a test item; rows are judged where they are read, without a join."""
+    out = docs
+    for rows in _blocks(benchmark):
+        out = _clean(out, docs, rows, gram, reach, least, text)
+    return out
+
+
+def _clean(out: DataFrame, docs: DataFrame, rows: list, gram: int, reach: int, least: float, text: str) -> DataFrame:
+    items = Items(rows, gram)
+    seeds = items.seeds(count_grams(docs, items, text), reach)
+    shared = docs.sparkSession.sparkContext.broadcast((items, dict(seeds), _Lookup(seeds), items.lengths()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                good = np.ones(batch.num_rows, bool)
+                for k, *_ in _leaks([normal(t) for t in batch.column(text).to_pylist()], *shared.value, least):
+                    good[k] = False
+                yield batch.filter(pa.array(good))
+
+    return out.mapInArrow(run, docs.schema)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks of a fixed number."""
+    block: list[tuple[int, str | None]] = []
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         block.append((r[0], r[1]))
         if len(block) == BLOCK_ITEMS:
-            out, block = search(block) if out is None else out.unionByName(search(block)), []
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out
+            yield block
+            block = []
+    if block:
+        yield block
 
 
 def _leaks(texts: list[bytes], items: Items, seeds: dict, lookup: _Lookup, lengths: list[int], least: float) -> Iterator[tuple]:
