@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,3 +60,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that would clash with ``names``, whatever their case."""
     gone = {n.lower() for n in names}
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in gone])
+
+
+#: Rows of a few numbers that are small enough to be sent to every executor.
+SENDABLE = 1_000_000
+
+
+def sendable(keys: DataFrame) -> DataFrame:
+    """``keys`` (narrow rows) marked for broadcast if they are counted to be few, else for a sort-merge join."""
+    return F.broadcast(keys) if keys.count() <= SENDABLE else keys.hint("merge")
