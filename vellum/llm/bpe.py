@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +27,9 @@ from pyspark.sql import types as T
 
 from .batches import slices, with_columns
 from .bpe_automaton import MergeAutomaton
-from .segments import Cache, segments
+from .segments import PRE_TOKEN, Cache, segments, whole
 from .staging import without
 
-#: Pre-tokens of byte-level vocabularies of this kind: fixed by the tokenizer file's format.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 class Codec:
     """Texts to ids and back, with one automaton and one cache of words."""
@@ -50,38 +48,40 @@ class Codec:
         self.words = Cache(cache_size)
         self.pre_token = regex.compile(PRE_TOKEN)
 
-    def pieces(self, text: str) -> list[str]:
-        """Segments of a text; special tokens stand alone."""
+    def pieces(self, text: str) -> list:
+        """Segments of a text; special tokens stand alone, as tuples of two."""
         if self.cut is None or not any(s in text for s in self.special):
             return segments(text)
-        out: list[str] = []
+        out: list = []
         for k, part in enumerate(self.cut.split(text)):
-            out += [part] if k % 2 else segments(part)
+            out += [(part, "special")] if k % 2 else segments(part)
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [self.pieces(t) for t in texts]
         self.words.turn()
-        self._learn({p for x in split for p in x})
+        self._learn(set().union(*split))
         get = self.words.young.__getitem__
         return [np.frombuffer(b"".join(map(get, x)), self.dtype) for x in split]
 
-    def _learn(self, wanted: set[str]) -> None:
-        """Put what is not yet in the cache there."""
+    def _learn(self, wanted: set) -> None:
+        """Put what is not yet in the cache there; pre-tokens are kept as tuples of one."""
         young, pack = self.words.young, self.dtype.type
         absent = self.words.missing(wanted)
-        for s in absent & self.special.keys():
-            young[s] = np.array([self.special[s]], pack).tobytes()
-        absent -= self.special.keys()
         find = self.pre_token.findall
-        parts = {s: find(s) for s in absent}
-        new = list(self.words.missing({w for x in parts.values() for w in x}))
-        for w, ids in zip(new, self.automaton.encode_words([w.encode() for w in new]), strict=True):
-            young[w] = np.array(ids, pack).tobytes()
-        for s, x in parts.items():
-            if len(x) != 1:
-                young[s] = b"".join([young[w] for w in x])
+        parts = {}
+        for p in absent:
+            if type(p) is tuple and len(p) == 2:
+                young[p] = np.array([self.special[p[0]]], pack).tobytes()
+            else:
+                parts[p] = find(whole(p))
+        new = list(self.words.missing({(w,) for x in parts.values() for w in x}))
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        for w, ids in zip(new, self.automaton.encode_words([w[0].encode() for w in new]), strict=True):
+            young[w] = array(code, ids).tobytes()
+        for p, x in parts.items():
+            young[p] = b"".join([young[w,] for w in x])
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids, special tokens included."""

@@ -9,20 +9,26 @@ from __future__ import annotations
 
 import re
 
+#: Pre-tokens of byte-level vocabularies of this kind: fixed by the tokenizer file's format.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _CUT = re.compile(r"(?<=\S) ")
 _RUN = re.compile(r"\s ")
 
 
-def segments(text: str) -> list[str]:
-    """Pieces of ``text``, each but the first with its leading space."""
-    if " " not in text:
-        return [text] if text else []
-    if text[0] != " " and not _RUN.search(text):
-        head, *rest = text.split(" ")
+def segments(text: str) -> list:
+    """Pieces of ``text``: the first as a tuple of one, each other one without its leading space."""
+    if text[:1] != " " and not _RUN.search(text):
+        out: list = text.split(" ")
     else:
-        head, *rest = _CUT.split(text)
-    out = [" " + x for x in rest]
-    return [head, *out] if head else out
+        out = _CUT.split(text)
+    out[0] = (out[0],)
+    return out
+
+
+def whole(piece) -> str:
+    """The text of a piece, with its leading space if it has one."""
+    return piece[0] if type(piece) is tuple else " " + piece
 
 
 class Cache:
@@ -31,19 +37,15 @@ class Cache:
     def __init__(self, size: int) -> None:
         self.size, self.young, self.old = size, {}, {}
 
-    def missing(self, keys) -> set:
+    def missing(self, keys: set) -> set:
         """Those of ``keys`` in neither generation; the others are in ``young`` afterwards."""
-        absent = set()
-        young, old = self.young, self.old
-        for k in set(keys) - young.keys():
-            v = old.get(k)
-            if v is None:
-                absent.add(k)
-            else:
-                young[k] = v
-        return absent
+        absent = keys.difference(self.young)
+        known = absent.intersection(self.old)
+        for k in known:
+            self.young[k] = self.old[k]
+        return absent - known
 
     def turn(self) -> None:
-        """Drop what has not been used lately; call between documents."""
+        """Drop what has not been used lately; call between batches."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}

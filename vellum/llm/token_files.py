@@ -25,8 +25,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import slices
-from .segments import Cache, segments
+from .segments import Cache, segments, whole
 from .staging import local_path
 
+_MARKS = frozenset(".,;:!?")
 NULL_ID = np.iinfo(np.int64).min
-_PUNCTUATED = re.compile(r"( ?[^\W\d_]+)([.,;:!?|]+)")
 
 
 class LibraryEncoder:
@@ -52,7 +52,7 @@ class LibraryEncoder:
     other tokenizer whole texts are passed on.
     """
 
-    def __init__(self, path: str, cache_size: int = 300_000) -> None:
+    def __init__(self, path: str, cache_size: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,16 +79,18 @@ class LibraryEncoder:
         split = [segments(t) for t in texts]
         self.words.turn()
         young = self.words.young
-        absent = self.words.missing({p for x in split for p in x})
-        cut = {s: m.groups() for s in absent if (m := _PUNCTUATED.fullmatch(s))}  # letters, then marks: two pre-tokens
-        ask = list((absent - cut.keys()) | self.words.missing({w for x in cut.values() for w in x}))
-        young.update(zip(ask, self._ask(ask, dtype), strict=True))
-        for s, (a, b) in cut.items():
-            young[s] = young[a] + young[b]
+        absent = self.words.missing(set().union(*split))
+        # Letters, then one mark: two pre-tokens, and the letters are likely to be known.
+        cut = {p: p[:-1] for p in absent if type(p) is str and p[-1:] in _MARKS and p[:-1].isalpha()}
+        ask = list((absent - cut.keys()) | self.words.missing(set(cut.values())) | self.words.missing({(p[-1],) for p in cut}))
+        young.update(zip(ask, self._ask(list(map(whole, ask)), dtype), strict=True))
+        for p, letters in cut.items():
+            young[p] = young[letters] + young[p[-1],]
         return [b"".join(map(young.__getitem__, x)) for x in split]
 
     def _ask(self, texts: list[str], dtype: np.dtype) -> list[bytes]:
-        return [np.array(e.ids, dtype).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if dtype.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=1)
