@@ -1,8 +1,9 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 10).
 
 Every document is read twice.  First, the n-grams of the test items are counted over the
-whole corpus.  From each stretch of ``reach`` consecutive n-grams of an item the rarest
-becomes a seed, so every part of every item has one however often the item was copied.
+whole corpus.  From each stretch of ``reach`` consecutive n-grams of an item those become seeds
+that are rare beside the others there, so every part of every item that occurs has one,
+however often the item was copied, and common phrases have none.
 Second, seeds join documents to items; each document and item with a seed in common are
 aligned by words (Smith-Waterman with linear gap costs) around the seed, and the score is
 the alignment's part of the score of a whole copy.  Copies with replaced, added or lost
@@ -35,6 +36,8 @@ from .textunits import ALNUM, gram_hashes, inside, word_hashes
 
 #: Scores of the alignment, in words.
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: An n-gram is a seed if it is at most so many times as frequent as the rarest beside it.
+COMMON = 4
 #: Items whose words are held by every task at a time.
 BLOCK_ITEMS = 20_000
 
@@ -93,12 +96,16 @@ class Items:
         return sorted({min(self.gram, len(self.words(k))) for k in range(len(self.ids)) if len(self.words(k))})
 
     def seeds(self, counts: dict[int, int], reach: int) -> dict[int, list[tuple[int, int]]]:
-        """Hash to (item, position): in each window of ``reach`` n-grams the rarest one."""
+        """Hash to (item, position): in each window of ``reach`` n-grams the rarest that occur."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, grams in enumerate(self.grams):
             n, near = len(grams), min(reach, len(grams))
-            rank = np.array([counts.get(g, 0) for g in grams.tolist()], np.int64)
-            chosen = {w + int(rank[w : w + near].argmin()) for w in range(n - near + 1)} if n else set()
+            count = np.array([counts.get(g, 0) for g in grams.tolist()], np.int64)
+            chosen: set[int] = set()
+            for w in range(n - near + 1 if n else 0):
+                part = count[w : w + near]
+                if part.any():  # what no document holds finds nothing
+                    chosen.update((w + np.flatnonzero((part > 0) & (part <= COMMON * part[part > 0].min()))).tolist())
             for p in sorted(chosen):
                 out[int(grams[p])].append((k, p))
         return out
