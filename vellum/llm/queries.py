@@ -120,6 +120,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op5_embeddings, op6_language, op7_sharding, op8_substrings, op9_bpe, op10_decontaminate)}
 
 
+_WORDS = "'[^\\x20\\x09-\\x0D]+'"
+_CLASSES = """reach as (select r as a, r as b from d union select reach.a, e.y from reach join e on reach.b = e.x),
+least as (select a as r, min(doc_id) as c from reach join d on d.r = reach.b group by a)"""
+
+_OP3 = f"""with recursive d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) ws from documents),
+s as (select distinct r, case when len(ws) < 5 then len(ws) || '|' || array_to_string(ws, ' ') else array_to_string(ws[i:i + 4], ' ') end g from d, unnest(range(1, greatest(len(ws) - 3, 2))) t(i) where len(ws) > 0),
+n as (select r, count(*) n from s group by r),
+p as (select x.r a, y.r b, count(*) both_ from s x join s y on x.g = y.g and x.r < y.r group by all),
+l as (select a, b from p join n na on na.r = a join n nb on nb.r = b where 100 * both_ >= 85 * (na.n + nb.n - both_)),
+e as (select a x, b y from l union all select b, a from l),
+{_CLASSES}
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept from d left join n using (r) join least using (r)"""
+
+_OP5 = f"""with recursive d as (select row_number() over () r, vec_id as doc_id, label, embedding::double[] v from embeddings),
+l as (select x.r a, y.r b from d x join d y on x.label = y.label and x.r < y.r where list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.98),
+e as (select a x, b y from l union all select b, a from l),
+{_CLASSES}
+select doc_id as vec_id, (select count(*) from e where e.x = d.r)::bigint as n_links, c as component_id, doc_id = c as kept from d join least using (r)"""
+
+_OP8 = f"""with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) ws from documents),
+w as (select r, i, array_to_string(ws[i:i + 34], ' ') g from d, unnest(range(1, len(ws) - 33)) t(i)),
+again as (select g from w group by g having count(*) > 1),
+gone as (select distinct r, i + k as i from (select r, i from w join again using (g)), unnest(range(0, 35)) t(k)),
+x as (select d.r, u.i, d.ws[u.i] word from d, unnest(range(1, len(ws) + 1)) u(i)),
+k as (select x.r, count(g.i) removed, string_agg(word, ' ' order by x.i) filter (g.i is null) kept from x left join gone g on g.r = x.r and g.i = x.i group by x.r)
+select doc_id, len(ws)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL where it can express a query."""
-    return {}
+    """DuckDB SQL where it can express a query; the small scales are within its reach."""
+    return {"op3_near_dedup": _OP3, "op5_embeddings": _OP5, "op8_substrings": _OP8}
