@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each over all rows its predecessor kept.
 
-1. ``language``: rows whose text has no letter, or whose best language has under half of
-   the words, go.
+1. ``language``: rows whose text has no letter, or in which no language is clear (the best
+   has under 35 per cent), go; texts in two languages stay.
 2. ``near_dedup``: one row of each class of near copies stays (five words, Jaccard 0.8).
 3. ``decontaminate``: rows that hold a benchmark item, whole or edited, go.
 4. ``secrets``: rows stay; what is found in their texts is replaced by a mark, and
@@ -23,6 +23,10 @@ from vellum.llm.queries import tokenizer_path
 from vellum.llm.staging import stage
 
 
+#: Part of a text that its best language needs.
+LEAST_CLEAR = 0.35
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is clear."""
     columns = docs.columns
@@ -30,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # an input column called like a result of the operator is set aside meanwhile
     aside = {c: f"__in_{c}" for c in columns if c.lower() in ("lang_pred", "score", "shares")}
     found = language.predict(docs.withColumnsRenamed(aside), model)
-    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).drop("lang_pred", "score", "shares")
+    kept = found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_CLEAR)).drop("lang_pred", "score", "shares")
     return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(columns)
 
 
@@ -61,9 +65,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the digest of the decoded text."""
-    path = tokenizer_path()
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text")
-    both = bpe.decode(ids, path)
+    both = bpe.recode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
     digest = F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", digest)
 

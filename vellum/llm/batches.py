@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: What an operator keeps between the tasks of a Python worker, by name: how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def sole(name: str, forget: Callable[[], None] | None = None) -> None:
+    """From now on this worker serves the operator ``name``: what others keep in it is dropped."""
+    others = [k for k in _kept if k != name]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        gc.collect()
+    if forget:
+        _kept[name] = forget
+
+
 #: Python objects are made for this many bytes of text at a time, whatever a batch holds.
 SLICE_BYTES = 4 << 20
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import slices, with_columns
+from .batches import slices, sole, with_columns
 from .bpe_automaton import MergeAutomaton
 from .segments import PRE_TOKEN, Cache, segments, whole
 from .staging import without
@@ -100,6 +100,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
     keep = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("bpe", codec.cache_clear)
         tool = codec(tokenizer)
         for whole in batches:
             for batch in slices(whole, text):
@@ -117,6 +118,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
     keep = base.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("bpe", codec.cache_clear)
         tool = codec(tokenizer)
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
@@ -125,3 +127,23 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
                 yield with_columns(batch, keep, {decoded: pa.array(texts, pa.string())})
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(decoded, T.StringType())]))
+
+
+def recode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass, so that a task has one Python worker and one automaton."""
+    base = without(df, ids, decoded)
+    keep = base.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("bpe", codec.cache_clear)
+        tool = codec(tokenizer)
+        for whole in batches:
+            for batch in slices(whole, text, 1 << 20):
+                found = tool.encode([t or "" for t in batch.column(text).to_pylist()])
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = np.concatenate(found).astype(np.int32)
+                back = pa.array([tool.decode(x.tolist()) for x in found], pa.string())
+                yield with_columns(batch, keep, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), decoded: back})
+
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, *new]))

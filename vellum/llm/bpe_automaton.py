@@ -92,8 +92,8 @@ class MergeAutomaton:
         self._gadgets([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges if a + b in vocab], len(base))
         live = [i for i in range(size) if self.after[i] >= 0 and self.labels[i]]
         self._trie(live)
-        self.memo_keys = np.full(1 << 21, -1, np.int64)
-        self.memo = np.zeros(1 << 21, bool)
+        self.memo_keys = np.full(1 << 20, -1, np.int64)
+        self.memo = np.zeros(1 << 20, bool)
 
     @classmethod
     def from_file(cls, path: str) -> MergeAutomaton:
@@ -137,7 +137,6 @@ class MergeAutomaton:
             removed[q * size + v] = rank
         self.after, self.left, self.token_birth = (np.array(x, np.int32) for x in (after, left, birth))
         self.parent, self.state_birth = np.array(parent, np.int32), np.array(state_birth, np.int32)
-        self.removed_at = removed
         self.removed = _Table(np.fromiter(removed, np.int64, len(removed)), np.fromiter(removed.values(), np.int32, len(removed)))
 
     def _trie(self, live: list[int]) -> None:
@@ -161,7 +160,7 @@ class MergeAutomaton:
     def allowed(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Whether each state has a transition on each token; recent answers are kept."""
         keys = states.astype(np.int64) * self.size + tokens
-        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
         known = self.memo_keys[slot] == keys
         out = self.memo[slot]
         if not known.all():

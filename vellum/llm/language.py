@@ -35,15 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import slices, with_columns
+from .batches import slices, sole, with_columns
 from .staging import without
 
 #: Bounds of the training sample.
 PER_LANGUAGE, MAX_CHARS, CHAINS = 150, 20_000, 4000
 #: Size of the model.
 BUCKETS, LEXICON, ORDERS = 1 << 16, 20_000, (1, 2, 3, 4, 5)
-#: Words in a chain.
-CHAIN = 128
+#: Words in a chain; words whose scores a worker remembers.
+CHAIN, WORDS_HELD = 128, 150_000
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -140,12 +140,13 @@ class Model:
 
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Label distributions of the words of each text."""
-        if len(self.rows) > 300_000:
+        if len(self.rows) > WORDS_HELD:
             self._forget()
         new = list({w for t in texts for w in t} - self.rows.keys())
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.scores = np.concatenate([self.scores, self.word_scores(new)])
+            parts = [self.word_scores(new[a : a + 8192]) for a in range(0, len(new), 8192)]
+            self.scores = np.concatenate([self.scores, *parts])
         ids = np.fromiter((self.rows[w] for t in texts for w in t), np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         offsets = np.cumsum([0, *sizes])
@@ -154,8 +155,8 @@ class Model:
         lengths = np.minimum(CHAIN, ends - firsts)
         out = np.zeros((len(ids), len(self.languages)), np.float32)
         order = np.argsort(-lengths, kind="stable")
-        for a in range(0, len(order), 4096):
-            rows = order[a : a + 4096]
+        for a in range(0, len(order), 2048):
+            rows = order[a : a + 2048]
             n = lengths[rows]
             at = firsts[rows][:, None] + np.arange(n[0])
             real = np.arange(n[0]) < n[:, None]
@@ -248,9 +249,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.ArrayType(share))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("language")
         model = shared.value
         for whole in batches:
-            for batch in slices(whole, text, 1 << 20):
+            for batch in slices(whole, text, 1 << 19):
                 words = [words_of(t) for t in batch.column(text).to_pylist()] if model.languages else [[]] * batch.num_rows
                 langs, scores, shares = [], [], []
                 for found in model.marginals(words) if model.languages else [np.zeros((0, 0))] * batch.num_rows:

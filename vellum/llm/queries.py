@@ -99,9 +99,7 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text; digests of both."""
-    path = tokenizer_path()
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text")
-    both = bpe.decode(ids, path)
+    both = bpe.recode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

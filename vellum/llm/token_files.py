@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import slices, sole
 from .segments import Cache, segments, whole
 from .staging import local_path
 
@@ -115,6 +115,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("token_files", encoder.cache_clear)
         tool, task = encoder(tokenizer), TaskContext.get()
         dtype = np.dtype("<u2" if max(tool.size - 1, end_id) < 1 << 16 else "<u4")
         end = np.array([end_id], dtype).tobytes()
