@@ -132,6 +132,35 @@ def test_near_dedup_large_clusters(spark, monkeypatch):
     assert sum(r.representative for r in found.values()) == 41
 
 
+def test_near_dedup_stars_and_boilerplate(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 4)
+    rng = np.random.default_rng(3)
+    hub = [f"w{i}" for i in range(300)]
+    texts = [list(hub)]
+    for i in range(150):  # linked through the hub only
+        words = list(hub)
+        for p in rng.choice(60, 6, replace=False):
+            words[p * 5 + 2] = f"e{i}x{p}"
+        texts.append(words)
+    for i in range(100):  # a common part, and pairs that are linked with nothing else
+        words = [*(f"b{j}" for j in range(250)), *(f"pair{i}x{j}" for j in range(8))]
+        texts += [[*words, *(f"own{i}x{k}x{j}" for j in range(24))] for k in (0, 1)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    _, roots = jaccard_classes(rows, 80)
+    least = {r: min(i for i, x in enumerate(roots) if x == r) for r in set(roots)}
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: least[r] for i, r in enumerate(roots)} and len(least) == 101
+
+
+def test_crossing_pairs():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.choice(60, rng.integers(1, 60))).astype(np.uint64) for _ in range(150)] + [np.array([99], np.uint64)]
+    flat, bounds = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    left, right = np.arange(0, 70), np.arange(70, 151)
+    want = {(i, j) for i in left.tolist() for j in right.tolist() if 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))}
+    assert want and set(near_dedup.crossing_pairs(flat, bounds, left, right, 50)) == want
+
+
 def test_licences(spark, tables, docs):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     got = Q.op4_licences(spark, tables).collect()

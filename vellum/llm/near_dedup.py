@@ -8,12 +8,13 @@ each document's class under these links.
    it and ``COORDINATES`` minwise values.  Documents with equal sets become one.
 2. Path trees: in each of ``TREES`` independent trees a document goes to the node named by
    one minwise token.  Nodes of more than ``LEAF`` documents branch again, twice each, by
-   tokens chosen by the node; in small nodes all pairs are compared by their minwise
-   values.  Pairs that might be linked put documents into clusters (components), so a
+   tokens chosen by the node, and again; in small nodes all pairs are compared by their
+   minwise values, and what is in a large node still is put into one cluster unseen.  Pairs that might be linked put documents into clusters (components), so a
    document's text is needed once, whatever the number of trees.
-3. Clusters are compared exhaustively on full sets.  A cluster that is too large for that
-   is branched by path trees of its own until its parts are small; besides, it is dealt
-   three times into random parts that have one member in common.
+3. Clusters are compared exhaustively on full sets.  A cluster that is too large for one
+   task is first branched by path trees of its own and dealt three times into random parts,
+   which finds most links.  Its members are then dealt into blocks, and every block is
+   compared with every other, but for members that are in one class already.
 4. Links that were confirmed give the components.
 
 Trees only emit a spanning forest of each node: a group of k copies costs k - 1 rows, not
@@ -22,9 +23,10 @@ split before they are gathered, and nothing but row counts reaches the driver.
 
 Recall: a pair of similarity s misses one tree with probability 1 - s; at 0.85 and 16 trees
 that is below 1e-12, and a pair whose minwise values understate it (fewer than ``ENOUGH`` of
-64 equal at 0.85) below 1e-5.  In very large clusters a pair has to stay together in one of
-``DEEP`` deeper trees; there classes hang together by many links, so a class is lost much
-more rarely than a link.
+64 equal at 0.85) below 1e-5.  Within a cluster of any size no link between two classes is
+missed, and a pair gets into one cluster whatever the size of its nodes: each tree brings
+it together with probability s (1 - (1 - s (1 - (1 - s)^2))^2), 0.76 at 0.8, so 16 miss it
+below 1e-9.
 
 Defined results: null, empty and blank texts have no set and are linked with nothing; a
 text of fewer than ``shingle`` words is one shingle; rows that repeat are in one class and
@@ -49,8 +51,8 @@ from .textunits import LOWER, gram_hashes, inside, mix, word_hashes
 COORDINATES, TREES, DEEP = 64, 16, 16
 #: Documents compared with each other at once; shingles, too, for more than a few documents.
 LEAF, LEAF_SHINGLES = 1024, 8_000_000
-#: Rounds of branching: one token each in the first two, then three at a time.
-DEPTH = 14
+#: Rounds of branching in the trees over all documents, and in those of a cluster: one token each in the first two, then three at a time.
+ROUNDS, DEPTH = 2, 14
 
 _odd = np.random.default_rng(5).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -246,13 +248,118 @@ def linked_pairs(sets: np.ndarray, bounds: np.ndarray, percent: int) -> Iterator
     yield from zip(i.tolist(), j.tolist(), strict=True)
 
 
-def _split(rows: DataFrame, values: DataFrame, node: str, small, times: int, name: str) -> DataFrame:
+def _common(sets: np.ndarray, bounds: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many shingles each of ``rows`` has in common with each of ``columns``."""
+    token, owner = [], []
+    for side in (rows, columns):
+        token.append(np.concatenate([sets[bounds[k] : bounds[k + 1]] for k in side]))
+        owner.append(np.repeat(np.arange(len(side)), bounds[side + 1] - bounds[side]))
+    both = np.intersect1d(*token)
+    counts = []
+    for k in (0, 1):
+        at = np.minimum(np.searchsorted(both, token[k]), max(0, len(both) - 1))
+        good = np.flatnonzero(both[at] == token[k]) if len(both) else at[:0]
+        order = good[np.argsort(at[good], kind="stable")]
+        token[k], owner[k] = at[order], owner[k][order]
+        counts.append(np.bincount(token[k], minlength=len(both)))
+    n, m = len(rows), len(columns)
+    common = np.zeros((n, m), np.int64)
+    # tokens of many documents by matrix products, the others pair by pair
+    hot = counts[0] * counts[1] > 4096
+    place = np.cumsum(hot) - 1
+    width = 4096
+    held = [(place[t[hot[t]]], o[hot[t]]) for t, o in zip(token, owner, strict=True)]
+    for a in range(0, int(hot.sum()), width):
+        part = []
+        for (t, o), size in zip(held, (n, m), strict=True):
+            lo, hi = np.searchsorted(t, (a, a + width))
+            part.append(np.zeros((size, width), np.float32))
+            part[-1][o[lo:hi], t[lo:hi] - a] = 1
+        common += np.rint(part[0] @ part[1].T).astype(np.int64)
+    cold = np.flatnonzero(~hot[token[0]])
+    begin, times = np.cumsum(counts[1]) - counts[1], counts[1][token[0][cold]]
+    cuts = np.searchsorted(np.cumsum(times), np.arange(0, int(times.sum()) + 1, 4 << 20), "left").tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(cold)], strict=True):
+        some, each = cold[a:b], times[a:b]
+        inner = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        other = owner[1][np.repeat(begin[token[0][some]], each) + inner]
+        common += np.bincount(np.repeat(owner[0][some], each) * m + other, minlength=n * m).reshape(n, m)
+    return common
+
+
+def crossing_pairs(sets: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a set of ``left`` and one of ``right`` with 100 * intersection >= percent * union, exactly."""
+    sizes = np.diff(bounds)
+    left, right = left[np.argsort(sizes[left], kind="stable")], right[np.argsort(sizes[right], kind="stable")]
+    same = np.array_equal(left, right)
+    for a in range(0, len(left), LEAF):
+        rows = left[a : a + LEAF]
+        for b in range(a if same else 0, len(right), LEAF):
+            columns = right[b : b + LEAF]
+            x, y = sizes[rows], sizes[columns]
+            if 100 * x[-1] < percent * y[0] or 100 * y[-1] < percent * x[0]:
+                continue  # no two sizes are near enough
+            both = _common(sets, bounds, rows, columns)
+            i, j = np.nonzero((100 * both >= percent * (x[:, None] + y[None, :] - both)) & (both > 0))
+            yield from zip(rows[i].tolist(), columns[j].tolist(), strict=True)
+
+
+def _by_blocks(text: str, shingle: int, percent: int):
+    """Work on two blocks of a cluster (or one): links by full sets between members of different classes."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, first = np.unique(table.column("rid").to_numpy(), return_index=True)
+        block, of = (table.column(c).to_numpy()[first] for c in ("block", "of"))
+        if (of == of[0]).all():
+            return
+        sets, bounds = shingle_sets(table.column(text).take(pa.array(first)).to_pylist(), shingle)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        pairs = ((i, j) for i, j in crossing_pairs(sets, bounds, left, right, percent) if of[i] != of[j])
+        yield from _edges(ids, _forest(len(ids), pairs))
+
+    return work
+
+
+def _blocks(big: DataFrame, classes_of: DataFrame) -> DataFrame:
+    """Members of large clusters in pairs of blocks: node, rid, block, of (the class so far).
+
+    The largest class of a cluster has blocks of its own, which are not compared with each
+    other; clusters that are one class already have no rows.
+    """
+    held = big.select("root", "rid", "n_shingles").join(classes_of.select(F.col("vertex").alias("rid"), F.col("root").alias("of")), "rid", "left")
+    held = stage(held.withColumn("of", F.coalesce("of", "rid")), "blocks")
+    classes = held.groupBy("root", "of").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    most = F.max(F.struct("n", "m", "of")).alias("most")
+    layout = classes.groupBy("root").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), most).filter("n > most.n")
+    parts = lambda n, m: F.greatest(F.ceil(n / (4 * LEAF)), F.ceil(m / (LEAF_SHINGLES // 2)))
+    layout = stage(
+        layout.select(
+            "root",
+            F.col("most.of").alias("main"),
+            parts(F.col("n") - F.col("most.n"), F.col("m") - F.col("most.m")).alias("rest"),
+            parts(F.col("most.n"), F.col("most.m")).alias("mains"),
+        ),
+        "layout",
+    )
+    rows = held.join(sendable(layout), "root")
+    inner = F.col("of") == F.col("main")
+    dealt = F.when(inner, F.col("rest") + F.pmod(F.xxhash64("rid"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rid"), F.col("rest")))
+    rows = rows.withColumn("block", dealt)
+    others = F.sequence(F.lit(0).cast("long"), F.when(inner, F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    rows = rows.select("root", "rid", "of", "block", F.explode(others).alias("other"))
+    node = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"), F.lit("block"))
+    return rows.select(node.alias("node"), "rid", "block", "of")
+
+
+def _split(rows: DataFrame, values: DataFrame, node: str, small, times: int, rounds: int, name: str) -> tuple[DataFrame, DataFrame | None]:
     """Branch nodes until ``small(count, shingles)`` holds for each; nodes with one document are dropped.
 
+    Also the rows of nodes that are still large after the last round, if there are any.
+
     ``rows`` are narrow (node, rid, n_shingles); minwise values are fetched for those that branch.
     """
     leaves = None
-    for depth in range(DEPTH):
+    for depth in range(rounds + 1):
         rows = stage(rows, name)
         counted = rows.groupBy(node).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m")).filter("n > 1")
         counted = stage(counted.withColumn("small", small(F.col("n"), F.col("m"))), f"{name}-counts")
@@ -260,14 +367,18 @@ def _split(rows: DataFrame, values: DataFrame, node: str, small, times: int, nam
         leaves = ready if leaves is None else leaves.unionByName(ready)
         large = counted.filter("not small").select(node)
         if large.isEmpty():
-            return leaves
+            return leaves, None
+        if depth == rounds:
+            return leaves, rows.join(large, node)
         branched = _branch(rows.join(large, node).join(values, "rid"), node, times if depth < 2 else 1, 1 if depth < 2 else 3)
         rows = branched.select(node, "rid", "n_shingles")
-    # What agrees on so many tokens is alike by any path: dealt into parts of the size of a leaf.
+
+
+def _dealt(rows: DataFrame, node: str) -> DataFrame:
+    """Large nodes in random parts of the size of a leaf."""
     sizes = rows.groupBy(node).agg(F.count("*").alias("n")).filter("n > 1")
     part = F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / LEAF))
-    parts = rows.join(sizes, node).withColumn(node, F.xxhash64(node, part)).drop("n")
-    return leaves.unionByName(parts)
+    return rows.join(sizes, node).withColumn(node, F.xxhash64(node, part)).drop("n")
 
 
 def _chunks(big: DataFrame, sized: DataFrame) -> DataFrame:
@@ -301,8 +412,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     shared = roots.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
     roots = roots.select("node", "rid", "n_shingles").join(shared.hint("merge"), "node")
     values = reps.select("rid", "values")
-    leaves = _split(roots, values, "node", lambda n, m: n <= LEAF, 2, "tree").select("node", "rid").join(values.hint("merge"), "rid")
-    maybe = components(_grouped(leaves.select("node", "rid", "values"), "node", "a long, b long", _by_values(enough(percent))))
+    leaves, alike = _split(roots, values, "node", lambda n, m: n <= LEAF, 2, ROUNDS, "tree")
+    leaves = leaves.select("node", "rid").join(values.hint("merge"), "rid")
+    guessed = _grouped(leaves.select("node", "rid", "values"), "node", "a long, b long", _by_values(enough(percent)))
+    if alike is not None:  # large nodes are compared as clusters
+        guessed = guessed.unionByName(alike.join(alike.groupBy("node").agg(F.min("rid").alias("b")), "node").select(F.col("rid").alias("a"), "b"))
+    maybe = components(guessed)
 
     # Clusters, small enough to be compared on full sets.
     members = reps.select("rid", "id", "th", "n_shingles", "values").join(maybe.withColumnRenamed("vertex", "rid"), "rid")
@@ -312,14 +427,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     whole = members.join(sized.filter(small(F.col("n"), F.col("m"))).select("root"), "root").select(F.xxhash64("root").alias("node"), "rid")
     big = members.join(sized.filter(~small(F.col("n"), F.col("m"))).select("root"), "root")
     deep = big.withColumn("tree", F.explode(F.array(*map(F.lit, range(DEEP))))).withColumn("node", F.xxhash64("root", "tree", F.lit("deep")))
-    deep = _split(_branch(deep, "node", 1).select("node", "rid", "n_shingles"), values, "node", small, 1, "deep")
+    deep, alike = _split(_branch(deep, "node", 1).select("node", "rid", "n_shingles"), values, "node", small, 1, DEPTH, "deep")
+    if alike is not None:
+        deep = deep.unionByName(_dealt(alike, "node"))
     wanted = whole.select("node", "rid").unionByName(deep.select("node", "rid"))
     wanted = wanted.unionByName(_chunks(big.select("root", "rid"), sized.filter(~small(F.col("n"), F.col("m")))))
     texts = base.select(F.col(key).cast("long").alias("id"), th.alias("th"), text)
     needed = members.select("rid", "id", "th")
     found = stage(texts.join(sendable(needed), [texts["id"].eqNullSafe(needed["id"]), texts["th"] == needed["th"]]).select("rid", text), "texts")
     compared = _grouped(wanted.join(found, "rid").select("node", "rid", text), "node", "a long, b long", _by_sets(text, shingle, percent))
-    classes_of = components(compared).withColumnRenamed("vertex", "rid")
+    classes_of = components(compared)
+    # The rest of each large cluster: all pairs of members that are not in one class yet.
+    open_ = stage(_blocks(big, classes_of), "pairs")
+    if not open_.isEmpty():
+        crossing = _grouped(open_.join(found, "rid").select("node", "rid", "block", "of", text), "node", "a long, b long", _by_blocks(text, shingle, percent))
+        classes_of = components(crossing.unionByName(classes_of.select(F.col("vertex").alias("a"), F.col("root").alias("b"))))
+    classes_of = classes_of.withColumnRenamed("vertex", "rid")
 
     rooted = reps.select("key1", "key2", "id", "rid").join(classes_of, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best")
