@@ -175,6 +175,22 @@ def test_licences(spark, tables, docs):
     assert by[10_021] == "cc-by,cc-by-nc,copyright,reserved" and by[10_022] == "gpl,gpl-3.0"
 
 
+def test_licences_of_long_and_mixed_files(spark):
+    from vellum.llm import licences
+
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+    mit = f"""MIT License. Copyright (c) 2020 A. {grant} and associated documentation files (the "Software"), to deal in the Software without
+    restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies,
+    subject to the following conditions: THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, INCLUDING THE WARRANTIES OF
+    MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    gpl = "Licensed under the GNU General Public License, version 3"
+    rows = [(1, mit), (2, f"{grant}. {bsd}. {gpl}."), (3, "nothing here")]
+    found = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(m.label, m.score) for m in found[1].templates} == {("mit", 1.0), ("no-warranty", 1.0)}
+    assert {(m.label, m.score) for m in found[2].templates if m.score == 1} == {("mit", 1.0), ("bsd", 1.0), ("gpl-3.0", 1.0)} and not found[3].templates
+
+
 def test_embeddings(spark, tables):
     rows = duckdb.sql(f"select vec_id, embedding, label from '{tables}/embeddings.parquet/*.parquet'").fetchall()
     good = [i for i, (_, v, label) in enumerate(rows) if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]

@@ -2,7 +2,7 @@
 
 The templates are indexed by word: a posting says in which template a word stands and
 where.  The document frequency of every indexed word is counted over the whole corpus.
-For each file its rarest indexed words are looked up; a posting and a place in the file
+For each file all its indexed words are looked up; a posting and a place in the file
 give a relative position, and postings that agree on it belong to one copy of the
 template.  A template counts if enough of its weight agrees on one position and one of its
 mandatory phrases stands in the file.
@@ -20,7 +20,7 @@ are called like an output column; words of any number and length are handled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .staging import stage, without
@@ -50,8 +50,8 @@ TEMPLATES = [
 ]
 #: Words too frequent in any text to be indexed.
 PLAIN = "a all and any are by for free in is of or or the this to under use with without work".split()
-#: A file is looked up by its rarest indexed words, so many of them; a copy needs this part of the weight they share with it.
-RAREST, AGREE = 8, 0.6
+#: A copy needs this part of the weight of its template's words.
+AGREE = 0.6
 
 
 def _index() -> list[tuple[str, int, int]]:
@@ -111,12 +111,9 @@ def scan_licences(docs: DataFrame, text: str = "text", carry: tuple[str, ...] |
     n_docs = scanned.count()
     frequency = places.groupBy("word").agg(F.count_distinct("__rid").alias("df"))  # at most one row an indexed word
     weight = F.broadcast(frequency.select("word", F.log((F.lit(n_docs) + 1) / F.col("df")).alias("idf")))
-    of_file = Window.partitionBy("__rid")
-    rarest = F.dense_rank().over(of_file.orderBy(F.desc("idf"), "word"))
     posted = F.broadcast(spark.createDataFrame(index, "word string, template int, position int").join(weight, "word", "left"))
-    rare = places.join(weight, "word").withColumn("rank", rarest).filter(F.col("rank") <= RAREST).drop("idf", "rank")
     aligned = (
-        rare.join(posted, "word")
+        places.join(posted, "word")
         .filter(F.array_contains("__sure", F.col("template")))
         .groupBy("__rid", "template", (F.col("at") - F.col("position")).alias("offset"))
         .agg(F.sum("idf").alias("weight"), F.min("at").alias("first"))
