@@ -284,6 +284,17 @@ def test_edited_copies_are_found(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3, 4]
 
 
+def test_edited_copies_beside_exact_ones(spark):
+    item = [f"item{i}" for i in range(24)]
+    edited = [w if i % 6 != 5 else "changed" for i, w in enumerate(item)]
+    rows = [(0, " ".join(item)), *((i, " ".join([*(f"filler{i}x{j}" for j in range(30)), *edited])) for i in range(1, 11)), (11, " ".join(item[:6] * 9))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == set(range(11)) and got[0] == 1.0
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [11]
+
+
 def test_word_hashes_over_blocks(monkeypatch):
     from vellum.llm import textunits
 

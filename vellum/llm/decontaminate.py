@@ -1,11 +1,9 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 10).
-
-Every document is read twice.  First, the n-grams of the test items are counted over the
-whole corpus.  From each stretch of ``reach`` consecutive n-grams of an item those become seeds
-that are rare beside the others there, so every part of every item that occurs has one,
-however often the item was copied, and common phrases have none.
-Second, seeds join documents to items; each document and item with a seed in common are
-aligned by words (Smith-Waterman with linear gap costs) around the seed, and the score is
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 10).
+
+Every n-gram of the test items is a seed, however often the corpus holds it.  Documents are
+read once; seeds join them to items.  Around the seed, a stretch of the document is aligned
+with the item by words (Smith-Waterman with linear gap costs) if it holds enough of the
+item's words for the score to be reached at all, a bound that loses nothing.  The score is
 the alignment's part of the score of a whole copy.  Copies with replaced, added or lost
 words keep seeds between the edits and a high score.
 
@@ -36,8 +34,6 @@ from .textunits import ALNUM, gram_hashes, inside, word_hashes
 
 #: Scores of the alignment, in words.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: An n-gram is a seed if it is at most so many times as frequent as the rarest beside it.
-COMMON = 4
 #: Items whose words are held by every task at a time.
 BLOCK_ITEMS = 20_000
 
@@ -95,19 +91,12 @@ class Items:
         """The n-gram lengths that occur."""
         return sorted({min(self.gram, len(self.words(k))) for k in range(len(self.ids)) if len(self.words(k))})
 
-    def seeds(self, counts: dict[int, int], reach: int) -> dict[int, list[tuple[int, int]]]:
-        """Hash to (item, position): in each window of ``reach`` n-grams the rarest that occur."""
+    def seeds(self) -> dict[int, list[tuple[int, int]]]:
+        """Hash to (item, position) of every n-gram."""
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, grams in enumerate(self.grams):
-            n, near = len(grams), min(reach, len(grams))
-            count = np.array([counts.get(g, 0) for g in grams.tolist()], np.int64)
-            chosen: set[int] = set()
-            for w in range(n - near + 1 if n else 0):
-                part = count[w : w + near]
-                if part.any():  # what no document holds finds nothing
-                    chosen.update((w + np.flatnonzero((part > 0) & (part <= COMMON * part[part > 0].min()))).tolist())
-            for p in sorted(chosen):
-                out[int(grams[p])].append((k, p))
+            for p, g in enumerate(grams.tolist()):
+                out[g].append((k, p))
         return out
 
 
@@ -140,34 +129,14 @@ def _hits(texts: list[bytes], lookup: _Lookup, lengths: list[int]) -> tuple[np.n
     return words, offsets, out
 
 
-def count_grams(docs: DataFrame, items: Items, text: str = "text") -> dict[int, int]:
-    """How many documents hold each n-gram of the block; at most one row an n-gram and task, summed by key."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((_Lookup(g for x in items.grams for g in x.tolist()), items.lengths()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, lengths = shared.value
-        counts: dict[int, int] = defaultdict(int)
-        for whole in batches:
-            for batch in slices(whole, text):
-                _, _, hits = _hits([normal(t) for t in batch.column(text).to_pylist()], lookup, lengths)
-                for _, h in {(k, h) for k, _, h in hits}:
-                    counts[h] += 1
-        keys = np.fromiter(counts, np.uint64, len(counts)).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(keys), "docs": pa.array(list(counts.values()), pa.int64())})
-
-    rows = docs.select(text).mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs")).collect()
-    return {r["gram"] & 0xFFFFFFFFFFFFFFFF: r["docs"] for r in rows}
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, reach: int = 5, least: float = 0.6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document and item that it holds: key, item_id, score (0 to 1), first_word, last_word."""
     spark = docs.sparkSession
     out = None
 
     def search(rows: list[tuple[int, str | None]]) -> DataFrame:
         items = Items(rows, gram)
-        seeds = items.seeds(count_grams(docs, items, text), reach)
+        seeds = items.seeds()
         shared = spark.sparkContext.broadcast((items, dict(seeds), _Lookup(seeds), items.lengths()))
         schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id long, score double, first_word long, last_word long"
 
@@ -190,17 +159,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, reach: int
     return out if out is not None else search([])
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, reach: int = 5, least: float = 0.6, text: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.6, text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a test item; rows are judged where they are read, without a join."""
     out = docs
     for rows in _blocks(benchmark):
-        out = _clean(out, docs, rows, gram, reach, least, text)
+        out = _clean(out, docs, rows, gram, least, text)
     return out
 
 
-def _clean(out: DataFrame, docs: DataFrame, rows: list, gram: int, reach: int, least: float, text: str) -> DataFrame:
+def _clean(out: DataFrame, docs: DataFrame, rows: list, gram: int, least: float, text: str) -> DataFrame:
     items = Items(rows, gram)
-    seeds = items.seeds(count_grams(docs, items, text), reach)
+    seeds = items.seeds()
     shared = docs.sparkSession.sparkContext.broadcast((items, dict(seeds), _Lookup(seeds), items.lengths()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,11 +209,13 @@ def _leaks(texts: list[bytes], items: Items, seeds: dict, lookup: _Lookup, lengt
         for s in sorted(starts):  # where the item would begin; neighbours share a stretch
             if s <= done:
                 continue
+            done = s + n // 4
             a, b = max(0, s - n // 2), min(len(text), s + 2 * n)
+            if np.isin(query, text[a:b]).sum() < least * n:
+                continue  # each word of the item matches once at most
             score, first, last = align(query, text[a:b])
             if score > best[0]:
                 best = (score, a + first, a + last)
-            done = s + n // 4
         part = best[0] / (MATCH * n)
         if part >= least:
             yield k, items.ids[item], part, best[1], best[2] - 1
