@@ -2,90 +2,109 @@
 
 ``encode`` adds the token ids of a text column, ``decode`` turns ids back into text.  The
 merges are compiled once a Python worker into a :class:`MergeAutomaton`; words are encoded
-by its tables and kept in a bounded cache, since words recur.
+by its tables, many side by side, and kept in a bounded table, since words recur.
 
 Defined results: a null text counts as empty and has no ids; null ids decode to an empty
 text; rows that repeat are encoded each; an empty table stays empty; every other column is
 kept, and an input column called like an output column gives way to it.  Texts of any
-length are encoded whole; memory follows the longest text, words over 48 bytes take a
-path of their own through the same tables.
+length are encoded whole; memory follows the longest text, words over ``WIDE`` bytes take a
+path of their own through the same tables.  A tokenizer file of another kind is refused.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .batches import slices, sole, with_columns
 from .bpe_automaton import MergeAutomaton
-from .segments import PRE_TOKEN, Cache, segments, whole
 from .staging import without
+from .units import PRE_TOKEN, UnitEncoder, buffers, spread, texts_of
+
+#: Bytes of text that are encoded at a time.
+TOGETHER = 2 << 20
 
 
 class Codec:
-    """Texts to ids and back, with one automaton and one cache of words."""
+    """Texts to ids and back, with one automaton and one table of units."""
 
-    def __init__(self, path: str, cache_size: int = 300_000) -> None:
+    def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
-            added = json.load(f).get("added_tokens") or []
+            spec = json.load(f)
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+        if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer") or odd:
+            raise ValueError(f"{path}: not a plain byte-level BPE tokenizer {odd}")
+        added = spec.get("added_tokens") or []
+        if any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in added):
+            raise ValueError(f"{path}: special tokens that take spaces are not supported")
         self.automaton = MergeAutomaton.from_file(path)
         self.special = {x["content"]: int(x["id"]) for x in added}
-        for text, i in self.special.items():  # they may lie above the vocabulary
-            if i >= len(self.automaton.labels):
-                self.automaton.labels += [b""] * (i + 1 - len(self.automaton.labels))
-            self.automaton.labels[i] = text.encode()
+        self.automaton.label({i: text.encode() for text, i in self.special.items()})
         self.dtype = np.dtype(np.uint16 if len(self.automaton.labels) <= 1 << 16 else np.uint32)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Cache(cache_size)
         self.pre_token = regex.compile(PRE_TOKEN)
-
-    def pieces(self, text: str) -> list:
-        """Segments of a text; special tokens stand alone, as tuples of two."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return segments(text)
-        out: list = []
-        for k, part in enumerate(self.cut.split(text)):
-            out += [(part, "special")] if k % 2 else segments(part)
-        return out
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [self.pieces(t) for t in texts]
-        self.words.turn()
-        self._learn(set().union(*split))
-        get = self.words.young.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), self.dtype) for x in split]
-
-    def _learn(self, wanted: set) -> None:
-        """Put what is not yet in the cache there; pre-tokens are kept as tuples of one."""
-        young, pack = self.words.young, self.dtype.type
-        absent = self.words.missing(wanted)
-        find = self.pre_token.findall
-        parts = {}
-        for p in absent:
-            if type(p) is tuple and len(p) == 2:
-                young[p] = np.array([self.special[p[0]]], pack).tobytes()
-            else:
-                parts[p] = find(whole(p))
-        new = list(self.words.missing({(w,) for x in parts.values() for w in x}))
-        code = "H" if self.dtype.itemsize == 2 else "I"
-        for w, ids in zip(new, self.automaton.encode_words([w[0].encode() for w in new]), strict=True):
-            young[w] = array(code, ids).tobytes()
-        for p, x in parts.items():
-            young[p] = b"".join([young[w,] for w in x])
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of the ids, special tokens included."""
-        return self.automaton.decode(ids).decode("utf-8", "replace")
+        self.units = UnitEncoder(self._learn, self.dtype, [x.encode() for x in self.special])
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units: their pre-tokens go through the automaton together."""
+        plain, rough = np.flatnonzero(single), np.flatnonzero(~single)
+        words: list[bytes] = []
+        parts: list[list[int]] = []  # of a rough unit: a word's number, or a special token's id less 1, negative
+        for unit in texts_of(data, starts[rough], sizes[rough]):
+            text, own = unit.decode("utf-8", "replace"), []
+            for k, piece in enumerate(self.cut.split(text) if self.cut else [text]):
+                if k % 2:
+                    own.append(-1 - self.special[piece])
+                else:
+                    found = self.pre_token.findall(piece)
+                    own += range(len(words), len(words) + len(found))
+                    words += [w.encode() for w in found]
+            parts.append(own)
+        held = np.concatenate((data[spread(starts[plain], sizes[plain])], np.frombuffer(b"".join(words), np.uint8)))
+        ids, counts = self.automaton.encode_flat(held, np.concatenate((sizes[plain], np.fromiter(map(len, words), np.int64, len(words)))))
+        if not len(rough):
+            return ids.astype(self.dtype), counts
+        ends = np.cumsum(counts)
+        n = len(plain)
+        out: list[np.ndarray] = []
+        for own in parts:
+            out.append(np.concatenate([[-1 - k] if k < 0 else ids[ends[n + k] - counts[n + k] : ends[n + k]] for k in own]) if own else ids[:0])
+        total = np.zeros(len(sizes), np.int64)
+        total[plain], total[rough] = counts[:n], [len(x) for x in out]
+        first = np.cumsum(total) - total
+        both = np.zeros(int(total.sum()), self.dtype)
+        both[spread(first[plain], counts[:n])] = ids[: int(counts[:n].sum())]
+        both[spread(first[rough], total[rough])] = np.concatenate(out)
+        return both, total
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a column, one after the other, and where each text's begin (and the end)."""
+        return self.units.encode(*buffers(column))
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of the ids between ``offsets``, special tokens included."""
+        data, ends = self.automaton.decode_flat(ids)
+        bounds = ends[offsets]
+        body = data.tobytes()
+        whole = bounds[-1] < 1 << 31 and not ((data[bounds[:-1][bounds[:-1] < len(data)]] & 0xC0) == 0x80).any()
+        if whole:
+            try:
+                body.decode("utf-8")
+            except UnicodeDecodeError:
+                whole = False
+        if whole:
+            return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body))
+        return pa.array([body[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
 
 @lru_cache(maxsize=1)
@@ -94,6 +113,10 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the token ids of ``text`` as an array of ints."""
     base = without(df, ids)
@@ -103,11 +126,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
         sole("bpe", codec.cache_clear)
         tool = codec(tokenizer)
         for whole in batches:
-            for batch in slices(whole, text):
-                found = tool.encode([t or "" for t in batch.column(text).to_pylist()])
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
-                yield with_columns(batch, keep, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+            for batch in slices(whole, text, TOGETHER):
+                yield with_columns(batch, keep, {ids: _lists(*tool.encode(batch.column(text)))})
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -123,8 +143,10 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                texts = [tool.decode(x or []) for x in batch.column(ids).to_pylist()]
-                yield with_columns(batch, keep, {decoded: pa.array(texts, pa.string())})
+                column = batch.column(ids)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                yield with_columns(batch, keep, {decoded: tool.decode(flat, np.cumsum([0, *sizes]))})
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(decoded, T.StringType())]))
 
@@ -138,12 +160,9 @@ def recode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
         sole("bpe", codec.cache_clear)
         tool = codec(tokenizer)
         for whole in batches:
-            for batch in slices(whole, text, 1 << 20):
-                found = tool.encode([t or "" for t in batch.column(text).to_pylist()])
-                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                flat = np.concatenate(found).astype(np.int32)
-                back = pa.array([tool.decode(x.tolist()) for x in found], pa.string())
-                yield with_columns(batch, keep, {ids: pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), decoded: back})
+            for batch in slices(whole, text, TOGETHER):
+                flat, offsets = tool.encode(batch.column(text))
+                yield with_columns(batch, keep, {ids: _lists(flat, offsets), decoded: tool.decode(flat, offsets)})
 
     new = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *new]))

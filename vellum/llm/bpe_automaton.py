@@ -22,11 +22,16 @@ left to right by table look-ups, without search.
 from __future__ import annotations
 
 import json
+from itertools import pairwise
 
 import numpy as np
 
+from .units import spread
+
 #: Words of more bytes than this go one by one through the same tables.
-WIDE = 48
+WIDE = 200
+#: Answers of the automaton that are kept: two to this power.
+MEMO = 21
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -92,8 +97,10 @@ class MergeAutomaton:
         self._gadgets([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges if a + b in vocab], len(base))
         live = [i for i in range(size) if self.after[i] >= 0 and self.labels[i]]
         self._trie(live)
-        self.memo_keys = np.full(1 << 20, -1, np.int64)
-        self.memo = np.zeros(1 << 20, bool)
+        self.widths = np.fromiter(map(len, self.labels), np.int64, size)
+        self.label({})
+        self.memo_keys = np.full(1 << MEMO, -1, np.int64)
+        self.memo = np.zeros(1 << MEMO, bool)
 
     @classmethod
     def from_file(cls, path: str) -> MergeAutomaton:
@@ -154,13 +161,22 @@ class MergeAutomaton:
                 node = child
             spelled[node] = i
         self.edges = edges
+        firsts = {edges[b] for b in range(256) if b in edges}
+        if len(firsts) < 256:
+            raise ValueError("a byte-level vocabulary has a token for every byte")
         self.edge = _Table(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges)))
         self.spelled = np.array(spelled, np.int32)
+        # the first two levels as plain tables
+        self.roots = np.array([edges.get(b, 0) for b in range(256)], np.int32)
+        self.pairs = np.full((int(self.roots.max()) + 1, 256), -1, np.int32)
+        for key, child in edges.items():
+            if key >= 256 and key >> 8 in firsts:
+                self.pairs[key >> 8, key & 255] = child
 
     def allowed(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Whether each state has a transition on each token; recent answers are kept."""
         keys = states.astype(np.int64) * self.size + tokens
-        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO)).astype(np.int64)
         known = self.memo_keys[slot] == keys
         out = self.memo[slot]
         if not known.all():
@@ -196,63 +212,91 @@ class MergeAutomaton:
         return out
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The tokens of each word; words are encoded side by side, position by position."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        out: list = [None] * len(words)
-        for i in np.flatnonzero(lengths > WIDE).tolist():
-            out[i] = self._encode_long(words[i])
-        order = np.argsort(lengths, kind="stable")
-        order = order[: np.searchsorted(lengths[order], WIDE, "right")]
-        for a in range(0, len(order), 16384):
-            part = order[a : a + 16384]
-            for i, ids in zip(part.tolist(), self._encode_block([words[i] for i in part.tolist()], lengths[part]), strict=True):
-                out[i] = ids
-        return out
+        """The tokens of each word."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ids, counts = self.encode_flat(np.frombuffer(b"".join(words), np.uint8), sizes)
+        ends = np.cumsum(counts)
+        return [ids[b - c : b].tolist() for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+    def encode_flat(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of words that follow each other in ``data``, and how many each has; words are encoded side by side."""
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        wide = np.flatnonzero(sizes > WIDE)
+        if not len(wide):
+            return self._encode_block(data, starts, sizes)
+        long = [self._encode_long(data[starts[k] : ends[k]].tobytes()) for k in wide.tolist()]
+        rest = np.flatnonzero(sizes <= WIDE)
+        ids, some = self._encode_block(data[spread(starts[rest], sizes[rest])], np.cumsum(sizes[rest]) - sizes[rest], sizes[rest])
+        counts = np.zeros(len(sizes), np.int64)
+        counts[rest], counts[wide] = some, [len(x) for x in long]
+        first = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.int32)
+        out[spread(first[rest], some)] = ids
+        for k, x in zip(wide.tolist(), long, strict=True):
+            out[first[k] : first[k] + len(x)] = x
+        return out, counts
 
-    def _encode_block(self, words: list[bytes], lengths: np.ndarray) -> list[list[int]]:
-        n, width = len(words), int(lengths.max(initial=0))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        text = np.zeros((width + 1, n), np.uint8)  # position first: each step reads one row
-        word = np.repeat(np.arange(n), lengths)
-        first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        text[np.arange(len(flat)) - first, word] = flat
-        state = np.zeros((width + 1, n), np.int32)
-        token = np.full((width + 1, n), -1, np.int32)
-        for i in range(width):
-            rows = np.flatnonzero(lengths > i)
-            here = state[i]
-            node = np.zeros(len(rows), np.int64)
-            j = i
-            while len(rows):
-                node = self.edge.get(node * 256 + text[j, rows]).astype(np.int64)
-                j += 1
-                keep = node >= 0
-                rows, node = rows[keep], node[keep]
-                found = self.spelled[node]
-                some = np.flatnonzero((found >= 0) & (token[j, rows] < 0))  # a position has one state: once found, no more is asked
-                if len(some):
-                    at, t = rows[some], found[some]
-                    ok = self.allowed(here[at], t)
-                    at, t = at[ok], t[ok]
-                    token[j, at] = t
-                    state[j, at] = self.after[t]
-                keep = lengths[rows] > j
-                rows, node = rows[keep], node[keep]
-        sizes = np.fromiter(map(len, self.labels), np.int64, self.size)
-        at, back = lengths.copy(), []
-        rows = np.flatnonzero(at > 0)
+    def _arcs(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every token that the bytes of a word spell anywhere: where it begins and ends, and which it is."""
+        stop = np.repeat(starts + sizes, sizes)
+        at = np.arange(len(data))
+        node = self.roots[data]
+        begin, end, token = [], [], []
+        depth = 1
+        while len(at):
+            found = self.spelled[node]
+            some = np.flatnonzero(found >= 0)
+            begin.append(at[some])
+            end.append(at[some] + depth)
+            token.append(found[some])
+            go = np.flatnonzero(at + depth < stop[at])
+            at, node = at[go], node[go]
+            after = data[at + depth]
+            node = self.pairs[node, after] if depth == 1 else self.edge.get(node.astype(np.int64) * 256 + after)
+            go = np.flatnonzero(node >= 0)
+            at, node = at[go], node[go]
+            depth += 1
+        return np.concatenate(begin), np.concatenate(end), np.concatenate(token)
+
+    def _encode_block(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(sizes)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        begin, end, token = self._arcs(data, starts, sizes)
+        word = np.repeat(np.arange(n), sizes)
+        place = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.uint8)[begin]
+        order = np.argsort(place, kind="stable")
+        steps = np.searchsorted(place[order], np.arange(int(sizes.max()) + 1))
+        # a word of k bytes has k + 1 boundaries
+        shift = word[begin]
+        begin, end, token = (begin + shift)[order], (end + shift)[order], token[order]
+        state = np.zeros(len(data) + n, np.int32)
+        last = np.full(len(data) + n, -1, np.int32)
+        for a, b in pairwise(steps.tolist()):
+            to, t = end[a:b], token[a:b]
+            fresh = np.flatnonzero(last[to] < 0)  # a boundary has one state: once found, no more is asked
+            to, t = to[fresh], t[fresh]
+            good = self.allowed(state[begin[a:b][fresh]], t)
+            to, t = to[good], t[good]
+            last[to] = t
+            state[to] = self.after[t]
+        at, rows, back = np.cumsum(sizes + 1) - 1, np.flatnonzero(sizes > 0), []
+        floor = starts + np.arange(n)
+        counts = np.zeros(n, np.int64)
         while len(rows):
-            t = token[at[rows], rows]
+            t = last[at[rows]]
             if (t < 0).any():
                 raise ValueError("a byte of the text is not in the vocabulary")
             back.append((rows, t))
-            at[rows] -= sizes[t]
-            rows = rows[at[rows] > 0]
-        ids: list[list[int]] = [[] for _ in range(n)]
-        for rows, t in reversed(back):
-            for r, k in zip(rows.tolist(), t.tolist(), strict=True):
-                ids[r].append(k)
-        return ids
+            counts[rows] += 1
+            at[rows] -= self.widths[t]
+            rows = rows[at[rows] > floor[rows]]
+        ids = np.zeros(int(counts.sum()), np.int32)
+        tail = np.cumsum(counts) - 1
+        for k, (rows, t) in enumerate(back):
+            ids[tail[rows] - k] = t
+        return ids, counts
 
     def _encode_long(self, word: bytes) -> list[int]:
         """The same path for one word of any length, with memory in proportion to it."""
@@ -281,7 +325,17 @@ class MergeAutomaton:
             at -= len(self.labels[t])
         return ids[::-1]
 
-    def decode(self, ids) -> bytes:
-        """The arc labels, one after the other."""
-        labels = self.labels
-        return b"".join([labels[i] for i in ids])
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arc labels of the ids, one after the other, and where each begins (and the end)."""
+        size = self.label_sizes[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return self.label_bytes[spread(self.label_starts[ids], size)], ends
+
+    def label(self, more: dict[int, bytes]) -> None:
+        """Labels of tokens beside the merges', and all labels as one array."""
+        for i, text in more.items():
+            self.labels += [b""] * (i + 1 - len(self.labels))
+            self.labels[i] = text
+        self.label_sizes = np.fromiter(map(len, self.labels), np.int64, len(self.labels))
+        self.label_starts = np.cumsum(self.label_sizes) - self.label_sizes
+        self.label_bytes = np.frombuffer(b"".join(self.labels), np.uint8)
