@@ -26,10 +26,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, batched
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +37,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import slices, sole
-from .segments import Cache, segments, whole
 from .staging import local_path
+from .units import UnitEncoder, buffers, spread, texts_of
 
-_MARKS = frozenset(".,;:!?")
 NULL_ID = np.iinfo(np.int64).min
+#: Bytes of text that are encoded at a time.
+TOGETHER = 2 << 20
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct word while it is remembered.
+    """The tokenizers library, asked once for each distinct unit while it is remembered.
 
     Cutting at spaces is right for byte-level pre-tokenizers without a normalizer; with any
     other tokenizer whole texts are passed on.
     """
 
-    def __init__(self, path: str, cache_size: int = 400_000) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,35 +62,49 @@ class LibraryEncoder:
         self.tool.no_truncation()
         self.tool.no_padding()
         self.size = self.tool.get_vocab_size(with_added_tokens=True)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = (
+        pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+        by_word = (
             pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
             and not spec.get("normalizer")
-            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in spec.get("added_tokens") or [])
+            and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in added)
         )
-        self.words = Cache(cache_size)
-
-    def encode(self, texts: list[str], dtype: np.dtype) -> list[bytes]:
-        """The ids of each text as packed integers."""
-        if not self.by_word:
-            return self._ask(texts, dtype)
-        split = [segments(t) for t in texts]
-        self.words.turn()
-        young = self.words.young
-        absent = self.words.missing(set().union(*split))
-        # Letters, then one mark: two pre-tokens, and the letters are likely to be known.
-        cut = {p: p[:-1] for p in absent if type(p) is str and p[-1:] in _MARKS and p[:-1].isalpha()}
-        ask = list((absent - cut.keys()) | self.words.missing(set(cut.values())) | self.words.missing({(p[-1],) for p in cut}))
-        young.update(zip(ask, self._ask(list(map(whole, ask)), dtype), strict=True))
-        for p, letters in cut.items():
-            young[p] = young[letters] + young[p[-1],]
-        return [b"".join(map(young.__getitem__, x)) for x in split]
-
-    def _ask(self, texts: list[str], dtype: np.dtype) -> list[bytes]:
-        code = "H" if dtype.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        self.units = UnitEncoder(self._learn, np.dtype(np.uint32), [x["content"].encode() for x in added]) if by_word else None
+        #: Tokens that begin with a space: of a single unit only the first does.
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[i for text, i in self.tool.get_vocab(with_added_tokens=True).items() if text[:1] == "\u0120"]] = True
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units; those that open with a space are passed on many in one text, where they are cut apart again."""
+        joined = single & (data[starts] == 32) & (sizes > 1)
+        some, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
+        parts = ["".join(x) for x in batched((u.decode("utf-8", "replace") for u in texts_of(data, starts[some], sizes[some])), 200)]
+        flat = self._ask(parts)
+        first = np.flatnonzero(self.opens[flat])
+        if len(first) != len(some):
+            raise ValueError("units do not come apart at the tokens that open with a space")
+        counts = np.zeros(len(sizes), np.int64)
+        counts[some] = np.diff(first, append=len(flat))
+        found = self.tool.encode_batch_fast([u.decode("utf-8", "replace") for u in texts_of(data, starts[rest], sizes[rest])], add_special_tokens=False)
+        alone = [e.ids for e in found]
+        counts[rest] = [len(x) for x in alone]
+        at = np.cumsum(counts) - counts
+        out = np.zeros(int(counts.sum()), np.uint32)
+        out[spread(at[some], counts[some])] = flat
+        out[spread(at[rest], counts[rest])] = np.fromiter((i for x in alone for i in x), np.uint32)
+        return out, counts
+
+    def _ask(self, texts: list[str]) -> np.ndarray:
+        parts = [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts of a column, one after the other, and where each text's begin (and the end)."""
+        if self.units:
+            return self.units.encode(*buffers(column))
+        found = [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.cumsum([0, *map(len, found)])
 
 
 @lru_cache(maxsize=1)
@@ -118,35 +132,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         sole("token_files", encoder.cache_clear)
         tool, task = encoder(tokenizer), TaskContext.get()
         dtype = np.dtype("<u2" if max(tool.size - 1, end_id) < 1 << 16 else "<u4")
-        end = np.array([end_id], dtype).tobytes()
         name = f"part-{task.partitionId():05d}"
         stem = f"{target}/{name}"
         spare = f"{target}/.{name}-{task.taskAttemptId()}"
         ids_out, lengths, keys = None, [], []
         try:
             for whole in batches:
-                for batch in slices(whole):
+                for batch in slices(whole, size=TOGETHER):
                     if ids_out is None:
                         os.makedirs(target, exist_ok=True)
                         ids_out = open(f"{spare}.ids", "wb")
-                    for packed in tool.encode(batch.column("text").to_pylist(), dtype):
-                        ids_out.write(packed)
-                        ids_out.write(end)
-                        lengths.append(len(packed) // dtype.itemsize + 1)
-                    keys += [NULL_ID if k is None else k for k in batch.column("doc_id").to_pylist()]
+                    ids, offsets = tool.encode(batch.column("text"))
+                    counts = np.diff(offsets)
+                    ended = np.full(len(ids) + len(counts), end_id, dtype)  # the end id after each document
+                    ended[np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts)] = ids
+                    ended.tofile(ids_out)
+                    lengths.append(counts + 1)
+                    keys.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy())
             if ids_out is None:
                 return
             ids_out.close()
-            offsets = np.cumsum([0, *lengths], dtype="<i8")
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype("<i8")
             offsets.tofile(f"{spare}.off")
-            np.array(keys, "<i8").tofile(f"{spare}.doc")
+            np.concatenate(keys).astype("<i8").tofile(f"{spare}.doc")
             for kind in ("ids", "off", "doc"):
                 os.replace(f"{spare}.{kind}", f"{stem}.{kind}")
         finally:
             for kind in ("ids", "off", "doc"):
                 if os.path.exists(f"{spare}.{kind}"):
                     os.remove(f"{spare}.{kind}")
-        yield pa.RecordBatch.from_pydict({"part": [name], "docs": [len(keys)], "ids": [int(offsets[-1])], "width": [dtype.itemsize]})
+        yield pa.RecordBatch.from_pydict({"part": [name], "docs": [len(offsets) - 1], "ids": [int(offsets[-1])], "width": [dtype.itemsize]})
 
     parts = sorted(ordered.mapInArrow(run, "part string, docs long, ids long, width long").collect())  # one row a file
     ids_before = list(accumulate((p["ids"] for p in parts), initial=0))
