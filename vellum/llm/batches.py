@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 #: What an operator keeps between the tasks of a Python worker, by name: how to let go of it.
 _kept: dict[str, Callable[[], None]] = {}
@@ -23,6 +26,27 @@ def sole(name: str, forget: Callable[[], None] | None = None) -> None:
         _kept[name] = forget
 
 
+def rest() -> None:
+    """Give memory that is free back to the system; idle workers count as the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with :func:`rest` at the end of each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            rest()
+
+    return df.mapInArrow(task, schema)
+
+
 #: Python objects are made for this many bytes of text at a time, whatever a batch holds.
 SLICE_BYTES = 4 << 20
 

@@ -25,13 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .batches import slices, sole, with_columns
+from .batches import in_arrow, slices, sole, with_columns
 from .bpe_automaton import MergeAutomaton
 from .staging import without
 from .units import PRE_TOKEN, UnitEncoder, buffers, spread, texts_of
 
 #: Bytes of text that are encoded at a time.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 
 
 class Codec:
@@ -129,7 +129,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
             for batch in slices(whole, text, TOGETHER):
                 yield with_columns(batch, keep, {ids: _lists(*tool.encode(batch.column(text)))})
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return in_arrow(base, run, T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -148,7 +148,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
                 flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 yield with_columns(batch, keep, {decoded: tool.decode(flat, np.cumsum([0, *sizes]))})
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(decoded, T.StringType())]))
+    return in_arrow(base, run, T.StructType([*base.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
 def recode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -165,4 +165,4 @@ def recode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids",
                 yield with_columns(batch, keep, {ids: _lists(flat, offsets), decoded: tool.decode(flat, offsets)})
 
     new = [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *new]))
+    return in_arrow(base, run, T.StructType([*base.schema.fields, *new]))

@@ -31,7 +31,7 @@ from .units import spread
 #: Words of more bytes than this go one by one through the same tables.
 WIDE = 200
 #: Answers of the automaton that are kept: two to this power.
-MEMO = 21
+MEMO = 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,6 +60,13 @@ class _Table:
             self.values[at[won]] = values[todo[won]]
             todo, at = todo[~won], (at[~won] + 1) & self.mask
 
+    def as_dict(self) -> dict[int, int]:
+        """All entries, for single look-ups; made when first wanted."""
+        if not hasattr(self, "held"):
+            some = np.flatnonzero(self.keys >= 0)
+            self.held = dict(zip(self.keys[some].tolist(), self.values[some].tolist(), strict=True))
+        return self.held
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -160,7 +167,6 @@ class MergeAutomaton:
                     spelled.append(-1)
                 node = child
             spelled[node] = i
-        self.edges = edges
         firsts = {edges[b] for b in range(256) if b in edges}
         if len(firsts) < 256:
             raise ValueError("a byte-level vocabulary has a token for every byte")
@@ -302,7 +308,7 @@ class MergeAutomaton:
         """The same path for one word of any length, with memory in proportion to it."""
         n = len(word)
         state, token = np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
-        edges, spelled, after, seen = self.edges, self.spelled, self.after, {}
+        edges, spelled, after, seen = self.edge.as_dict(), self.spelled, self.after, {}
         for i in range(n):
             node, p = 0, int(state[i])
             for j in range(i, n):

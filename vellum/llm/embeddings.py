@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import in_arrow
 from .components import components
 from .staging import stage
 
@@ -160,7 +161,7 @@ def _links(classes: DataFrame, length: int, n: int, labels: int, least: float) -
                     ["space", "rid", "copies", "v", "cell", "kind"],
                 )
 
-    placed = stage(classes.select("space", "rid", "copies", "v").mapInArrow(place, "space string, rid long, copies long, v array<double>, cell long, kind long"), "cells")
+    placed = stage(in_arrow(classes.select("space", "rid", "copies", "v"), place, "space string, rid long, copies long, v array<double>, cell long, kind long"), "cells")
     sizes = placed.filter("kind = 0").groupBy("space", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = placed.join(sizes, ["space", "cell"])  # a cell without entries has no links
     own = F.array(F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
@@ -185,7 +186,7 @@ def _links(classes: DataFrame, length: int, n: int, labels: int, least: float) -
                     elif len(entries[0]):
                         yield from _compare(part, entries, least)
 
-    return dealt.mapInArrow(compare, "a long, b long, n long")
+    return in_arrow(dealt, compare, "a long, b long, n long")
 
 
 def _compare(queries: tuple, entries: tuple, least: float) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices, sole
+from .batches import in_arrow, slices, sole
 from .components import components
 from .staging import sendable, stage
 from .textunits import LOWER, gram_hashes, inside, mix, word_hashes
@@ -126,7 +126,7 @@ def _describe(base: DataFrame, text: str, shingle: int) -> DataFrame:
                     }
                 )
 
-    return base.mapInArrow(run, "rid long, id long, th long, n_shingles long, key1 long, key2 long, values binary")
+    return in_arrow(base, run, "rid long, id long, th long, n_shingles long, key1 long, key2 long, values binary")
 
 
 def _child(node, values, coordinate) -> F.Column:
@@ -164,7 +164,7 @@ def _grouped(df: DataFrame, group: str, schema: str, work) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, schema)
+    return in_arrow(dealt, run, schema)
 
 
 def _forest(n: int, pairs: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:

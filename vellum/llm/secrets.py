@@ -17,7 +17,7 @@ join back to findings can be split by the engine where one value is hot.
 
 Defined results: a null text counts as empty; a null repository counts as no owner; rows
 that repeat are scanned each; an empty table has an empty result; an input column called
-``spans`` gives way.
+``spans`` gives way in :func:`scan_secrets` and stays in :func:`hide`, where null texts stay null.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage, without
+from .staging import SENDABLE, stage, without
 
 #: Fixed patterns of the base findings.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -116,16 +116,33 @@ def scan_secrets(docs: DataFrame, text: str = "text", repo: str = "source", max_
     return out.withColumn("spans", F.coalesce("spans", empty)).drop("__rid")
 
 
-def redact(scanned: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``text`` with every span replaced by ``mark``, and without ``spans``; texts without spans stay as they are."""
-    merged = F.expr(
-        """aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (done, s) ->
-             if(size(done) > 0 and element_at(done, -1).end > s.start,
-                concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, s.end)))),
-                concat(done, array(named_struct('start', s.start, 'end', s.end)))))"""
-    )
-    cleaned = F.expr(
-        f"aggregate(reverse(__merged), `{text}`, (t, s) -> concat(substring(t, 1, cast(s.start as int)), '{mark}', substring(t, cast(s.end as int) + 1)))"
+def hide(docs: DataFrame, text: str = "text", repo: str = "source", key: str = "doc_id", mark: str = "[secret]", changed: str | None = None) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by ``mark``; spans that overlap become one mark.
+
+    ``changed``: the name of a further column that says whether the text is another one now.
+
+    What is found is looked up by id and text hash: only ranges are staged and sent, and
+    texts are shuffled only where there are too many ranges to send, those that may hold one.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    named = docs.select(F.col(key).alias("__id"), F.xxhash64(whole).alias("__hash"), F.col(text).alias("text"), F.col(repo).alias("source"))
+    found = scan_secrets(named, carry=("__id", "__hash")).filter(F.size("spans") > 0).dropDuplicates(["__id", "__hash"])
+    spans = found.select("__id", "__hash", F.explode("spans").alias("s")).select("__id", "__hash", "s.start", "s.end")
+    before = Window.partitionBy("__id", "__hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("opens", (F.col("start") >= F.coalesce(F.max("end").over(before), F.lit(0))).cast("int"))
+    upto = Window.partitionBy("__id", "__hash").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = spans.withColumn("range", F.sum("opens").over(upto)).groupBy("__id", "__hash", "range").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ranges = stage(ranges.drop("range"), "secret-ranges")
+    marks = ranges.groupBy("__id", "__hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__ranges"))
+    held = F.expr(
+        f"""concat(array_join(transform(__ranges, (r, i) -> concat(substring(`{text}`, 1 + cast(if(i = 0, 0, __ranges[i - 1].end) as int),
+                 cast(r.start - if(i = 0, 0, __ranges[i - 1].end) as int)), '{mark}')), ''), substring(`{text}`, 1 + cast(element_at(__ranges, -1).end as int)))"""
     )
-    marked = scanned.withColumn("__merged", merged)
-    return marked.withColumn(text, F.when(F.size("__merged") > 0, cleaned).otherwise(F.col(text))).drop("__merged", "spans")
+    out = [F.coalesce(held, F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    same = F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(whole) == F.col("__hash"))
+    flag = [F.col("__ranges").isNotNull().alias(changed)] if changed else []
+    if ranges.count() <= SENDABLE:
+        return docs.join(F.broadcast(marks), same, "left").select(*out, *flag)
+    may = whole.rlike(RUN) | whole.rlike(KEYWORD)
+    rest = docs.filter(~may).select("*", *([F.lit(False).alias(changed)] if changed else []))
+    return docs.filter(may).join(marks.hint("merge"), same, "left").select(*out, *flag).union(rest)

@@ -2,14 +2,16 @@
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it
 back.  Executors may be lost at any time: the table stays readable, so a later stage
-recomputes nothing above it.  Only where no such folder is configured (tests, a laptop)
-does this module choose one itself.
+recomputes nothing above it.  Only where no such folder is configured does this module choose
+one itself, on a single machine (tests, a laptop); on a cluster it raises.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +25,35 @@ def shared_root(spark: SparkSession) -> str:
         root = context._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='vellum-shared-')}"
         context.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+#: Lists that get the path of every folder made while they are open.
+_watching: list[list[str]] = []
+
+
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The paths of the folders that are made meanwhile."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders whose readers have ended."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; it is removed when the driver's JVM ends."""
     path = f"{shared_root(spark)}/vellum-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -36,6 +62,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target.getParent())
     fs.deleteOnExit(target)
+    for made in _watching:
+        made.append(path)
     return path
 
 

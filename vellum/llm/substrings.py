@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import in_arrow, slices
 from .staging import stage
 from .textunits import gram_hashes, inside, word_hashes
 
@@ -104,8 +104,8 @@ def _scan(base: DataFrame, text: str, window: int) -> DataFrame:
                     }
                 )
 
-    return base.mapInArrow(
-        run, "rid long, id long, th long, n_words long, digest string, runs array<struct<anchor:bigint,first:int,n:int>>"
+    return in_arrow(
+        base, run, "rid long, id long, th long, n_words long, digest string, runs array<struct<anchor:bigint,first:int,n:int>>"
     )
 
 
@@ -139,7 +139,7 @@ def _places(found: DataFrame, text: str, window: int) -> DataFrame:
                         }
                     )
 
-    return found.mapInArrow(run, "key long, rid long, first long, hot boolean, segment binary")
+    return in_arrow(found, run, "key long, rid long, first long, hot boolean, segment binary")
 
 
 def cover(segments: list[bytes], window: int) -> list[list[tuple[int, int]]]:
@@ -217,7 +217,7 @@ def find_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
 
     places = stage(_places(found, text, window), "places")
     shards = places.filter(~F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key")
-    covered = shards.mapInArrow(_locate(window), "rid long, start long, end long")
+    covered = in_arrow(shards, _locate(window), "rid long, start long, end long")
     windows = places.filter("hot").select("key", "rid", "first")
     again = windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     by_hash = windows.join(again, "key").select("rid", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
@@ -265,4 +265,4 @@ def _cut(found: DataFrame, text: str) -> DataFrame:
                     [batch.column("rid"), batch.column("ranges"), pa.array(removed, pa.int64()), pa.array(digest)], ["rid", "ranges", "n_removed", "kept_sha256"]
                 )
 
-    return found.mapInArrow(run, "rid long, ranges array<struct<start:bigint,end:bigint>>, n_removed long, kept_sha256 string")
+    return in_arrow(found, run, "rid long, ranges array<struct<start:bigint,end:bigint>>, n_removed long, kept_sha256 string")

@@ -36,13 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import slices, sole
+from .batches import in_arrow, slices, sole
 from .staging import local_path
 from .units import UnitEncoder, buffers, spread, texts_of
 
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of text that are encoded at a time.
-TOGETHER = 2 << 20
+TOGETHER = 1 << 20
 
 
 class LibraryEncoder:
@@ -163,7 +163,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
                     os.remove(f"{spare}.{kind}")
         yield pa.RecordBatch.from_pydict({"part": [name], "docs": [len(offsets) - 1], "ids": [int(offsets[-1])], "width": [dtype.itemsize]})
 
-    parts = sorted(ordered.mapInArrow(run, "part string, docs long, ids long, width long").collect())  # one row a file
+    parts = sorted(in_arrow(ordered, run, "part string, docs long, ids long, width long").collect())  # one row a file
     ids_before = list(accumulate((p["ids"] for p in parts), initial=0))
     docs_before = list(accumulate((p["docs"] for p in parts), initial=0))
     manifest = {
@@ -212,4 +212,4 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = True) ->
                     out["ids"] = pa.array([x.tolist() for x in cut], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)
 
-    return listed.mapInArrow(run, schema)
+    return in_arrow(listed, run, schema)

@@ -177,7 +177,7 @@ Learn = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndar
 class UnitEncoder:
     """Ids of texts by a table of units; ``learn`` tokenizes those that are not in it."""
 
-    def __init__(self, learn: Learn, dtype: np.dtype, special: list[bytes] = (), size: int = 1_200_000) -> None:
+    def __init__(self, learn: Learn, dtype: np.dtype, special: list[bytes] = (), size: int = 700_000) -> None:
         self.learn, self.special, self.table = learn, special, UnitTable(dtype, size)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
