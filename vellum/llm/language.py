@@ -7,20 +7,20 @@ training text.  Learned transition scores say how often speakers switch.  Forwar
 gives each word's label distribution; the mean over the words of a text names its
 language, and the parts of the others show code-switching.
 
-Training text is a bounded sample (``PER_LANGUAGE`` documents of at most ``MAX_CHARS``
-characters a language, ``CHAINS`` chains): chains are put together from stretches of words
+Training text is a bounded sample (``PER_LANGUAGE`` documents a language, of each a stretch of
+at most ``MAX_CHARS`` characters, ``CHAINS`` chains): chains are put together from stretches of words
 of different languages, so that transitions are learned from switches.  Everything else
 covers all rows and whole texts: a chain is up to ``CHAIN`` consecutive words, and every
 word of a text is in one.
 
-Scale: prediction is one pass without a shuffle; counting the languages reads two narrow
-columns.  The model is a table of ``BUCKETS`` rows a language plus at most ``LEXICON``
+Scale: prediction is one pass without a shuffle; drawing the sample shuffles hashes only.  The model is a table of ``BUCKETS`` rows a language plus at most ``LEXICON``
 words, so its broadcast does not grow with the data.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing
 can be learned, so is every text; null languages are not learned; a null id is never held
 out and never learned from; repeated rows are predicted each; an empty table has an empty
-result; ties go to the language that is first in order.
+result; ties go to the language that is first in order; input columns called like a result
+give way, any other column may be there.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .batches import slices, sole, with_columns
-from .staging import without
+from .batches import in_arrow, slices, sole, with_columns
+from .staging import sendable, without
 
 #: Bounds of the training sample.
 PER_LANGUAGE, MAX_CHARS, CHAINS = 150, 20_000, 4000
@@ -116,16 +116,17 @@ class Model:
         self.languages, self.lexicon = languages, lexicon
         self.weights = np.zeros((BUCKETS + len(lexicon) + 1, k), np.float32)  # the last row stays zero
         self.start, self.move = np.zeros(k), np.zeros((k, k))
-        self._forget()
+        self.forget()
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("rows", "scores")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Let go of the words' scores."""
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.languages)), np.float32)
 
@@ -141,7 +142,7 @@ class Model:
     def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Label distributions of the words of each text."""
         if len(self.rows) > WORDS_HELD:
-            self._forget()
+            self.forget()
         new = list({w for t in texts for w in t} - self.rows.keys())
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
@@ -231,13 +232,23 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from a bounded sample of the rows that are not held out: text and lang only."""
-    usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.char_length("text").between(1, MAX_CHARS)))
-    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")) / F.lit(2.0**64) + 0.5
-    counts = usable.groupBy("lang").count()
-    drawn = usable.join(F.broadcast(counts), "lang").filter(draw * F.col("count") < PER_LANGUAGE).select("lang", "text", draw.alias("draw"))
-    rows = drawn.orderBy("lang", "draw").limit(10 * PER_LANGUAGE * max(1, counts.count())).collect()
-    return train([(r["text"], r["lang"]) for r in rows])
+    """Learn from a bounded sample of the rows that are not held out: text and lang only.
+
+    The sample is drawn from ids and hashes alone; texts are fetched for it.  Of a text over
+    ``MAX_CHARS`` a stretch of that length is taken.
+    """
+    usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & (F.char_length("text") > 0))
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("language"))
+    narrow = usable.select(F.col("lang").alias("__lang"), draw.alias("__draw"))
+    order = Window.partitionBy("__lang").orderBy("__draw")
+    drawn = narrow.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= PER_LANGUAGE).drop("__n").distinct()
+    start = F.pmod(draw, F.greatest(F.char_length("text") - MAX_CHARS, F.lit(0)) + 1) + 1
+    texts = usable.select("lang", draw.alias("draw"), F.substring("text", start.cast("int"), F.lit(MAX_CHARS)).alias("text"))
+    picked = texts.join(sendable(drawn), (F.col("lang") == F.col("__lang")) & (F.col("draw") == F.col("__draw"))).select("lang", "draw", "text")
+    once = Window.partitionBy("lang").orderBy("draw", "text")  # rows may share an id
+    picked = picked.withColumn("n", F.row_number().over(once)).filter(F.col("n") <= PER_LANGUAGE)
+    rows = sorted((r["lang"], r["draw"], r["text"]) for r in picked.collect())  # PER_LANGUAGE a language
+    return train([(text, lang) for lang, _, text in rows])
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -249,8 +260,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.ArrayType(share))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("language")
         model = shared.value
+        sole("language", model.forget)
         for whole in batches:
             for batch in slices(whole, text, 1 << 19):
                 words = [words_of(t) for t in batch.column(text).to_pylist()] if model.languages else [[]] * batch.num_rows
@@ -269,4 +280,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("part", pa.float64())]))
                 yield with_columns(batch, keep, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()), "shares": pa.array(shares, kind)})
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, *new]))
+    return in_arrow(base, run, T.StructType([*base.schema.fields, *new]))
