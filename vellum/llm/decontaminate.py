@@ -7,8 +7,8 @@ item's words for the score to be reached at all, a bound that loses nothing.  Th
 the alignment's part of the score of a whole copy.  Copies with replaced, added or lost
 words keep seeds between the edits and a high score.
 
-The items are a query set: they are taken in blocks of a fixed number of items, each block
-broadcast to all tasks, whatever the size of the benchmark.  Documents are not shuffled.
+The items are a query set: they are taken in blocks of ``BLOCK_WORDS`` words, each block
+broadcast to all tasks as a few arrays, whatever the size of the benchmark.  Documents are not shuffled.
 Alignments use the text around a seed, not the document, so their cost does not grow with
 the document, and a run of seeds on one diagonal is aligned once.
 
@@ -16,26 +16,29 @@ Words are runs of letters and digits, A-Z lower-cased.
 
 Defined results: null or empty texts and items have no words and match nothing; items
 shorter than ``gram`` words count as one n-gram; items that repeat are matched each;
-documents that repeat are matched each; empty tables give an empty result.
+documents that repeat are matched each; null ids are matched like others; empty tables give
+an empty result; other columns are kept by :func:`drop_leaks` and not read by
+:func:`find_leaks`, whatever they are called; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import in_arrow, slices, sole
 from .textunits import ALNUM, gram_hashes, inside, word_hashes
+from .units import spread
 
 #: Scores of the alignment, in words.
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Items whose words are held by every task at a time.
-BLOCK_ITEMS = 20_000
+#: Words of items that are held by every task at a time.
+BLOCK_WORDS = 2_000_000
 
 
 def normal(text: str | None) -> bytes:
@@ -72,61 +75,38 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """One block of the benchmark: words and n-gram hashes."""
+    """One block of the benchmark: word hashes, and every n-gram as a seed, in order of its hash."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], gram: int) -> None:
+    def __init__(self, rows: list[tuple[int, bytes]], gram: int) -> None:
         self.ids = [i for i, _ in rows]
-        texts = [normal(t) for _, t in rows]
-        self.hashes, self.offsets = word_hashes(texts)
-        self.gram = gram
-        self.grams: list[np.ndarray] = []
+        self.hashes, self.offsets = word_hashes([t for _, t in rows])
+        seeds, item, place, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], set()
         for k in range(len(rows)):
             words = self.words(k)
-            self.grams.append(gram_hashes(words, min(gram, max(1, len(words)))))
+            if len(words):
+                n = min(gram, len(words))
+                lengths.add(n)
+                seeds.append(gram_hashes(words, n))
+                item.append(np.full(len(seeds[-1]), k, np.int32))
+                place.append(np.arange(len(seeds[-1]), dtype=np.int32))
+        flat = np.concatenate(seeds)
+        order = np.argsort(flat, kind="stable")
+        self.seeds, self.item, self.place = flat[order], np.concatenate(item)[order], np.concatenate(place)[order]
+        #: The n-gram lengths that occur.
+        self.lengths = sorted(lengths)
+        #: Is a hash a seed?  A bit map answers most questions.
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
 
     def words(self, k: int) -> np.ndarray:
         return self.hashes[self.offsets[k] : self.offsets[k + 1]]
 
-    def lengths(self) -> list[int]:
-        """The n-gram lengths that occur."""
-        return sorted({min(self.gram, len(self.words(k))) for k in range(len(self.ids)) if len(self.words(k))})
-
-    def seeds(self) -> dict[int, list[tuple[int, int]]]:
-        """Hash to (item, position) of every n-gram."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, grams in enumerate(self.grams):
-            for p, g in enumerate(grams.tolist()):
-                out[g].append((k, p))
-        return out
-
-
-class _Lookup:
-    """Is a hash one of a set?  A bit map answers most questions."""
-
-    def __init__(self, values) -> None:
-        self.sorted = np.unique(np.fromiter(values, np.uint64))
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.sorted >> np.uint64(42)).astype(np.int64)] = True
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.bits[(hashes >> np.uint64(42)).astype(np.int64)])
-        if not len(at) or not len(self.sorted):
-            return at[:0]
-        found = np.searchsorted(self.sorted, hashes[at])
-        return at[self.sorted[np.minimum(found, len(self.sorted) - 1)] == hashes[at]]
-
-
-def _hits(texts: list[bytes], lookup: _Lookup, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Word hashes, offsets, and (text, position, hash) of the n-grams in ``lookup``."""
-    words, offsets = word_hashes(texts)
-    out = []
-    for n in lengths:
-        grams = gram_hashes(words, n)
-        at = lookup.places(grams)
-        at = at[inside(offsets, n, len(words))[at]]
-        owner = np.searchsorted(offsets, at, "right") - 1
-        out += zip(owner.tolist(), (at - offsets[owner]).tolist(), grams[at].tolist(), strict=True)
-    return words, offsets, out
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of ``grams`` are seeds, and the range of their seeds."""
+        at = np.flatnonzero(self.bits[(grams >> np.uint64(42)).astype(np.int64)])
+        low, high = np.searchsorted(self.seeds, grams[at], "left"), np.searchsorted(self.seeds, grams[at], "right")
+        known = np.flatnonzero(high > low)
+        return at[known], low[known], high[known]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.6, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -134,17 +114,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: floa
     spark = docs.sparkSession
     out = None
 
-    def search(rows: list[tuple[int, str | None]]) -> DataFrame:
-        items = Items(rows, gram)
-        seeds = items.seeds()
-        shared = spark.sparkContext.broadcast((items, dict(seeds), _Lookup(seeds), items.lengths()))
+    def search(items: Items) -> DataFrame:
+        shared = spark.sparkContext.broadcast(items)
         schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id long, score double, first_word long, last_word long"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, seeds, lookup, lengths = shared.value
+            sole("decontaminate")
             for whole in batches:
                 for batch in slices(whole, text):
-                    found = list(_leaks([normal(t) for t in batch.column(text).to_pylist()], items, seeds, lookup, lengths, least))
+                    found = list(leaks([normal(t) for t in batch.column(text).to_pylist()], shared.value, least))
                     if found:
                         rows, item, score, first, last = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays(
@@ -152,70 +130,88 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: floa
                             [key, "item_id", "score", "first_word", "last_word"],
                         )
 
-        return docs.select(key, text).mapInArrow(run, schema)
+        return in_arrow(docs.select(key, text), run, schema)
 
-    for rows in _blocks(benchmark):
-        out = search(rows) if out is None else out.unionByName(search(rows))
-    return out if out is not None else search([])
+    for items in _blocks(benchmark, gram):
+        out = search(items) if out is None else out.unionByName(search(items))
+    return out if out is not None else search(Items([], gram))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, gram: int = 4, least: float = 0.6, text: str = "text") -> DataFrame:
     """``docs`` without the rows that hold a test item; rows are judged where they are read, without a join."""
     out = docs
-    for rows in _blocks(benchmark):
-        out = _clean(out, docs, rows, gram, least, text)
+    for items in _blocks(benchmark, gram):
+        out = _clean(out, items, least, text)
     return out
 
 
-def _clean(out: DataFrame, docs: DataFrame, rows: list, gram: int, least: float, text: str) -> DataFrame:
-    items = Items(rows, gram)
-    seeds = items.seeds()
-    shared = docs.sparkSession.sparkContext.broadcast((items, dict(seeds), _Lookup(seeds), items.lengths()))
+def _clean(docs: DataFrame, items: Items, least: float, text: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("decontaminate")
         for whole in batches:
             for batch in slices(whole, text):
                 good = np.ones(batch.num_rows, bool)
-                for k, *_ in _leaks([normal(t) for t in batch.column(text).to_pylist()], *shared.value, least):
+                for k, *_ in leaks([normal(t) for t in batch.column(text).to_pylist()], shared.value, least):
                     good[k] = False
                 yield batch.filter(pa.array(good))
 
-    return out.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of a fixed number."""
-    block: list[tuple[int, str | None]] = []
+def _blocks(benchmark: DataFrame, gram: int) -> Iterator[Items]:
+    """The items in blocks of a fixed number of words (one item at least)."""
+    block: list[tuple[int, bytes]] = []
+    held = 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK_ITEMS:
-            yield block
-            block = []
+        words = normal(r[1])
+        block.append((r[0], words))
+        held += words.count(b" ") + 1
+        if held >= BLOCK_WORDS:
+            yield Items(block, gram)
+            block, held = [], 0
     if block:
-        yield block
-
-
-def _leaks(texts: list[bytes], items: Items, seeds: dict, lookup: _Lookup, lengths: list[int], least: float) -> Iterator[tuple]:
-    words, offsets, hits = _hits(texts, lookup, lengths)
-    places: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for k, at, h in hits:
-        for item, p in seeds[h]:
-            places[k, item].append(at - p)
-    for (k, item), starts in places.items():
-        query = items.words(item)
-        n, text = len(query), words[offsets[k] : offsets[k + 1]]
+        yield Items(block, gram)
+
+
+def leaks(texts: list[bytes], items: Items, least: float) -> Iterator[tuple]:
+    """(text, item id, score, first word, last word) of every item that a text in normal form holds."""
+    words, offsets = word_hashes(texts)
+    owner, item, start = [], [], []
+    for n in items.lengths:
+        grams = gram_hashes(words, n)
+        at, low, high = items.find(grams)
+        inner = inside(offsets, n, len(words))[at]
+        at, low, high = at[inner], low[inner], high[inner]
+        seeds = spread(low, high - low)
+        at = np.repeat(at, high - low)
+        text = np.searchsorted(offsets, at, "right") - 1
+        owner.append(text)
+        item.append(items.item[seeds])
+        start.append(at - offsets[text] - items.place[seeds])  # where the item would begin
+    if not owner:
+        return
+    owner, item, start = np.concatenate(owner), np.concatenate(item), np.concatenate(start)
+    order = np.lexsort((start, item, owner))
+    owner, item, start = owner[order], item[order], start[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])))) if len(owner) else owner
+    for a, b in pairwise([*cuts.tolist(), len(owner)]):
+        k, own = int(owner[a]), int(item[a])
+        query, text = items.words(own), words[offsets[k] : offsets[k + 1]]
+        n = len(query)
         best = (0, 0, 0)
-        done = -1
-        for s in sorted(starts):  # where the item would begin; neighbours share a stretch
-            if s <= done:
+        done = None
+        for s in start[a:b].tolist():  # neighbours share a stretch
+            if done is not None and s <= done:
                 continue
             done = s + n // 4
-            a, b = max(0, s - n // 2), min(len(text), s + 2 * n)
-            if np.isin(query, text[a:b]).sum() < least * n:
+            first, last = max(0, s - n // 2), min(len(text), s + 2 * n)
+            if np.isin(query, text[first:last]).sum() < least * n:
                 continue  # each word of the item matches once at most
-            score, first, last = align(query, text[a:b])
+            score, x, y = align(query, text[first:last])
             if score > best[0]:
-                best = (score, a + first, a + last)
+                best = (score, first + x, first + y)
         part = best[0] / (MATCH * n)
         if part >= least:
-            yield k, items.ids[item], part, best[1], best[2] - 1
+            yield k, items.ids[own], part, best[1], best[2] - 1
