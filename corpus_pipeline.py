@@ -15,18 +15,43 @@ the first.  An empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import bpe, decontaminate, language, near_dedup, secrets
 from vellum.llm.queries import tokenizer_path
-from vellum.llm.staging import stage
-
+from vellum.llm.staging import remove, stage, watched
 
 #: Part of a text that its best language needs.
 LEAST_CLEAR = 0.35
 
+Step = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Folders that the stage before has left; its result is written by the time the next one begins.
+_left: list[str] = []
+
+
+def alone(step: Step) -> Step:
+    """``step``, which first deletes what the stage before has staged, unless ``docs`` still reads it."""
 
+    @wraps(step)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _left else []
+        done = [path for path in _left if not any(path.rpartition("/")[2] in file for file in read)]
+        remove(spark, done)
+        _left[:] = [path for path in _left if path not in done]
+        with watched() as made:
+            out = step(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run
+
+
+@alone
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is clear."""
     columns = docs.columns
@@ -38,31 +63,29 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumnsRenamed({v: k for k, v in aside.items()}).select(columns)
 
 
+@alone
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class."""
     return near_dedup.keep_one(docs, shingle=5, percent=80)
 
 
+@alone
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no test item."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@alone
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets in their texts replaced."""
-    columns = docs.columns
-    aside = {c: f"__in_{c}" for c in columns if c.lower() == "spans"}
-    found = secrets.scan_secrets(docs.withColumnsRenamed(aside))
-    changed = F.size("spans") > 0
-    if "n_chars" in columns:
-        found = found.withColumn("__changed", changed)
-    out = secrets.redact(found)
-    if "n_chars" in columns:
+    out = secrets.hide(docs, changed="__changed")
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("__changed"), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(columns)
+    return out.select(docs.columns)
 
 
+@alone
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids and the digest of the decoded text."""
     both = bpe.recode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path())
@@ -85,6 +108,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        result = step(spark, docs, sf_dir)
+        with watched() as made:
+            docs = stage(result, f"pipeline-{name}")
+        remove(spark, before)
+        before = made
     return STAGES[-1][1](spark, docs, sf_dir)
