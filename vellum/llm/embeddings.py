@@ -11,9 +11,10 @@ added over the halves), until the bound exceeds the distance that the cosine all
 the target recall is 1: no cell that can hold a link is left out.  Each visited cell's
 entries are verified exactly.
 
-Scale: equal vectors become one with a multiplicity before anything is compared.  Cells
-with many entries are cut into blocks of ``BLOCK`` entries, and queries go to each block, so
-that a task holds one block at a time.  Per block only counts and a spanning forest of the
+Scale: equal vectors become one with a multiplicity before anything is compared.  The cells
+of one left codeword lie together, so a query travels once a row of cells with the list of
+those it visits.  Rows with many entries are cut into blocks of ``BLOCK`` entries, and
+queries go to each block, so that a task holds one block at a time.  Per block only counts and a spanning forest of the
 links go on, not the pairs.  ``SAMPLE`` vectors are collected for the codebooks, whatever
 the input; the index holds every vector.
 
@@ -27,9 +28,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,45 +149,67 @@ def _links(classes: DataFrame, length: int, n: int, labels: int, least: float) -
                 batch = whole.slice(start, 1024)
                 unit = _unit(batch.column("v"))
                 (a, x), (b, y) = bounds(unit[:, :half], left), bounds(unit[:, half:], right)
-                rows, cells, kinds = [], [], []
+                rows, lefts, kinds, rights = [], [], [], []
                 for i in range(len(unit)):
                     rows.append(i)
-                    cells.append(int(a[i]) * 256 + int(b[i]))
+                    lefts.append(int(a[i]))
                     kinds.append(0)
+                    rights.append([int(b[i])])
+                    visited: dict[int, list[int]] = {}
                     for p, q in traverse(x[i], y[i], most):
-                        rows.append(i)
-                        cells.append(p * 256 + q)
-                        kinds.append(1)
+                        visited.setdefault(p, []).append(q)
+                    rows += [i] * len(visited)
+                    lefts += visited
+                    kinds += [1] * len(visited)
+                    rights += visited.values()
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).take(take) for c in ("space", "rid", "copies", "v")] + [pa.array(cells, pa.int64()), pa.array(kinds, pa.int64())],
-                    ["space", "rid", "copies", "v", "cell", "kind"],
+                    [batch.column(c).take(take) for c in ("space", "rid", "copies", "v")]
+                    + [pa.array(lefts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(rights, pa.list_(pa.int32()))],
+                    ["space", "rid", "copies", "v", "left", "kind", "rights"],
                 )
 
-    placed = stage(in_arrow(classes.select("space", "rid", "copies", "v"), place, "space string, rid long, copies long, v array<double>, cell long, kind long"), "cells")
-    sizes = placed.filter("kind = 0").groupBy("space", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = placed.join(sizes, ["space", "cell"])  # a cell without entries has no links
+    schema = "space string, rid long, copies long, v array<double>, left int, kind int, rights array<int>"
+    placed = stage(in_arrow(classes.select("space", "rid", "copies", "v"), place, schema), "cells")
+    sizes = placed.filter("kind = 0").groupBy("space", "left").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(sizes, ["space", "left"])  # a row of cells without entries has no links
     own = F.array(F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     block = F.explode(F.when(F.col("kind") == 0, own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.withColumn("block", block)
-    dealt = dealt.select(F.concat_ws("/", "space", "cell", "block").alias("key"), "kind", "rid", "copies", "v").repartition("key").sortWithinPartitions("key", "kind")
+    dealt = dealt.select(F.concat_ws("/", "space", "left", "block").alias("key"), "kind", "rid", "copies", "v", "rights").repartition("key").sortWithinPartitions("key", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, entries = None, None
+        key, entries, ready = None, [], None
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
                 keys, kinds = batch.column("key").to_pylist(), batch.column("kind").to_pylist()
                 rid, copies, unit = batch.column("rid").to_numpy(), batch.column("copies").to_numpy(), _unit(batch.column("v"))
+                rights = batch.column("rights")
                 cuts = [i for i in range(len(keys)) if i == 0 or (keys[i], kinds[i]) != (keys[i - 1], kinds[i - 1])] + [len(keys)]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for a, b in pairwise(cuts):
                     if keys[a] != key:
-                        key, entries = keys[a], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, length)))
-                    part = (rid[a:b], copies[a:b], unit[a:b])
+                        key, entries, ready = keys[a], [], None
+                    part = rights.slice(a, b - a)
+                    cells = part.flatten().to_numpy()
                     if kinds[a] == 0:
-                        entries = tuple(np.concatenate(x) for x in zip(entries, part, strict=True))
-                    elif len(entries[0]):
-                        yield from _compare(part, entries, least)
+                        entries.append((cells, rid[a:b], copies[a:b], unit[a:b]))
+                        continue
+                    if ready is None and entries:  # entries come first, in order of their cells now
+                        held = [np.concatenate(x) for x in zip(*entries, strict=True)]
+                        order = np.argsort(held[0], kind="stable")
+                        ready = [x[order] for x in held]
+                    if ready is None:
+                        continue
+                    asks = a + np.repeat(np.arange(b - a), pc.list_value_length(part).to_numpy())
+                    order = np.argsort(cells, kind="stable")
+                    asks, cells = asks[order], cells[order]
+                    for cell in np.unique(cells).tolist():
+                        c, d = np.searchsorted(ready[0], (cell, cell + 1))
+                        if c < d:
+                            i, j = np.searchsorted(cells, (cell, cell + 1))
+                            q = asks[i:j]
+                            yield from _compare((rid[q], copies[q], unit[q]), tuple(x[c:d] for x in ready[1:]), least)
 
     return in_arrow(dealt, compare, "a long, b long, n long")
 
