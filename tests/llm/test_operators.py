@@ -191,6 +191,37 @@ def test_licences_of_long_and_mixed_files(spark):
     assert {(m.label, m.score) for m in found[2].templates if m.score == 1} == {("mit", 1.0), ("bsd", 1.0), ("gpl-3.0", 1.0)} and not found[3].templates
 
 
+def test_several_licences_in_a_file(spark):
+    """Every full text is found at its place, alone, between others, with words added or lost, and not without its phrase."""
+    from vellum.llm import licences
+
+    full = {label: text.split() for label, text, _ in licences.TEMPLATES if len(text.split()) > 40}  # of a label the last
+    filler = [f"filler{i}" for i in range(50)]
+    rows, want = [], {}
+    for k, (label, words) in enumerate(full.items()):
+        rows.append((k, " ".join([*filler, *words, *filler])))
+        want[k] = {label}
+    names = ["mit", "bsd-2-clause", "gpl-3.0", "isc", "zlib"]
+    rows.append((100, "\n".join(" ".join([*full[n], *filler]) for n in names)))
+    want[100] = set(names)
+    loose = list(full["zlib"])
+    del loose[10:12]
+    loose[70:70] = ["or", "more"]
+    rows.append((101, " ".join(loose).upper()))
+    want[101] = {"zlib"}
+    bare = " ".join(full["zlib"]).replace("alter it and redistribute it freely", "alter it and pass it on")
+    rows.append((102, bare))
+    want[102] = set()
+    found = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, labels in want.items():
+        got = {m.label for m in found[k].templates}
+        assert labels <= got and (labels or "zlib" not in got), (k, labels, got)
+        for m in found[k].templates:
+            if k < 100 and m.label in labels:
+                assert m.score == 1.0
+    assert {m.score for m in found[100].templates if m.label in names} == {1.0} and 0.9 < [m.score for m in found[101].templates if m.label == "zlib"][0] < 1
+
+
 def test_embeddings(spark, tables):
     rows = duckdb.sql(f"select vec_id, embedding, label from '{tables}/embeddings.parquet/*.parquet'").fetchall()
     good = [i for i, (_, v, label) in enumerate(rows) if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
@@ -248,8 +279,9 @@ def test_sharding_even_with_one_hot_text(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) < 0.03 * max(sizes) and all(r["max(slot)"] + 1 == r["count(1)"] for r in got)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_substrings(spark, tables, docs, hot):
+@pytest.mark.parametrize(("hot", "patterns"), [(20_000, 50_000), (1, 50_000), (2, 3)])
+def test_substrings(spark, tables, docs, hot, patterns, monkeypatch):
+    monkeypatch.setattr(substrings, "PATTERNS", patterns)
     words = [(t or "").encode().split() for _, t, *_ in docs]
     counts = bag(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
     want = bag()
