@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-TEXTS = "doc_id long, text string, lang string, source string, n_chars long, ids string, spans int, score string, n_words string, lang_pred string, decoded int"
+TEXTS = "doc_id long, text string, lang string, source string, n_chars long, ids string, spans int, score string, n_words string, lang_pred string, decoded int, count long, size string, key int, tie string, range int, rid long"
 
 
 def odd_rows() -> list[tuple]:
@@ -29,7 +29,7 @@ def odd_rows() -> list[tuple]:
     ]
     rows = [(10_000 + i, t, None if i % 5 == 0 else "en", None if i % 7 == 0 else f"own{i}/repo{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [rows[7], rows[7], (None, "no id here at all, none", "en", "s", 3), (None, None, None, None, None)]
-    return [r + ("clash", 1, "clash", "clash", "clash", 2) for r in rows]
+    return [r + ("clash", 1, "clash", "clash", "clash", 2, 3, "clash", 4, "clash", 5, 6) for r in rows]
 
 
 @pytest.fixture(scope="session")

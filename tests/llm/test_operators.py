@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -12,12 +13,13 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from vellum.llm import queries as Q
-from vellum.llm import decontaminate, near_dedup, sharding, substrings
+from vellum.llm import decontaminate, language, near_dedup, sharding, substrings
 from vellum.llm.bpe_automaton import MergeAutomaton
 from vellum.llm.textunits import gram_hashes, word_hashes
 
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
 bag = collections.Counter
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +72,7 @@ def test_secrets(spark, tables, docs):
         found = sorted((m.start(), i, m.end(), kind) for i, (kind, p, ok) in enumerate(PATTERNS) for m in p.finditer(t or "") if ok(m))
         want[k, *(sum(f[1] == i for f in found) for i in range(3)), sha(",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found))] += 1
     assert bag((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    assert bag((r.doc_id, r.spans) for r in got) == bag((k, ",".join(f"{kind}:{a}:{b}" for a, b, kind in x)) for (k, *_), x in zip(docs, plain_spans(docs)))
     # one owner has the value in two places, so it is taken for a live one of theirs only where no one else has it
     by = {r.doc_id: r for r in got}
     assert by[10_019].n_owned == 0 and by[10_020].n_owned == 0
@@ -78,6 +81,25 @@ def test_secrets(spark, tables, docs):
         assert sha(",".join(":".join(s) for s in spans if s[0] != "owned")) == r.base_sha256
 
 
+def plain_spans(docs):
+    """All spans of each row by definition: base ones, and live-looking runs of one owner at most that no base one overlaps."""
+    base, runs, owners = [], [], collections.defaultdict(set)
+    for _, t, _, source in docs:
+        found = [(m.start(), i, m.end(), kind, m[2] if kind == "assign" else m[0]) for i, (kind, p, ok) in enumerate(PATTERNS) for m in p.finditer(t or "") if ok(m)]
+        more = [(m.start(), 3, m.end(), "owned", m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t or "")]
+        for *_, value in found + more:
+            owners[value] |= {source.split("/")[0]} if source is not None else set()
+        base.append(found)
+        runs.append(more)
+    odd = re.compile("(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567")
+    live = lambda v: len(owners[v]) < 2 and len(set(v)) >= 10 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and not odd.search(v)
+    out = []
+    for found, more in zip(base, runs):
+        added = [x for x in more if live(x[4]) and not any(b[0] < x[2] and b[2] > x[0] for b in found)]
+        out.append([(a, b, kind) for a, _, b, kind, _ in sorted(found + added)])
+    return out
+
+
 def test_owner_specific_secret(spark):
     from vellum.llm import secrets
 
@@ -260,6 +282,54 @@ def test_language(spark, tables, docs):
             assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text[r.doc_id] or "")) and 0 <= r.score <= 1
 
 
+def test_chain_by_all_label_paths():
+    """Marginals of labels and of neighbours against the sum over every path."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([5, 4, 4, 2, 1])
+    emission, start, move = rng.normal(size=(5, 5, 3)) * 2, rng.normal(size=3), rng.normal(size=(3, 3))
+    gamma, pairs = language.forward_backward(emission, lengths, start, move)
+    want_pairs = np.zeros((3, 3))
+    for c, n in enumerate(lengths):
+        total, want, both = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            weight = np.exp(start[path[0]] + sum(emission[c, t, y] for t, y in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path)))
+            total += weight
+            for t, y in enumerate(path):
+                want[t, y] += weight
+            for a, b in itertools.pairwise(path):
+                both[a, b] += weight
+        assert np.allclose(gamma[c, :n], want / total)
+        want_pairs += both / total
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_prediction_by_all_label_paths(spark):
+    """A text's answer is the mean over its words of the marginals of the model's own scores."""
+    texts = [("alpha beta gamma delta", "x"), ("uno dos tres cuatro", "y"), ("ein zwei drei vier", "z")] * 4
+    model = language.train(texts)
+    words = "alpha dos drei beta uno".split()
+    scores = model.word_scores(words).astype(float)
+    total, want = 0.0, np.zeros((len(words), 3))
+    for path in itertools.product(range(3), repeat=len(words)):
+        weight = np.exp(model.start[path[0]] + sum(scores[t, y] for t, y in enumerate(path)) + sum(model.move[a, b] for a, b in itertools.pairwise(path)))
+        total += weight
+        for t, y in enumerate(path):
+            want[t, y] += weight
+    mean = (want / total).mean(axis=0)
+    docs = spark.createDataFrame([(1, "ALPHA dos, drei! beta uno", 5, "kept")], "doc_id long, text string, count int, range string")
+    row = language.predict(docs, model).first()
+    assert row.lang_pred == model.languages[int(mean.argmax())] and abs(row.score - mean.max()) < 1e-5 and (row["count"], row["range"]) == (5, "kept")
+    assert all(abs(s.part - m) < 1e-5 for s, m in zip(row.shares, mean))
+
+
+def test_language_learns_from_long_texts_and_odd_columns(spark):
+    rows = [(i, "uno dos tres " * 9000, "long", 1, 2, "a") for i in range(12)] + [(100 + i, f"alpha beta gamma {'delta ' * i}", "short", 1, 2, "a") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, count int, n int, draw string")
+    model = language.fit(docs)
+    assert model.languages == ["long", "short"]
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()} == {r[0]: r[2] for r in rows}
+
+
 def test_sharding(spark, tables, docs):
     got = Q.op7_sharding(spark, tables).collect()
     size = lambda t: len((t or "").encode())
@@ -279,6 +349,41 @@ def test_sharding_even_with_one_hot_text(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) < 0.03 * max(sizes) and all(r["max(slot)"] + 1 == r["count(1)"] for r in got)
 
 
+@pytest.mark.parametrize("kind", ["even", "tail", "hot", "tiny"])
+def test_sharding_is_even(spark, kind):
+    """No shard differs from another by more than the records themselves force, whatever their sizes."""
+    rng = np.random.default_rng(5)
+    sizes = {"even": rng.integers(0, 300, 6000), "tail": (rng.pareto(1.2, 6000) * 40).astype(int) % 60_000, "hot": np.full(6000, 77), "tiny": np.arange(25)}[kind]
+    rows = [(i, "x" * int(n) if kind == "hot" else chr(97 + i % 26) * int(n)) for i, n in enumerate(sizes)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    held, slots = collections.Counter({s: 0 for s in range(10)}), collections.defaultdict(list)
+    for r in got:
+        held[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    total, largest = sum(held.values()), max(len(t) + 16 for _, t in rows)
+    level = max(total / 10, largest)
+    assert sorted(r.doc_id for r in got) == list(range(len(rows))) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(held.values()) <= level + max(0.03 * level, min(largest, total / 10) if kind == "tiny" else 0)
+    if kind != "tiny":
+        alone = [s for s, n in held.items() if n > 1.02 * total / 10]  # those with one huge record
+        rest = [n for s, n in held.items() if s not in alone]
+        assert max(rest) - min(rest) <= 0.04 * max(rest)
+
+
+def test_write_shards(spark, tables, tmp_path):
+    """All rows and columns come back, in the order of their slots, with columns named like inner ones."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    sharding.write_shards(docs, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    names = [c for c in docs.columns if c not in sharding.RESULT]
+    key = ["doc_id", *names]
+    assert bag(tuple(r) for r in back.select(key).collect()) == bag(tuple(r) for r in docs.select(key).collect())
+    assert set(names) >= {"count", "key", "tie", "range", "rid"}
+    for s in range(4):
+        slots = [r.slot for r in back.filter(f"shard = {s}").collect()]
+        assert sorted(slots) == list(range(len(slots)))
+
+
 @pytest.mark.parametrize(("hot", "patterns"), [(20_000, 50_000), (1, 50_000), (2, 3)])
 def test_substrings(spark, tables, docs, hot, patterns, monkeypatch):
     monkeypatch.setattr(substrings, "PATTERNS", patterns)
@@ -303,6 +408,55 @@ def test_decontamination(spark, tables, docs):
     assert whole <= got and len(got - whole) <= 2 and whole
 
 
+def plain_leaks(texts, items, least=0.6, gram=4):
+    """(text, item, score) of pairs with a common n-gram, by Smith-Waterman over the whole text, cell by cell."""
+    out = {}
+    for k, words in enumerate(texts):
+        seen = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, gram + 1)}
+        for j, item in enumerate(items):
+            n = min(gram, len(item))
+            if not n or not any(tuple(item[i : i + n]) in seen[n] for i in range(len(item) - n + 1)):
+                continue
+            row, best = [0] * (len(words) + 1), 0
+            for a in item:
+                now = [0]
+                for i, b in enumerate(words, 1):
+                    now.append(max(0, row[i - 1] + (2 if a == b else -1), row[i] - 1, now[-1] - 1))
+                best, row = max(best, *now), now
+            if best / (2 * len(item)) >= least:
+                out[k, j] = best / (2 * len(item))
+    return out
+
+
+def test_leaks_by_plain_alignment(spark):
+    rng = np.random.default_rng(6)
+    items = [[f"w{x}" for x in rng.integers(0, 60, rng.integers(3, 30))] for _ in range(25)]
+    texts = []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 40))]
+        for _ in range(rng.integers(0, 3)):
+            copy = list(items[rng.integers(len(items))])
+            for _ in range(rng.integers(0, 8)):
+                at = int(rng.integers(len(copy) + 1))
+                copy[at : at + int(rng.integers(0, 2))] = [f"w{rng.integers(0, 60)}"] * int(rng.integers(0, 2))
+                copy = copy or ["w1"]
+            cut = int(rng.integers(0, 4)) if k % 3 == 0 else 0  # the text may begin within the item
+            words = copy[cut:] + words if k % 2 else words + copy
+        texts.append(words)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    want = plain_leaks(texts, items)
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(want) > 50 and found == want
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == set(range(150)) - {k for k, _ in want}
+
+
+def test_items_in_several_blocks(spark, tables, monkeypatch):
+    whole = bag(tuple(r) for r in Q.op10_decontaminate(spark, tables).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
+    assert bag(tuple(r) for r in Q.op10_decontaminate(spark, tables).collect()) == whole
+
+
 def test_edited_copies_are_found(spark):
     item = "the quick brown fox jumps over a lazy dog while seven old wizards mix strange potions beside the frozen river at midnight".split()
     edited = [w if i % 6 != 5 else "changed" for i, w in enumerate(item)]
@@ -338,6 +492,65 @@ def test_word_hashes_over_blocks(monkeypatch):
     assert len(set(gram_hashes(whole[0][:150], 3).tolist())) == 3
 
 
+def test_pipeline_stages_by_definition(spark, tables, docs, library):
+    """Each stage on the whole odd tables against a plain version of what it decides."""
+    table = spark.read.parquet(f"{tables}/documents.parquet")
+    # near copies: of each class the least id stays, texts without words all stay
+    sets, roots = jaccard_classes(docs, 80)
+    ids = collections.defaultdict(list)
+    for (k, *_), s, r in zip(docs, sets, roots):
+        if s:
+            ids[r].append(k)
+    least = lambda x: min((k for k in x if k is not None), default=None)
+    want = bag(least(x) for x in ids.values()) + bag(k for (k, *_), s in zip(docs, sets) if not s)
+    assert bag(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, tables).collect()) == want
+    # test items
+    items = [decontaminate.normal(t).decode().split() for (t,) in duckdb.sql(f"select text from '{tables}/benchmark.parquet/*.parquet'").fetchall()]
+    held = {k for k, _ in plain_leaks([decontaminate.normal(t).decode().split() for _, t, *_ in docs], items)}
+    got = bag(r.doc_id for r in corpus_pipeline.drop_benchmark(spark, table, tables).collect())
+    assert held and got == bag(d[0] for k, d in enumerate(docs) if k not in held)
+    # secrets: spans that overlap become one mark
+    want = bag()
+    for (k, t, *_), spans in zip(docs, plain_spans(docs)):
+        united = []
+        for a, b, _ in spans:
+            if united and a < united[-1][1]:
+                united[-1][1] = max(united[-1][1], b)
+            else:
+                united.append([a, b])
+        for a, b in reversed(united):
+            t = t[:a] + "[secret]" + t[b:]
+        want[k, t] += 1
+    hidden = corpus_pipeline.hide_secrets(spark, table, tables)
+    assert hidden.columns == table.columns and bag((r.doc_id, r.text) for r in hidden.collect()) == want
+    # ids
+    for r in corpus_pipeline.encode(spark, table.filter("doc_id < 60 or doc_id > 10010"), tables).collect():
+        text = next(t for k, t, *_ in docs if k == r.doc_id)
+        assert r.ids == library.encode(text or "", add_special_tokens=False).ids and r.decoded_sha256 == sha(text or "")
+
+
+def test_hide_secrets_without_broadcast(spark, tables, monkeypatch):
+    from vellum.llm import secrets
+
+    table = spark.read.parquet(f"{tables}/documents.parquet")
+    sent = bag((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.hide_secrets(spark, table, tables).collect())
+    monkeypatch.setattr(secrets, "SENDABLE", 0)
+    assert bag((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.hide_secrets(spark, table, tables).collect()) == sent
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql_twin(spark, tables, name):
+    odd = name != "op5_embeddings"  # its SQL takes finite vectors of one length
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{tables}/{table}.parquet/*.parquet'" if odd else f"create view {table} as select * from '{SMALL}/{table}.parquet'")
+    got = Q.queries()[name](spark, tables if odd else SMALL)
+    want = con.execute(Q.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert bag(tuple(r[c] for c in columns) for r in got.collect()) == bag(want.fetchall())
+
+
 def test_pipeline(spark, tables, empty):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     columns = docs.columns

@@ -155,12 +155,12 @@ AGREE = 0.6
 SEEDS, DRIFT = 12, 16
 
 
-def _index() -> list[tuple[str, int, int]]:
+def word_postings() -> list[tuple[str, int, int]]:
     """word, template, position."""
     return [(w, k, i) for k, (_, text, _) in enumerate(TEMPLATES) for i, w in enumerate(text.split()) if w not in PLAIN and not w.isdigit()]
 
 
-def _phrases() -> list[tuple[str, int, int]]:
+def phrase_postings() -> list[tuple[str, int, int]]:
     """Mandatory phrase, template, position; a phrase stands once or more in its template."""
     out = []
     for k, (_, text, phrases) in enumerate(TEMPLATES):
@@ -200,7 +200,7 @@ def scan_licences(docs: DataFrame, text: str = "text", carry: tuple[str, ...] |
     spark: SparkSession = docs.sparkSession
     base = without(docs, "n_words", "base", "templates", "score")
     own = [F.col(f"`{c}`") for c in base.columns if carry is None or c in carry]
-    index, phrases = _index(), _phrases()
+    index, phrases = word_postings(), phrase_postings()
     indexed = sorted({w for w, _, _ in index})
     mandatory = sorted({p for p, _, _ in phrases})
     keys = sorted({max(p.split(), key=len) for p in [*BASE, *mandatory]})

@@ -129,13 +129,13 @@ p as (select x.r a, y.r b, count(*) both_ from s x join s y on x.g = y.g and x.r
 l as (select a, b from p join n na on na.r = a join n nb on nb.r = b where 100 * both_ >= 85 * (na.n + nb.n - both_)),
 e as (select a x, b y from l union all select b, a from l),
 {_CLASSES}
-select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id = c as kept from d left join n using (r) join least using (r)"""
+select doc_id, coalesce(n, 0)::bigint as n_shingles, c as component_id, doc_id is not distinct from c as kept from d left join n using (r) join least using (r)"""
 
 _OP5 = f"""with recursive d as (select row_number() over () r, vec_id as doc_id, label, embedding::double[] v from embeddings),
 l as (select x.r a, y.r b from d x join d y on x.label = y.label and x.r < y.r where list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.98),
 e as (select a x, b y from l union all select b, a from l),
 {_CLASSES}
-select doc_id as vec_id, (select count(*) from e where e.x = d.r)::bigint as n_links, c as component_id, doc_id = c as kept from d join least using (r)"""
+select doc_id as vec_id, (select count(*) from e where e.x = d.r)::bigint as n_links, c as component_id, doc_id is not distinct from c as kept from d join least using (r)"""
 
 _OP8 = f"""with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) ws from documents),
 w as (select r, i, array_to_string(ws[i:i + 34], ' ') g from d, unnest(range(1, len(ws) - 33)) t(i)),
@@ -146,6 +146,64 @@ k as (select x.r, count(g.i) removed, string_agg(word, ' ' order by x.i) filter
 select doc_id, len(ws)::bigint as n_words, coalesce(removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (r)"""
 
 
+_NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+_KINDS = [  # name, pattern, group of the value
+    ("assign", f"""({_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2),
+    ("access", "AKIA[A-Z0-9]{16,}", 0),
+    ("hex", "[0-9a-f]{24,}", 0),
+    ("owned", "[A-Za-z0-9+/_=-]{20,}", 0),
+]
+_FINDS = " union all ".join(
+    f"""select r, source, {order} o, '{kind}' kind, list_sum([length(x) for x in gaps[:i]]) + coalesce(list_sum([length(x) for x in whole[:i - 1]]), 0) s,
+    length(whole[i]) n, vals[i] v from (select r, source, string_split_regex(t, '{pattern}') gaps, regexp_extract_all(t, '{pattern}', 0) whole, regexp_extract_all(t, '{pattern}', {group}) vals from d),
+    unnest(range(1, len(whole) + 1)) u(i)"""
+    for order, (kind, pattern, group) in enumerate(_KINDS)
+)
+_OP2 = f"""with d as (select row_number() over () r, doc_id, source, coalesce(text, '') t from documents),
+f as (select *, s + n e from ({_FINDS}) where kind <> 'assign' or length(v) >= 6),
+own as (select v, count(distinct split_part(source, '/', 1)) owners from f group by v),
+b as (select * from f where kind <> 'owned'),
+o as (select f.* from f join own using (v) where kind = 'owned' and owners <= 1 and len(list_distinct(string_split(v, ''))) >= 10
+  and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]') and not regexp_matches(v, '(?i)example|sample|dummy|changeme|placeholder|your|xxxx|1234567')
+  and not exists (select 1 from b where b.r = f.r and b.s < f.e and b.e > f.s)),
+a as (select r, o, kind, s, kind || ':' || s::bigint || ':' || e::bigint w from (select * from b union all select * from o)),
+g as (select r, count(*) filter (kind = 'assign') n_assign, count(*) filter (kind = 'access') n_access, count(*) filter (kind = 'hex') n_hex, count(*) filter (kind = 'owned') n_owned,
+  string_agg(w, ',' order by s, o) filter (kind <> 'owned') base, string_agg(w, ',' order by s, o) spans from a group by r)
+select doc_id, coalesce(n_assign, 0)::bigint n_assign, coalesce(n_access, 0)::bigint n_access, coalesce(n_hex, 0)::bigint n_hex,
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(n_owned, 0)::bigint n_owned from d left join g using (r)"""
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join(f"({', '.join(str(x) if isinstance(x, int) else repr(x) for x in r)})" for r in rows)
+
+
+_LABELS = [(k, label) for k, (label, _, _) in enumerate(licences.TEMPLATES)]
+_OP4 = f"""with d as (select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from documents),
+w as (select r, i - 1 i, ws[i] w from d, unnest(range(1, len(ws) + 1)) t(i)),
+spoken(phrase, k) as (values {_values(sorted({(p, len(p.split())) for p in [*licences.BASE, *(p for p, _, _ in licences.phrase_postings())]}))}),
+said as (select r, phrase, i from w join spoken on w.w = split_part(phrase, ' ', 1) join d using (r) where array_to_string(ws[i + 1:i + k], ' ') = phrase),
+named(phrase, label) as (values {_values(sorted(licences.BASE.items()))}),
+base as (select r, i, label from said join named using (phrase)),
+posting(w, template, position) as (values {_values(licences.word_postings())}),
+frequency as (select w, ln(((select count(*) from d) + 1) / count(distinct r)) idf from w where w in (select w from posting) group by w),
+posted as (select *, row_number() over (partition by template order by idf desc nulls last, position) <= {licences.SEEDS} seed from posting left join frequency using (w)),
+total as (select template, sum(idf) total from posted group by template),
+stands as (select r, i, template, position, idf, seed, floor((i - position) / {licences.DRIFT // 2}) - o win from w join posted using (w), (values (0), (1)) x(o)),
+mandatory(phrase, template, position) as (values {_values(licences.phrase_postings())}),
+sure as (select distinct r, template, floor((i - position) / {licences.DRIFT // 2}) - o win from said join mandatory using (phrase), (values (0), (1)) x(o)),
+copy as (select distinct r, template, win from stands join sure using (r, template, win) where seed),
+words as (select r, template, win, position, any_value(idf) idf, min(i) a, max(i) b from stands join copy using (r, template, win) group by all),
+scored as (select r, template, win, least(1.0, round(sum(idf) / any_value(total), 6)) score, min(a) a, max(b) b from words join total using (template) group by r, template, win),
+agreed as (select x.*, label from scored x join (values {_values(_LABELS)}) l(template, label) using (template) where score >= {licences.AGREE} and not exists (select 1 from scored y where y.r = x.r and y.template = x.template
+  and y.score >= {licences.AGREE} and abs(y.win - x.win) = 1 and (y.score > x.score or y.score = x.score and y.win < x.win))),
+ranked as (select *, row_number() over best n, first(a) over best ta, first(b) over best tb from agreed window best as (partition by r, label order by score desc, win, template)),
+found as (select r, label, score from ranked where n = 1 or a > tb or b < ta),
+labelled as (select r, string_agg(distinct label, ',' order by label) labels, max(score) score from (select r, label, score from found union all select r, label, 1.0 from base) group by r),
+based as (select r, count(*) n, min(i) a, max(i) b, string_agg(distinct label, ',' order by label) labels from base group by r)
+select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_base, a::bigint first_word, b::bigint last_word, coalesce(based.labels, '') base_labels, coalesce(labelled.labels, '') labels, coalesce(score, 0)::double score
+from d left join based using (r) left join labelled using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query; the small scales are within its reach."""
-    return {"op3_near_dedup": _OP3, "op5_embeddings": _OP5, "op8_substrings": _OP8}
+    return {"op2_secrets": _OP2, "op3_near_dedup": _OP3, "op4_licences": _OP4, "op5_embeddings": _OP5, "op8_substrings": _OP8}

@@ -17,7 +17,8 @@ shuffled, and slots are numbered from counts of ranges instead of one sort a sha
 
 Defined results: a null text has no bytes, size 16 and CRC 0; null ids are records like
 others; repeated rows are placed each; an empty table has an empty result; further columns
-come along only where named in ``keep``.
+come along only where named in ``keep``, and give way if they are called like a column of
+the result.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ from .staging import stage
 OVERHEAD = 16
 #: Records over this part of a shard are placed one by one.
 LARGE = 50
+#: Columns of the result.
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _bucket(bounds: np.ndarray, side: str):
@@ -49,13 +52,14 @@ def _bucket(bounds: np.ndarray, side: str):
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, sample_per_range: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the columns ``keep``."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the columns ``keep``, where not called like one of these."""
     spark = docs.sparkSession
+    kept = {f"__keep_{i}": c for i, c in enumerate(keep) if c.lower() not in RESULT}  # set aside under names of their own
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"),
         "doc_id",
-        *[c for c in keep if c != "doc_id"],
+        *[F.col(f"`{c}`").alias(k) for k, c in kept.items()],
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
@@ -138,12 +142,12 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, sample_per_range: int = 8
         "shard",
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *[c for c in keep if c != "doc_id"],
+        *[F.col(k).alias(c) for k, c in kept.items()],
     )
 
 
 def write_shards(docs: DataFrame, folder: str, n_shards: int = 40) -> None:
     """The documents themselves, one folder a shard, each file in order of its slots."""
     placed = assign_shards(docs, n_shards, keep=tuple(docs.columns))
-    cut = placed.withColumn("block", F.floor(F.col("slot") / 100_000))
-    cut.repartition("shard", "block").sortWithinPartitions("shard", "slot").drop("block").write.partitionBy("shard").parquet(folder)
+    cut = placed.withColumn("__block", F.floor(F.col("slot") / 100_000))
+    cut.repartition("shard", "__block").sortWithinPartitions("shard", "slot").drop("__block").write.partitionBy("shard").parquet(folder)
