@@ -9,16 +9,18 @@ window whose words also start anywhere else, in the same text or another.
    have equal anchors, hence only anchors that recur can hold recurring windows.
 2. Texts with the same words become one; if there are several, all of it recurs.
 3. The places of recurring anchors are dealt by anchor, each with its words.  A shard
-   confirms which windows recur among them, compiles these into Aho-Corasick automata over
-   words and streams all its places through them: every occurrence that is found covers
-   its words.  An automaton holds ``PATTERNS`` windows at most.
-4. Anchors with over ``HOT`` places (a passage that a third of all texts share) are not
-   gathered: their windows are counted by hash, pre-aggregated in every task, and joined
-   back, which the engine may split.
+   picks an example of each window whose hash recurs, compiles the examples' words into
+   Aho-Corasick automata and streams all its places through them: an occurrence elsewhere
+   confirms the example, and both cover their words.  An automaton holds ``PATTERNS``
+   windows at most.
+4. Anchors with over ``HOT`` places (a passage that a third of all texts share) are split.
+   Their windows are counted by hash, pre-aggregated in every task; each hash that recurs
+   gets one place as its example, whose words become a pattern.  Places and patterns are
+   dealt into shards of bounded size, and every place runs through the automata of its
+   anchor's patterns.  A match elsewhere confirms the example, by words.
 5. Covered words are united for each text.
 
-Words are compared as such in the automata; hashes of 64 bits choose what is compared, and
-alone decide for hot anchors.
+Words are compared as such in the automata; hashes of 64 bits choose what is compared.
 
 Defined results: null, empty and blank texts have no words; texts shorter than a window
 lose nothing; repeated rows count as texts of their own, so all of their words go if they
@@ -37,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import in_arrow, slices
-from .staging import stage
+from .staging import sendable, stage
 from .textunits import gram_hashes, inside, word_hashes
 
 GRAM = 10
-HOT = 20_000
+#: Places of an anchor from which on it is split, and places in a shard of such anchors.
+HOT, SHARD = 20_000, 4_000
 #: Windows of one automaton, and words of text it is built for at a time.
 PATTERNS, TOGETHER = 50_000, 400_000
 
@@ -110,7 +113,7 @@ def _scan(base: DataFrame, text: str, window: int) -> DataFrame:
 
 
 def _places(found: DataFrame, text: str, window: int) -> DataFrame:
-    """A row a recurring run with its words, and for hot anchors a row a window with its hash as key."""
+    """A row a recurring run with its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -118,56 +121,155 @@ def _places(found: DataFrame, text: str, window: int) -> DataFrame:
                 rows: list[tuple] = []
                 for rid, body, runs in zip(batch.column("rid").to_pylist(), batch.column(text).to_pylist(), batch.column("runs").to_pylist(), strict=True):
                     words = split_words(body)
-                    hashes = None
-                    for r in runs:
-                        a, b = r["first"], r["first"] + r["n"]
-                        if r["hot"]:
-                            if hashes is None:
-                                hashes = gram_hashes(word_hashes([b" ".join(words)])[0], window).view(np.int64)
-                            rows += [(h, rid, a + k, True, None) for k, h in enumerate(hashes[a:b].tolist())]
-                        else:
-                            rows.append((r["anchor"], rid, a, False, b" ".join(words[a : b + window - 1])))
+                    rows += [(r["anchor"], rid, r["first"], r["parts"], b" ".join(words[r["first"] : r["first"] + r["n"] + window - 1])) for r in runs]
                 if rows:
-                    key, rid, first, hot, segment = zip(*rows, strict=True)
+                    key, rid, first, parts, segment = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "key": pa.array(key, pa.int64()),
                             "rid": pa.array(rid, pa.int64()),
                             "first": pa.array(first, pa.int64()),
-                            "hot": pa.array(hot),
+                            "parts": pa.array(parts, pa.int64()),
                             "segment": pa.array(segment, pa.binary()),
                         }
                     )
 
-    return in_arrow(found, run, "key long, rid long, first long, hot boolean, segment binary")
+    return in_arrow(found, run, "key long, rid long, first long, parts long, segment binary")
+
+
+def _windows(places: DataFrame, window: int) -> DataFrame:
+    """Anchor and hash of each window of hot places: how many there are, and the least place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, offsets = word_hashes(batch.column("segment").to_pylist())
+            grams = gram_hashes(words, window)
+            at = np.flatnonzero(inside(offsets, window, len(words)))
+            row = np.searchsorted(offsets, at, "right") - 1
+            key, rid, first = (batch.column(c).to_numpy()[row] for c in ("key", "rid", "first"))
+            first = first + at - offsets[row]
+            h = grams[at].view(np.int64)
+            order = np.lexsort((first, rid, h, key))  # one row a window and batch
+            key, h, rid, first = key[order], h[order], rid[order], first[order]
+            lead = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (h[1:] != h[:-1]))))
+            yield pa.RecordBatch.from_pydict(
+                {"key": key[lead], "h": h[lead], "rid": rid[lead], "first": first[lead], "n": np.diff(lead, append=len(key)).astype(np.int64)}
+            )
+
+    counted = in_arrow(places.select("key", "rid", "first", "segment"), run, "key long, h long, rid long, first long, n long")
+    return counted.groupBy("key", "h").agg(F.min(F.struct("rid", "first")).alias("x"), F.sum("n").alias("n")).filter("n > 1").select("key", "h", "x.rid", "x.first")
+
+
+def _hot_shards(places: DataFrame, window: int, hot: int) -> DataFrame:
+    """Rows of shards: patterns (kind 0) and places (kind 1) of hot anchors; a text's places with one set of patterns lie together."""
+    examples = stage(_windows(places, window), "hot-windows")
+    wanted = sendable(examples.select(F.col("key").alias("k"), "h", F.col("rid").alias("r"), F.col("first").alias("at")))
+    here = (F.col("key") == F.col("k")) & (F.col("rid") == F.col("r")) & F.col("at").between(F.col("first"), F.col("last"))
+    last = F.col("first") + F.size(F.split(F.col("segment").cast("string"), " ")) - window
+    words = F.slice(F.split(F.col("segment").cast("string"), " "), (F.col("at") - F.col("first") + 1).cast("int"), window)
+    patterns = places.withColumn("last", last).join(wanted, here).select("key", "h", "rid", F.col("at").alias("first"), F.array_join(words, " ").cast("binary").alias("segment"))
+    patterns = stage(patterns, "hot-patterns")
+    subsets = patterns.groupBy("key").agg(F.ceil(F.count("*") / PATTERNS).alias("subsets"))  # one row a hot anchor
+    subsets = sendable(stage(subsets, "hot-sets"))
+    sets = max(1, -(-patterns.count() // PATTERNS))
+    parts = max(1, -(-places.count() // (min(hot, SHARD) * sets)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    shard = F.xxhash64(F.pmod(F.xxhash64("key"), F.lit(sets)), "subset", "part").alias("shard")
+    row = ("kind", "rid", "first", "segment")
+    asked = patterns.join(subsets, "key").withColumn("subset", F.pmod("h", F.col("subsets"))).withColumn("part", every(F.lit(parts).cast("long")))
+    dealt = places.join(subsets, "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(parts).cast("long"))).withColumn("kind", F.lit(1))
+    once = dealt.filter("subsets = 1").withColumn("subset", F.lit(0).cast("long")).select(shard, *row)
+    often = dealt.filter("subsets > 1").withColumn("subset", every(F.col("subsets"))).select(shard, *row)
+    both = asked.withColumn("kind", F.lit(0)).select(shard, *row).unionByName(once).unionByName(often)
+    return both.repartition("shard").sortWithinPartitions("shard", "kind", "rid", "first")
+
+
+def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    rid, start, end = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
+
+
+def _match(window: int):
+    """Work on shards of hot anchors: (rid, start, end) of covered words, of places and of the examples they confirm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        shard, number, automaton, ready = None, {}, None, False
+        covered: list[tuple[int, int, int]] = []  # the last may still grow
+        for batch in batches:
+            confirmed: set[tuple[int, int]] = set()
+            for own, kind, rid, first, segment in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "rid", "first", "segment")), strict=True):
+                if own != shard:
+                    shard, number, ready = own, {}, False
+                    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                if kind == 0:
+                    automaton.add_word(tuple([number.setdefault(w, len(number) + 1) for w in segment.split()]), (rid, first))
+                    continue
+                if not number:
+                    continue
+                if not ready:
+                    automaton.make_automaton()
+                    ready = True
+                for end, example in automaton.iter(tuple([number.get(w, 0) for w in segment.split()])):
+                    start = first + end + 1 - window
+                    if example == (rid, start):
+                        continue
+                    confirmed.add(example)
+                    if covered and covered[-1][0] == rid and covered[-1][1] <= start <= covered[-1][2]:
+                        covered[-1] = (rid, covered[-1][1], max(covered[-1][2], start + window))
+                    else:
+                        covered.append((rid, start, start + window))
+            rows = covered[:-1] + [(rid, first, first + window) for rid, first in confirmed]
+            covered = covered[-1:]
+            if rows:
+                yield _ranges(rows)
+        if covered:
+            yield _ranges(covered)
+
+    return run
 
 
 def cover(segments: list[bytes], window: int) -> list[list[tuple[int, int]]]:
-    """For each segment the word ranges that windows cover which recur among the segments."""
+    """For each segment the word ranges that windows cover which recur among the segments; ranges may repeat and overlap."""
     import ahocorasick
 
+    out: list[list[tuple[int, int]]] = [[] for _ in segments]
+    words, offsets = word_hashes(segments)
+    at = np.flatnonzero(inside(offsets, window, len(words)))
+    _, first, times = np.unique(gram_hashes(words, window)[at], return_index=True, return_counts=True)
+    at = np.sort(at[first[times > 1]])
+    if not len(at):
+        return out
+    owner = np.searchsorted(offsets, at, "right") - 1
+    examples = list(zip(owner.tolist(), (at - offsets[owner]).tolist(), strict=True))
     number: dict[bytes, int] = {}
     coded = [tuple([number.setdefault(w, len(number) + 1) for w in s.split()]) for s in segments]
-    seen: dict[tuple, int] = {}
-    for words in coded:
-        for k in range(len(words) - window + 1):
-            w = words[k : k + window]
-            seen[w] = seen.get(w, 0) + 1
-    confirmed = [w for w, n in seen.items() if n > 1]
-    del seen
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    for a in range(0, len(confirmed), PATTERNS):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for w in confirmed[a : a + PATTERNS]:
-            automaton.add_word(w)
+    for a in range(0, len(examples), PATTERNS):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for k, place in examples[a : a + PATTERNS]:
+            automaton.add_word(coded[k][place : place + window], (k, place))
         automaton.make_automaton()
-        for ranges, words in zip(out, coded, strict=True):
-            for end, length in automaton.iter(words):
-                start = end + 1 - length
+        confirmed = set()
+        for k, own in enumerate(coded):
+            ranges = out[k]
+            for end, example in automaton.iter(own):
+                start = end + 1 - window
+                if example == (k, start):
+                    continue
+                confirmed.add(example)  # it stands elsewhere, word for word
                 if ranges and ranges[-1][0] <= start <= ranges[-1][1]:
                     ranges[-1] = (ranges[-1][0], max(ranges[-1][1], end + 1))
                 else:
                     ranges.append((start, end + 1))
+        for k, start in sorted(confirmed):
+            ranges = out[k]
+            if ranges and ranges[-1][0] <= start <= ranges[-1][1]:
+                ranges[-1] = (ranges[-1][0], max(ranges[-1][1], start + window))
+            else:
+                ranges.append((start, start + window))
     return out
 
 
@@ -182,8 +284,7 @@ def _locate(window: int):
             found = cover([h[3] for h in held], window)
             rows = [(rid, first + a, first + b) for (_, rid, first, _), ranges in zip(held, found, strict=True) for a, b in ranges]
             if rows:
-                rid, start, end = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(rid, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
+                yield _ranges(rows)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "first", "segment")), strict=True):
@@ -208,27 +309,20 @@ def find_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
 
     runs = rows.select("rid", F.explode("runs").alias("x")).join(classes.select("rid"), "rid", "left_semi").select("rid", "x.anchor", "x.first", "x.n")
     recurring = runs.groupBy("anchor").agg(F.count("*").alias("places")).filter("places > 1")
-    recurring = stage(recurring.select("anchor", (F.col("places") > hot).alias("hot")), "anchors")
-    listed = runs.join(recurring, "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "n", "hot")).alias("runs"))
+    recurring = stage(recurring.select("anchor", F.ceil(F.col("places") / hot).alias("parts")), "anchors")
+    listed = runs.join(recurring, "anchor").groupBy("rid").agg(F.collect_list(F.struct("anchor", "first", "n", "parts")).alias("runs"))
     listed = listed.join(classes.select("rid", "id", "th"), "rid")
     texts = docs.select(F.col(key).cast("long").alias("tid"), th.alias("tth"), text)
     found = texts.join(listed, texts["tid"].eqNullSafe(listed["id"]) & (texts["tth"] == listed["th"])).dropDuplicates(["rid"])
     found = stage(found.select("rid", text, "runs"), "found")
 
     places = stage(_places(found, text, window), "places")
-    shards = places.filter(~F.col("hot")).drop("hot").repartition("key").sortWithinPartitions("key")
+    shards = places.filter("parts = 1").drop("parts").repartition("key").sortWithinPartitions("key")
     covered = in_arrow(shards, _locate(window), "rid long, start long, end long")
-    windows = places.filter("hot").select("key", "rid", "first")
-    again = windows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    by_hash = windows.join(again, "key").select("rid", F.col("first").alias("start"), (F.col("first") + window).alias("end"))
-    ranges = covered.unionByName(by_hash).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("all"))
-    united = F.expr(
-        """aggregate(all, cast(array() as array<struct<start:bigint,end:bigint>>), (done, r) ->
-             if(size(done) > 0 and element_at(done, -1).end >= r.start,
-                concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, r.end)))),
-                concat(done, array(named_struct('start', r.start, 'end', r.end)))))"""
-    )
-    ranges = ranges.select("rid", united.alias("ranges"))
+    split = places.filter("parts > 1")
+    if not split.isEmpty():
+        covered = covered.unionByName(in_arrow(_hot_shards(split, window, hot), _match(window), "rid long, start long, end long"))
+    ranges = covered.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))
     cut = _cut(found.select("rid", text).join(ranges, "rid"), text)
     result = classes.select("digest", "rid", "weight").join(cut, "rid", "left").drop("rid")
 
@@ -246,23 +340,30 @@ def find_repeats(docs: DataFrame, window: int = 35, key: str = "doc_id", text: s
 
 
 def _cut(found: DataFrame, text: str) -> DataFrame:
-    """rid, ranges, n_removed and the digest of the kept words."""
+    """rid, ranges united, n_removed and the digest of the kept words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
-                removed, digest = [], []
+                removed, digest, united = [], [], []
                 for body, ranges in zip(batch.column(text).to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                     words = split_words(body)
-                    kept, at = [], 0
+                    kept, at, own = [], 0, []
                     for r in ranges:
+                        if own and r["start"] <= own[-1]["end"]:
+                            own[-1]["end"] = max(own[-1]["end"], r["end"])
+                        else:
+                            own.append(r)
+                    for r in own:
                         kept += words[at : r["start"]]
                         at = r["end"]
                     kept += words[at:]
+                    united.append(own)
                     removed.append(len(words) - len(kept))
                     digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("rid"), batch.column("ranges"), pa.array(removed, pa.int64()), pa.array(digest)], ["rid", "ranges", "n_removed", "kept_sha256"]
+                    [batch.column("rid"), pa.array(united, batch.column("ranges").type), pa.array(removed, pa.int64()), pa.array(digest)],
+                    ["rid", "ranges", "n_removed", "kept_sha256"],
                 )
 
     return in_arrow(found, run, "rid long, ranges array<struct<start:bigint,end:bigint>>, n_removed long, kept_sha256 string")
