@@ -57,16 +57,12 @@ def reference_number(reference: Column) -> Column:
     return F.regexp_extract(reference, r"[0-9]+(?:\.[0-9]+)*", 0)
 
 
-def rewrite_references(line: Column, numbers: Column) -> Column:
-    """``line`` with the number of each reference looked up in the map ``numbers``, all at once."""
-    parts = F.split(line, REFERENCE, -1)
-    found = F.transform(references(line), lambda r: _renumbered(r, numbers))
-    pairs = F.zip_with(parts, found, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+def put_references(line: Column, new: Column) -> Column:
+    """``line`` with its references replaced by those of the array ``new``, in order."""
+    pairs = F.zip_with(F.split(line, REFERENCE, -1), new, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
     return F.array_join(pairs, "")
 
 
-def _renumbered(reference: Column, numbers: Column) -> Column:
-    old = reference_number(reference)
-    lead = F.regexp_extract(reference, r"^[^0-9]*", 0)
-    tail = F.regexp_extract(reference, r"[^0-9.]*$", 0)
-    return F.concat(lead, F.coalesce(numbers[old], old), tail)
+def renumber(reference: Column, number: Column) -> Column:
+    """The reference with another number."""
+    return F.concat(F.regexp_extract(reference, r"^[^0-9]*", 0), number, F.regexp_extract(reference, r"[^0-9.]*$", 0))

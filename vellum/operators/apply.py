@@ -1,7 +1,8 @@
 """Applying an outline to lines, and the proof that nothing else changed.
 
-References are rewritten by one look-up in a map of the project (old number to new), so a
-chain of renumberings cannot run into itself.  A map holds a project's headings.
+References are looked up in the project's numbers (old to new) all at once, so a chain of
+renumberings cannot run into itself.  They travel as rows of their own, joined by project
+and number; no task holds the numbers of a project.
 """
 
 from __future__ import annotations
@@ -29,6 +30,16 @@ def with_owner(marked: DataFrame, headings: DataFrame) -> DataFrame:
     return joined.select(*[joined[c] for c in marked.columns], owner.alias("owner"), F.col("head").isNotNull().alias("is_head"))
 
 
+def renumbered(text: DataFrame, numbers: DataFrame) -> DataFrame:
+    """project, file, line_no, rewritten: the lines (outside code and headings) in which a reference's number has another name now."""
+    key = [*FILE, "line_no"]
+    refs = text.select(*key, "line", F.posexplode(X.references(F.col("line"))).alias("at", "ref")).withColumn("num", X.reference_number(F.col("ref")))
+    found = refs.join(numbers.select("project", "num", "target"), ["project", "num"], "left")
+    new = F.struct("at", F.when(F.col("target").isNull(), F.col("ref")).otherwise(X.renumber(F.col("ref"), F.col("target"))).alias("new"))
+    lines = found.groupBy(*key).agg(F.first("line").alias("line"), F.array_sort(F.collect_list(new)).alias("new"), F.count("target").alias("known")).filter("known > 0")
+    return lines.select(*key, X.put_references(F.col("line"), F.transform("new", lambda x: x["new"])).alias("rewritten"))
+
+
 def rewrite(marked: DataFrame, headings: DataFrame, outline: DataFrame) -> DataFrame:
     """All lines of the new manuscripts: project, file (where it goes), pos, k, old, line, is_head, src_file, src_line.
 
@@ -37,13 +48,12 @@ def rewrite(marked: DataFrame, headings: DataFrame, outline: DataFrame) -> DataF
     owned = with_owner(marked, headings)
     place = outline.filter("ord is not null").select("project", F.col("ord").alias("owner"), "state", "pos", "out_file", "out_file_ord", "new_level", "new_num", "new_title")
     joined = owned.join(place, ["project", "owner"], "left").filter("state is null or state <> 'deleted'").filter("not (is_head and state = 'merged')")
-    maps = number_map(outline).groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("num", "target"))).alias("numbers"))
-    joined = joined.join(maps, "project", "left")
+    text = joined.filter(~F.col("code") & ~F.col("is_head"))
+    joined = joined.join(renumbered(text, number_map(outline)), [*FILE, "line_no"], "left")
     title = F.concat_ws(" ", F.expr("repeat('#', new_level)"), "new_num", "new_title")
     same = X.heading_text(F.col("line")) == F.concat_ws(" ", "new_num", "new_title")
     keep_head = same & (X.heading_level(F.col("line")) == F.col("new_level"))
-    numbers = F.coalesce("numbers", F.create_map().cast("map<string,string>"))
-    body = F.when(F.col("code") | (F.size(X.references(F.col("line"))) == 0), F.col("line")).otherwise(X.rewrite_references(F.col("line"), numbers))
+    body = F.coalesce("rewritten", "line")
     line = F.when(F.col("is_head"), F.when(keep_head, F.col("line")).otherwise(title)).otherwise(body)
     old = joined.select(
         "project", F.coalesce("out_file", "file").alias("file"), F.coalesce("out_file_ord", "file_ord").alias("file_ord"), F.coalesce("pos", F.lit(0)).alias("pos"),

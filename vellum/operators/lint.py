@@ -1,8 +1,8 @@
 """Lint of headings in three layers: terminology, roles, structure.
 
-Each rule is a function from frames to findings; :func:`lint` is their union.  Dictionaries
-are broadcast only up to ``SMALL`` rows; a larger one is matched by words instead of by a
-nested loop.
+Each rule is a function from frames to findings; :func:`lint` is their union.  Terms are
+matched by an equi-join with the parts of a title that are as long as a term, so there is no
+nested loop over titles and terms; a dictionary is broadcast only up to ``SMALL`` rows.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions.roles import REQUIRED
+from vellum.operators.corpus import NUMERAL
 
 #: Informal word, standard candidate: a seed of our own.
 TERMS = [("软肋", "薄弱环节"), ("抓手", "关键措施"), ("精修", "修正"), ("反推", "反演"), ("印证", "检验"), ("摸底", "现状分析"), ("打通", "衔接")]
@@ -30,8 +31,13 @@ def finding(rule: str, layer: str, msg: Column, *, id: Column | None = None, tit
 
 def term_informal(headings: DataFrame, terms: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """Titles with an informal term and its standard candidate; ``allowed`` (project, term) are kept words."""
+    lengths = [r[0] for r in terms.select(F.char_length("informal")).distinct().collect() if r[0]]  # as many as the longest term has characters
+    if not lengths:
+        lengths = [1]
+    cut = lambda n: F.expr(f"if(char_length(title) >= {n}, transform(sequence(1, char_length(title) - {n - 1}), i -> substring(title, i, {n})), cast(array() as array<string>))")
+    titles = headings.withColumn("informal", F.explode(F.array_distinct(F.concat(*[cut(n) for n in sorted(lengths)]))))
     few = terms.limit(SMALL + 1).count() <= SMALL
-    hits = headings.join(F.broadcast(terms) if few else terms, F.col("title").contains(F.col("informal")))
+    hits = titles.join(F.broadcast(terms) if few else terms, "informal")
     if allowed is not None:
         kept = allowed.select("project", F.col("term").alias("informal"))
         hits = hits.join(kept, ["project", "informal"], "left_anti")
@@ -45,9 +51,12 @@ def title_colon(headings: DataFrame) -> DataFrame:
     return hits.select(*finding("title_colon", "structure", F.lit("title has a colon"), id=F.col("id"), title=F.col("title")))
 
 
-def title_length(headings: DataFrame, most: int = MAX_TITLE) -> DataFrame:
-    """Titles longer than the corpus allows."""
-    hits = headings.filter(F.char_length("title") > most)
+def title_length(headings: DataFrame, most: int | DataFrame = MAX_TITLE) -> DataFrame:
+    """Titles longer than a number of characters, or than the corpus allows for their level (level, max_title)."""
+    if isinstance(most, DataFrame):
+        hits = headings.join(F.broadcast(most.select("level", "max_title")), "level").filter(F.char_length("title") > F.col("max_title"))  # six levels
+    else:
+        hits = headings.filter(F.char_length("title") > most)
     msg = F.concat(F.lit("title has "), F.char_length("title").cast("string"), F.lit(" characters"))
     return hits.select(*finding("title_length", "structure", msg, id=F.col("id"), title=F.col("title")))
 
@@ -88,13 +97,13 @@ def role_wording(headings: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def chapter_pattern(headings: DataFrame, patterns: list[str]) -> DataFrame:
-    """Problem chapters whose title has none of the patterns."""
-    fits = reduce(lambda a, b: a | b, [F.col("title").rlike(p) for p in patterns], F.lit(False))
+    """Problem chapters whose title is none of the corpus's patterns (numerals as N)."""
+    fits = F.regexp_replace("title", NUMERAL, "N").isin(patterns)
     hits = headings.filter((F.col("role") == "problem_chapter") & ~fits)
     return hits.select(*finding("chapter_pattern", "structure", F.lit("problem chapter with an uncommon pattern"), id=F.col("id"), title=F.col("title")))
 
 
-def lint(marked: DataFrame, headings: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, forms: DataFrame | None = None, most: int = MAX_TITLE, patterns: list[str] | None = None) -> DataFrame:
+def lint(marked: DataFrame, headings: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, forms: DataFrame | None = None, most: int | DataFrame = MAX_TITLE, patterns: list[str] | None = None) -> DataFrame:
     """All findings of all projects."""
     parts = [
         term_informal(headings, terms, allowed),

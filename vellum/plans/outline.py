@@ -31,6 +31,14 @@ def resolve(ops: DataFrame, headings: DataFrame) -> DataFrame:
     return _target(_target(ops, headings, "id", "t"), headings, "after", "a")
 
 
+def paths(headings: DataFrame) -> DataFrame:
+    """project, ord, around: each heading with the sections that it lies in, its own included, one a level at most."""
+    upto = Window.partitionBy("project").orderBy("ord")
+    last = [F.last(F.when(F.col("level") == k, F.struct("ord", "subtree_end")), ignorenulls=True).over(upto) for k in LEVELS]
+    found = headings.select("project", "ord", F.array(*last).alias("path")).select("project", "ord", F.explode("path").alias("x")).filter("x.subtree_end > ord")
+    return found.select("project", "ord", F.col("x.ord").alias("around"))
+
+
 def problems(ops: DataFrame, headings: DataFrame) -> DataFrame:
     """project, seq, problem: everything that makes a plan invalid."""
     done = resolve(ops, headings)
@@ -46,11 +54,13 @@ def problems(ops: DataFrame, headings: DataFrame) -> DataFrame:
         ((F.col("op") == "move") & F.col("a_ord").between(F.col("t_ord"), F.col("t_subtree_end") - 1), F.lit("move into its own section")),
     ]
     simple = done.select("project", "seq", F.explode(F.array_compact(F.array(*[F.when(test, said) for test, said in checks]))).alias("problem"))
-    # An op inside a section that another op deletes or moves depends on it.
-    outer = done.filter(F.col("op").isin("delete", "move")).select("project", F.col("seq").alias("o_seq"), F.col("op").alias("o_op"), F.col("t_ord").alias("lo"), F.col("t_subtree_end").alias("hi"))
+    # An op inside a section that another op deletes or moves depends on it: the sections around a point are its path.
+    outer = done.filter(F.col("op").isin("delete", "move") & F.col("t_ord").isNotNull())
+    outer = outer.select("project", F.col("t_ord").alias("around"), F.col("seq").alias("o_seq"), F.col("op").alias("o_op"))
     point = F.explode(F.array(F.struct(F.col("t_ord").alias("at"), F.lit(False).alias("anchor")), F.struct(F.col("a_ord").alias("at"), F.lit(True).alias("anchor"))))
-    points = done.select("project", "seq", "op", point.alias("p")).filter("p.at is not null")
-    clash = points.join(outer, "project").filter("seq <> o_seq and p.at >= lo and p.at < hi and (o_op = 'delete' or p.anchor or op in ('move', 'delete', 'relevel', 'merge_up'))")
+    points = done.select("project", "seq", "op", point.alias("p")).select("project", "seq", "op", F.col("p.at").alias("ord"), "p.anchor").filter("ord is not null")
+    clash = points.join(paths(headings), ["project", "ord"]).join(outer, ["project", "around"])
+    clash = clash.filter("seq <> o_seq and (o_op = 'delete' or anchor or op in ('move', 'delete', 'relevel', 'merge_up'))")
     clash = clash.select("project", "seq", F.concat(F.lit("depends on op "), (F.col("o_seq") + 1).cast("string")).alias("problem"))
     twice = done.filter(named).groupBy("project", "id", "op").agg(F.count("*").alias("n"), F.max("seq").alias("seq")).filter("n > 1")
     twice = twice.select("project", "seq", F.lit("same op twice").alias("problem"))
@@ -70,12 +80,13 @@ def new_outline(headings: DataFrame, ops: DataFrame, numbering: str = "auto") ->
     base = base.join(by_id("rename", F.max_by("new", "seq").alias("renamed")), ["project", "id"], "left")
     base = base.join(by_id("merge_up", F.count("*").alias("merges")), ["project", "id"], "left")
 
+    around = paths(headings)
+
     def inner(op: str, *cols: Column) -> DataFrame:
-        """The innermost span of an op that a heading lies in."""
-        spans = done.filter(F.col("op") == op).select("project", F.col("t_ord").alias("lo"), F.col("t_subtree_end").alias("hi"), *cols)
-        names = spans.columns[3:]
-        hit = headings.select("project", "ord").join(spans, "project").filter("ord >= lo and ord < hi")
-        return hit.groupBy("project", "ord").agg(*[F.max_by(c, "lo").alias(c) for c in names])
+        """The innermost section of an op that a heading lies in."""
+        spans = done.filter(F.col("op") == op).select("project", F.col("t_ord").alias("around"), *cols)
+        hit = around.join(spans, ["project", "around"])
+        return hit.groupBy("project", "ord").agg(*[F.max_by(c, "around").alias(c) for c in spans.columns[2:]])
 
     out = base.join(inner("delete", F.lit(1).alias("deleted")), ["project", "ord"], "left")
     out = out.join(inner("relevel", (F.col("level") - F.col("t_level")).alias("shift")), ["project", "ord"], "left")
