@@ -19,6 +19,8 @@ from vellum.sources import adapters as S
 
 #: Terms for the invented English of the test tables.
 TERMS = [("the", "THE"), ("ing", "-ing"), ("th", "th.")]
+#: Old and new numbers; the last two stand in code or as a literal only.
+NUMBERS = [("1.1", "3.2.1"), ("2.2", "1.1"), ("2", "5"), ("9.9", "8.8"), ("12.3", "0")]
 #: Roles for it: by the letters a title begins with.
 RULES = [("alpha", 1, "^[A-H]", False), ("omega", 1, "^[S-Z]", True), ("sub_alpha", 2, "^[A-D]", False), ("sub_mid", 2, "^[I-R]", False)]
 
@@ -73,6 +75,11 @@ def inv_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.select("id", "title", F.col("level").cast("long").alias("level"), role_of(F.col("title"), F.col("level"), RULES).alias("role"))
 
 
+def inv_num_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = I.find_headings(I.mark_code(I.split_lines(S.page_sections(spark, sf_dir))))
+    return found.select("project", "id", F.col("level").cast("long").alias("level"), "title", "num", "num_style")
+
+
 def lint_term(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.term_informal(S.page_titles(spark, sf_dir), spark.createDataFrame(TERMS, "informal string, standard string"))
     return found.select("rule", "id", "title", "suggestion")
@@ -85,8 +92,27 @@ def lint_term_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_colon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = S.document_sections(spark, sf_dir).select("project", F.col("file").alias("id"), F.substring_index("text", "\n", 1).alias("title"))
-    return L.title_colon(first).select("project", "rule", "id", "title")
+    k = F.col("id").cast("long")
+    title = F.when(k % 3 == 0, F.concat("title", F.lit(": part"))).when(k % 5 == 1, F.concat("title", F.lit("：part"))).otherwise(F.col("title"))
+    return L.title_colon(S.page_titles(spark, sf_dir).withColumn("title", title)).select("project", "rule", "id", "title")
+
+
+def lint_length_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = S.document_sections(spark, sf_dir).filter("text is not null")
+    titles = docs.select("project", F.col("file").alias("id"), (F.col("file_ord") % 3 + 1).cast("int").alias("level"), F.substring_index("text", " ", 3).alias("title"))
+    return L.title_length(titles, C.thresholds(titles)).select("rule", "id", "title", "msg")
+
+
+def lint_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.find_references(I.mark_code(S.order_notes(spark, sf_dir)))
+    return found.select("project", "file", F.col("line_no").cast("long").alias("line_no"), "ref", "num", "kind")
+
+
+def lint_chapter_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chapters = _chapters(spark, sf_dir)
+    usual = [r["pattern"] for r in C.chapter_patterns(chapters, 3).collect()]
+    found = L.chapter_pattern(chapters.withColumn("project", F.lit("customers")), usual)
+    return found.select("rule", "id", "title")
 
 
 def lint_length(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,16 +137,31 @@ def lint_role_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.role_wording(titles, C.role_forms(titles, 3)).select("id", "title", "msg", "suggestion")
 
 
-def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+def plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = P.parse_plan(S.order_plans(spark, sf_dir))
+    return ops.select("project", "src", "numbering", F.col("seq").cast("long").alias("seq"), "op", "id", "after", F.col("level").cast("long").alias("level"), "title", "new")
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Ops with mistakes, and what is found."""
     _, headings = _catalog(spark, sf_dir)
     headings = settle(I.with_extent(headings))
-    found = P.problems(settle(S.bad_ops(S.catalog_ops(headings))), headings).filter("problem not like 'depends%' and problem <> 'same op twice'")
-    return found.select("project", F.col("seq").cast("long").alias("seq"), "problem")
+    ops = settle(S.bad_ops(S.catalog_ops(headings)))
+    return ops, P.problems(ops, headings)
+
+
+def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _broken(spark, sf_dir)[1].select("project", F.col("seq").cast("long").alias("seq"), "problem")
 
 
 def plan_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, headings, ops, _ = _planned(spark, sf_dir)
-    return P.problems(ops, headings).groupBy("problem").agg(F.count("*").alias("n"))
+    plans = [("valid", ops, P.problems(ops, headings)), ("broken", *_broken(spark, sf_dir))]
+    parts = []
+    for name, own, found in plans:
+        counts = own.groupBy("project").agg(F.count("*").alias("n_ops")).join(found.groupBy("project").agg(F.count("*").alias("n")), "project", "left")
+        parts.append(counts.select("project", F.lit(name).alias("plan"), "n_ops", F.coalesce("n", F.lit(0)).alias("n_problems"), F.col("n").isNull().alias("valid")))
+    return parts[0].unionByName(parts[1])
 
 
 def plan_outline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +178,20 @@ def _applied(kinds: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]
     return query
 
 
+def apply_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, headings, ops, _ = _planned(spark, sf_dir)
+    outline = P.new_outline(headings, ops, "keep")
+    return outline.select("project", "id", "state", F.col("pos").cast("long").alias("pos"), F.col("new_level").cast("long").alias("new_level"), "new_title", "new_num", "out_file")
+
+
+def apply_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = I.mark_code(S.order_notes(spark, sf_dir))
+    numbers = marked.select("project").distinct().crossJoin(F.broadcast(spark.createDataFrame(NUMBERS, "num string, target string")))  # a project has five numbers
+    found = A.renumbered(marked.filter("not code"), numbers)
+    lines = marked.join(found, ["project", "file", "line_no"], "left")
+    return lines.select("project", "file", F.col("line_no").cast("long").alias("line_no"), F.coalesce("rewritten", "line").alias("line"))
+
+
 def apply_number_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.number_map(_planned(spark, sf_dir)[3])
 
@@ -171,8 +226,18 @@ def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def verify_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end in a 7 are spoilt in the output: each is lost once and new once, as often as it stands there."""
     _, lines, again = _rebuilt(spark, sf_dir)
-    return A.drift(lines, again).groupBy("project", "side").agg(F.count("*").alias("n"))
+    spoilt = F.when(~F.col("is_head") & F.col("line").endswith("7 节"), F.concat("line", F.lit(" drift"))).otherwise(F.col("line"))
+    return A.drift(lines, again.withColumn("line", spoilt)).groupBy("project", "side", "line").agg(F.count("*").alias("n"))
+
+
+def verify_no_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Body lines of both sides, and how many of them differ."""
+    _, lines, again = _rebuilt(spark, sf_dir)
+    bad = A.drift(lines, again).groupBy("project").agg(F.count("*").alias("bad"))
+    body = lines.filter("not is_head and trim(line) <> ''").groupBy("project").agg(F.count("*").alias("n_lines"))
+    return body.join(bad, "project", "left").select("project", "n_lines", F.coalesce("bad", F.lit(0)).alias("n_drift"))
 
 
 def verify_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,13 +265,19 @@ def norms_role_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.role_forms(titles, 3).select("role", "title", "n", F.col("rank").cast("long").alias("rank"))
 
 
+def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = S.table(spark, sf_dir, "customer")
+    title = F.concat(F.lit("问题"), (F.col("c_custkey") % 40).cast("string"), F.lit(" "), "c_mktsegment")
+    return customers.select(F.col("c_custkey").cast("string").alias("id"), title.alias("title"), F.lit("problem_chapter").alias("role"))
+
+
 def norms_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chapters = S.table(spark, sf_dir, "customer").select(F.concat(F.lit("问题"), (F.col("c_custkey") % 40).cast("string"), F.lit(" "), "c_mktsegment").alias("title"), F.lit("problem_chapter").alias("role"))
-    return C.chapter_patterns(chapters, 5)
+    return C.chapter_patterns(_chapters(spark, sf_dir), 5)
 
 
 _PLAIN = (
     inv_lines, inv_digest, inv_code_mask, inv_headings, inv_counts, inv_own_body, inv_subtree, inv_roles, lint_term, lint_term_allowed, lint_colon, lint_length,
+    inv_num_style, lint_length_norms, lint_references, lint_chapter_pattern, plan_parse, apply_keep, apply_references, verify_no_drift,
     lint_role_unclear, lint_xref_missing, lint_skeleton, lint_role_wording, plan_problems, plan_valid, plan_outline_diff, apply_number_map, apply_lines, apply_ref_log,
     apply_deleted_warn, verify_drift, verify_assets, verify_source, report_changes, norms_thresholds, norms_role_forms, norms_patterns,
 )
@@ -275,6 +346,20 @@ moved as (select m.*, case when is_head then repeat('#', new_level) || ' ' || ne
   else regexp_replace(old, '[0-9]+\\.[0-9]+ 节', n.target || ' 节') end line from moved0 m left join nums n on n.project = m.project and not m.code and not m.is_head and n.num = regexp_extract(m.old, '([0-9]+\\.[0-9]+) 节', 1))"""
 
 
+_BROKEN = """b as (select project, seq, case when seq % 7 = 6 then 'shuffle' else op end op, case when op <> 'insert' then case when seq % 5 = 1 then 'none.md:999' else id end end id,
+  case when op = 'insert' then id when op = 'move' then first end after_, case when op in ('insert', 'relevel') then case when seq % 4 = 0 then 0 else 2 end end lvl, case when op = 'rename' then case when seq % 3 = 0 then ' ' else 'x' end end new from ops),
+res as (select b.*, t.ord tord, t.subtree_end tend, a.ord aord from b left join heads t on t.project = b.project and t.id = b.id left join heads a on a.project = b.project and a.id = b.after_),
+pts as (select project, seq, op, tord spot, false anchor from res where tord is not null union all select project, seq, op, aord, true from res where aord is not null),
+found as (select project, seq, 'unknown op shuffle' as problem from b where op = 'shuffle'
+  union select project, seq, 'unknown id none.md:999' from b where op <> 'shuffle' and id = 'none.md:999'
+  union select project, seq, 'illegal level 0' from b where op in ('relevel', 'insert') and lvl = 0
+  union select project, seq, 'rename without a title' from b where op = 'rename' and new = ' '
+  union select project, seq, 'move into its own section' from res where op = 'move' and aord >= tord and aord < tend
+  union select p.project, p.seq, 'depends on op ' || (o.seq + 1) from pts p join res o on o.project = p.project and o.op in ('delete', 'move') and p.spot >= o.tord and p.spot < o.tend and o.seq <> p.seq
+    where o.op = 'delete' or p.anchor or p.op in ('move', 'delete', 'relevel', 'merge_up')
+  union select project, max(seq), 'same op twice' from b where op in ('rename', 'merge_up', 'relevel', 'delete', 'move') group by project, id, op having count(*) > 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of every query."""
     alls = tuple(OP_KINDS)
@@ -282,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
     terms = "terms(informal, standard) as (values ('the', 'THE'), ('ing', '-ing'), ('th', 'th.'))"
     roles = f"roles as (select *, {_ROLE} as role from titles)"
     forms = "counted as (select role, title, count(*) n from roles where role is not null group by all), forms as (select *, row_number() over (partition by role order by n desc, title) as rank from counted qualify rank <= 3)"
+    notes = "notes as (select o_orderstatus project, o_custkey || '.md' file, row_number() over (partition by o_orderstatus, o_custkey order by o_orderkey) - 1 n, o_orderkey k, o_orderkey % 6 + 1 a, o_orderkey % 7 + 1 b, o_orderkey % 5 + 1 c from orders)"
     outline = "select project, id, state, pos::bigint pos, new_level::bigint new_level, new_title, new_num, out_file from outl"
     out = {
         "inv_lines": "select source as project, doc_id || '.md' as file, unnest(range(1, len(string_split(text, chr(10))) + 1))::bigint as line_no, unnest(string_split(text, chr(10))) as line from documents",
@@ -294,27 +380,32 @@ def oracle_sql() -> dict[str, str]:
         "inv_roles": f"with {page}, {roles} select id, title, level, role from roles",
         "lint_term": f"with {page}, {terms} select 'term_informal' as rule, id, title, standard as suggestion from titles join terms on contains(title, informal)",
         "lint_term_allowed": f"with {page}, {terms} select 'term_informal' as rule, id, title, standard as suggestion from titles join terms on contains(title, informal) where informal <> 'th'",
-        "lint_colon": "with t as (select source as project, doc_id || '.md' as id, string_split(text, chr(10))[1] title from documents) select project, 'title_colon' as rule, id, title from t where contains(title, ':') or contains(title, '：')",
+        "lint_colon": f"with {page}, t as (select id, case when id::bigint % 3 = 0 then title || ': part' when id::bigint % 5 = 1 then title || '：part' else title end title from titles) select 'pages' as project, 'title_colon' as rule, id, title from t where contains(title, ':') or contains(title, '：')",
+        "lint_length_norms": "with titles as (select doc_id || '.md' id, doc_id % 3 + 1 as level, array_to_string(string_split(text, ' ')[1:3], ' ') title from documents where text is not null), n as (select level, quantile_cont(length(title)::double, 0.95) most from titles group by level) select 'title_length' as rule, id, title, 'title has ' || length(title) || ' characters' as msg from titles join n using (level) where length(title) > most",
+        "lint_references": f"with {notes} select project, file, (n * 4 + 1)::bigint line_no, a || '.' || b || ' 节' as ref, a || '.' || b as num, 'section' as kind from notes union all select project, file, n * 4 + 1, '第 ' || c || ' 章', c::varchar, 'chapter' from notes",
+        "lint_chapter_pattern": "with t as (select c_custkey::varchar id, '问题' || (c_custkey % 40) || ' ' || c_mktsegment title, '问题N ' || c_mktsegment p from customer), u as (select p from t group by p order by count(*) desc, p limit 3) select 'chapter_pattern' as rule, id, title from t where p not in (select p from u)",
+        "inv_num_style": f"with {page} select 'pages' as project, id || '.md:1' as id, 1::bigint as level, rtrim(title) title, case when id::bigint % 3 <> 0 then id || '.' || (id::bigint % 4) end num, case when id::bigint % 3 <> 0 then 'arabic' else 'none' end num_style from titles",
+        "plan_parse": """with o as (select o_orderkey k from orders), x as (select k, 0 seq, 'rename' op, '01.md:' || k id, null "after", null lvl, null title, 'T' || k "new" from o union all select k, 1, 'insert', null, '01.md:' || k, k % 6 + 1, 'N', null from o union all select k, 2, 'delete', '02.md:' || k, null, null, null, null from o)
+select k::varchar project, 'paper/sections' as src, case when k % 3 = 0 then 'auto' else 'keep' end numbering, seq::bigint seq, op, id, "after", lvl::bigint as level, title, "new" from x""",
+        "apply_keep": f"with {_plan_sql(alls)} select project, id, state, pos::bigint pos, new_level::bigint new_level, new_title, case when state = 'kept' then num end new_num, out_file from outl",
+        "apply_references": f"""with {notes}, m as (select *, case a || '.' || b when '1.1' then '3.2.1' when '2.2' then '1.1' else a || '.' || b end s2, case c when 2 then 5 else c end c2 from notes)
+select project, file, (n * 4 + 1)::bigint line_no, '价 ' || (k % 90) || '.' || (k % 7) || ' 元，见 ' || s2 || ' 节与第 ' || c2 || ' 章' as line from m
+union all select project, file, n * 4 + i, l from notes, (values (2, '```'), (3, '见 9.9 节'), (4, '```')) x(i, l)""",
         "lint_length": f"with {page} select 'title_length' as rule, id, title, 'title has ' || length(title) || ' characters' as msg from titles where length(title) > 20",
         "lint_role_unclear": f"with {_LINES} select project, 'role_unclear' as rule, id, title from heads where level <= 2 and ({_ROLE}) is null",
         "lint_xref_missing": f"with {_LINES} select distinct project, 'xref_missing' as rule, 'no section for ' || regexp_extract(line, '([0-9]+\\.[0-9]+ 节)', 1) as msg from lines l where contains(line, ' 节') and not exists (select 1 from heads h where h.project = l.project and h.num = regexp_extract(l.line, '([0-9]+\\.[0-9]+) 节', 1))",
         "lint_skeleton": f"with {_LINES}, w(role) as (values ('alpha'), ('omega'), ('references')), r as (select project, {_ROLE} as role from heads) select distinct project, 'skeleton_missing' as rule, 'no section for role ' || w.role as msg from heads p cross join w where not exists (select 1 from r where r.project = p.project and r.role = w.role)",
         "lint_role_wording": f"with {page}, {roles}, {forms}, best as (select role, list_sort(list(distinct title)) l from forms group by role) select id, title, 'uncommon wording for role ' || role as msg, array_to_string(l, ' / ') as suggestion from roles join best using (role) where not list_contains(l, title)",
-        "plan_problems": f"""with {_plan_sql(alls)},
-b as (select project, seq, case when seq % 7 = 6 then 'shuffle' else op end op, case when op <> 'insert' then case when seq % 5 = 1 then 'none.md:999' else id end end id,
-  case when op = 'insert' then id when op = 'move' then first end after_, case when op in ('insert', 'relevel') then case when seq % 4 = 0 then 0 else 2 end end lvl, case when op = 'rename' then case when seq % 3 = 0 then ' ' else 'x' end end new, ord, op src from ops)
-select project, seq::bigint seq, 'unknown op shuffle' as problem from b where op = 'shuffle'
-union all select project, seq, 'unknown id none.md:999' from b where op <> 'shuffle' and id = 'none.md:999'
-union all select project, seq, 'illegal level 0' from b where op in ('relevel', 'insert') and lvl = 0
-union all select project, seq, 'rename without a title' from b where op = 'rename' and new = ' '
-union all select project, seq, 'move into its own section' from b where op = 'move' and id <> 'none.md:999' and ord = 1""",
-        "plan_valid": "select 'x' as problem, count(*) as n from region where false group by 1",
+        "plan_problems": f"with {_plan_sql(alls)}, {_BROKEN} select project, seq::bigint seq, problem from found",
+        "plan_valid": f"""with {_plan_sql(alls)}, {_BROKEN}, c as (select project, count(*) n_ops from ops group by project), f as (select project, count(*) n from found group by project)
+select project, 'valid' as plan, n_ops, 0::bigint n_problems, true valid from c union all select project, 'broken', n_ops, coalesce(n, 0), n is null from c left join f using (project)""",
         "plan_outline_diff": f"with {_plan_sql(alls)} select project, ord::bigint ord, pos::bigint pos, before, after_ as \"after\", mark from diffed",
         "apply_number_map": f"with {_plan_sql(alls)} select project, num, target from nums",
         "apply_lines": f"with {_plan_sql(alls)} select project, out_file as file, pos::bigint pos, src_line::bigint k, line from moved union all select project, out_file, pos, 0, repeat('#', new_level) || ' ' || new_num || ' ' || new_title from outl where state = 'inserted' union all select project, out_file, pos, 1, '' from outl where state = 'inserted'",
         "apply_ref_log": f"with {_plan_sql(alls)} select project, src_file as file, src_line::bigint src_line, old, line as new from moved where not is_head and old <> line",
         "apply_deleted_warn": f"with {_plan_sql(alls)} select m.project, m.src_file as file, m.src_line::bigint as line_no, regexp_extract(m.old, '([0-9]+\\.[0-9]+ 节)', 1) as ref, g.num || ' ' || g.title as warn from moved m join outl g on g.project = m.project and g.state = 'deleted' and not m.code and not m.is_head and g.num = regexp_extract(m.old, '([0-9]+\\.[0-9]+) 节', 1)",
-        "verify_drift": "select r_name as project, '' as side, count(*) as n from region where false group by 1",
+        "verify_drift": f"with {_plan_sql(alls)}, s as (select project, line, count(*) n from moved where not is_head and line like '%7 节' group by all) select project, 'lost' as side, line, n from s union all select project, 'new', line || ' drift', n from s",
+        "verify_no_drift": f"with {_plan_sql(alls)} select project, count(*) n_lines, 0::bigint n_drift from moved where not is_head and trim(line) <> '' group by project",
         "verify_assets": f"""with {_plan_sql(alls)}, gone as (select w.project, w.line from owned w join outl o on o.project = w.project and o.ord = w.own where o.state = 'deleted' and not w.code),
 t as (select project, 'label' as kind, regexp_extract(line, '\\{{#([^}}]+)\\}}', 1) as name, 1 n from gone where contains(line, '{{#') union all select project, 'figure', regexp_extract(line, '(!\\[f\\]\\(a.png\\))', 1), 1 from gone where contains(line, '![f]')
   union all select project, 'equation marks', '$$', 2 from gone where contains(line, '$$')),

@@ -85,10 +85,34 @@ def bad_ops(ops: DataFrame) -> DataFrame:
     )
 
 
+def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lines an order: a literal, a section and a chapter reference, and a fenced reference."""
+    k = F.col("o_orderkey")
+    text = F.format_string("价 %d.%d 元，见 %d.%d 节与第 %d 章", k % 90, k % 7, k % 6 + 1, k % 7 + 1, k % 5 + 1)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.posexplode(F.array(text, F.lit("```"), F.lit("见 9.9 节"), F.lit("```"))).alias("part", "line"))
+    number = F.row_number().over(Window.partitionBy("o_orderstatus", "o_custkey").orderBy("o_orderkey", "part"))
+    return orders.select(F.col("o_orderstatus").alias("project"), F.format_string("%d.md", "o_custkey").alias("file"), F.col("o_custkey").cast("int").alias("file_ord"), number.alias("line_no"), "line")
+
+
+def order_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan an order as JSON; every third names no numbering mode."""
+    k = F.col("o_orderkey")
+    head = F.when(k % 3 == 0, F.lit('{"src": "paper/sections", ')).otherwise(F.lit('{"src": "paper/sections", "numbering": "keep", '))
+    ops = F.format_string('"ops": [{"op": "rename", "id": "01.md:%d", "new": "T%d", "why": "-"}, {"op": "insert", "after": "01.md:%d", "level": %d, "title": "N"}, {"op": "delete", "id": "02.md:%d"}]}', k, k, k, k % 6 + 1, k)
+    return table(spark, sf_dir, "orders").select(k.cast("string").alias("project"), F.concat(head, ops).alias("value"))
+
+
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a page: its title as a heading, numbered but for every third."""
+    titles = page_titles(spark, sf_dir).withColumn("k", F.col("id").cast("long"))
+    lead = F.when(F.col("k") % 3 == 0, F.lit("# ")).otherwise(F.format_string("# %d.%d ", "k", F.col("k") % 4))
+    return titles.select("project", F.format_string("%d.md", "k").alias("file"), F.col("k").cast("int").alias("file_ord"), F.concat(lead, "title", F.lit("\n\nBody.\n")).alias("text"))
+
+
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project a source, a file a document."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("source").alias("project"), F.format_string("%d.md", "doc_id").alias("file"), F.col("doc_id").cast("int").alias("file_ord"), "text")
+    return docs.select(F.col("source").alias("project"), F.format_string("%d.md", "doc_id").alias("file"), F.col("doc_id").alias("file_ord"), "text")
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
