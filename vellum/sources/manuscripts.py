@@ -8,12 +8,13 @@ feeds and carriage returns); many projects are read in one job.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.schemas import RULES, SECTIONS, TERMS
+from vellum.schemas import OUTLINES, RULES, TERMS
 
 
 def _fs(spark: SparkSession, path: str):
@@ -67,8 +68,6 @@ def read_sections(spark: SparkSession, project: str, src: str = "paper/sections"
     rows = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.decode("content", "utf-8").alias("text"))
     order = parse_manifest(read_text(spark, f"{project}/{manifest}"))[1] if exists(spark, f"{project}/{manifest}") else []
     listed = F.broadcast(spark.createDataFrame([(f, i) for i, f in enumerate(order)], "file string, at int"))  # a manifest is a page
-
-
     rank = F.row_number().over(Window.orderBy(F.coalesce("at", F.lit(2**30)), "file")) - 1
     ranked = rows.select("file").join(listed, "file", "left").select("file", rank.cast("int").alias("file_ord"))
     return rows.join(ranked, "file").select(F.lit(PurePosixPath(project).name).alias("project"), "file", "file_ord", "text")
@@ -90,9 +89,10 @@ def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """A role rule table."""
-    return read_json_rows(spark, path, RULES)
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, int, str, bool]]:
+    """A role rule table in order of priority; a table of rules is a page."""
+    rows = read_json_rows(spark, path, RULES).orderBy("priority").collect()
+    return [(r["role"], r["level"], r["pattern"], bool(r["strict_level"])) for r in rows]
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -111,20 +111,30 @@ def read_project_terms(spark: SparkSession, project: str) -> DataFrame | None:
     return spark.createDataFrame(words, "project string, term string")
 
 
-def read_pdf_outlines(spark: SparkSession, path: str) -> DataFrame:
-    """file, level, title of the outlines of PDF documents; needs pymupdf on the executors."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+def pdf_toc(content: bytes) -> list[tuple[int, str]]:
+    """Level and title of the entries of a PDF's outline; needs pymupdf."""
+    import pymupdf
+
+    return [(level, title) for level, title, *_ in pymupdf.open(stream=content, filetype="pdf").get_toc()]
+
+
+def read_pdf_outlines(spark: SparkSession, path: str, toc: Callable[[bytes], list[tuple[int, str]]] = pdf_toc) -> DataFrame:
+    """file, level, title of the outlines of PDF documents, as ``toc`` reads them on the executors."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
 
     def run(batches):
         import pandas as pd
-        import pymupdf
 
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                toc = pymupdf.open(stream=content, filetype="pdf").get_toc()
-                yield pd.DataFrame([(file, level, title) for level, title, _ in toc], columns=["file", "level", "title"])
+            for file, content in zip(batch["file"], batch["content"], strict=True):
+                yield pd.DataFrame([(file, level, title) for level, title in toc(bytes(content))], columns=["file", "level", "title"])
+
+    return files.mapInPandas(run, OUTLINES)
 
-    return files.mapInPandas(run, "file string, level int, title string")
+
+def read_outlines(spark: SparkSession, path: str) -> DataFrame:
+    """file, level, title: a JSON array of outlines, or a folder of PDF documents."""
+    return read_json_rows(spark, path, OUTLINES) if path.endswith(".json") else read_pdf_outlines(spark, path)
 
 
 def write_sections(sections: DataFrame, folder: str) -> None:
@@ -133,7 +143,3 @@ def write_sections(sections: DataFrame, folder: str) -> None:
     for row in sections.select("file", "text").toLocalIterator():  # a manuscript's files, one at a time
         write_text(spark, f"{folder}/{row['file']}", row["text"])
 
-
-def empty_sections(spark: SparkSession) -> DataFrame:
-    """No manuscript at all."""
-    return spark.createDataFrame([], SECTIONS)

@@ -2,6 +2,10 @@
 
     python -m vellum.workbench PROJECT             inventory and lint; with a plan, its preview
     python -m vellum.workbench PROJECT --apply     apply the plan, lint again, report
+    python -m vellum.workbench OUT --norms CORPUS  FRAME_NORMS.json and .md from outlines
+
+``--references DIR`` names a folder that may hold ``heading_roles.json``, ``term_map.json``
+and ``FRAME_NORMS.json``; rules, terms and norms come from there instead of our seeds.
 
 Nothing is written below ``frame/sections`` unless the plan has no problem and no body line
 is lost; source files are never written.
@@ -16,7 +20,9 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions.roles import RULES, role_of
 from vellum.operators import apply as A
+from vellum.operators import corpus as C
 from vellum.operators import inventory as I
 from vellum.operators import lint as L
 from vellum.operators import report as R
@@ -25,23 +31,42 @@ from vellum.plans.settle import settle
 from vellum.sources import manuscripts as S
 
 
+class Norms:
+    """Rules, terms and norms of a folder, or our seeds; all of them are pages."""
+
+    def __init__(self, spark: SparkSession, folder: str | None) -> None:
+        path = lambda name: f"{folder.rstrip('/')}/{name}" if folder and S.exists(spark, f"{folder.rstrip('/')}/{name}") else None
+        rules, terms, norms = path("heading_roles.json"), path("term_map.json"), path("FRAME_NORMS.json")
+        self.rules = S.read_rules(spark, rules) if rules else RULES
+        self.terms = S.read_terms(spark, terms) if terms else spark.createDataFrame(L.TERMS, "informal string, standard string")
+        self.forms, self.most, self.patterns = None, L.MAX_TITLE, None
+        if norms:
+            held = json.loads(S.read_text(spark, norms))
+            self.forms = spark.createDataFrame([(r["role"], r["title"]) for r in held["role_forms"]], "role string, title string")
+            self.most = spark.createDataFrame([(r["level"], float(r["max_title"])) for r in held["thresholds"]], "level int, max_title double")
+            self.patterns = [r["pattern"] for r in held["patterns"]]
+
+
 class Project:
     """The frames of one project; headings are read by every step and kept."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
+    def __init__(self, spark: SparkSession, root: str, references: str | None = None) -> None:
         self.spark, self.root, self.frame = spark, root.rstrip("/"), f"{root.rstrip('/')}/frame"
         self.name = self.root.rpartition("/")[2]
-        self.sections = S.read_sections(spark, self.root).cache()
-        marked, headings = I.inventory(self.sections)
+        self.references = Norms(spark, references)
+        plan = f"{self.frame}/frame_plan.json"
+        self.src = (S.exists(spark, plan) and json.loads(S.read_text(spark, plan)).get("src")) or "paper/sections"
+        self.sections = S.read_sections(spark, self.root, self.src).cache()
+        marked, headings = I.inventory(self.sections, self.references.rules)
         self.marked, self.headings = settle(marked), settle(headings)
         self.outline: DataFrame | None = None
-        self.terms = spark.createDataFrame(L.TERMS, "informal string, standard string")
 
     def write(self, name: str, text: str) -> None:
         S.write_text(self.spark, f"{self.frame}/{name}", text)
 
     def lint(self, marked: DataFrame, headings: DataFrame) -> DataFrame:
-        return L.lint(marked, headings, self.terms, S.read_project_terms(self.spark, self.root))
+        r = self.references
+        return L.lint(marked, headings, r.terms, S.read_project_terms(self.spark, self.root), r.forms, r.most, r.patterns)
 
     def read_only(self) -> DataFrame:
         """Inventory and lint."""
@@ -69,18 +94,18 @@ class Project:
         result: dict = {"written": False, "problems": bad, "verify": {"fail": [], "warn": []}, "refs": []}
         if not bad:
             outline = self.outline = settle(P.new_outline(self.headings, ops, numbering))
-            before = S.digests(self.spark, self.root).collect()
+            before = S.digests(self.spark, self.root, self.src).collect()
             lines = settle(A.rewrite(self.marked, self.headings, outline))
             built = settle(A.join_sections(lines, self.sections))
             order = self.sections.select("project", "file", "file_ord")
             again = built.join(order, ["project", "file"])
             marked = settle(I.mark_code(I.split_lines(again)))
-            heads = I.find_headings(marked).select("project", "file", "line_no", F.lit(True).alias("is_head"))
+            heads = I.find_headings(marked, self.references.rules).select("project", "file", "line_no", F.lit(True).alias("is_head"))
             found = marked.join(heads, ["project", "file", "line_no"], "left").withColumn("is_head", F.coalesce("is_head", F.lit(False)))
             fail = [f"{r['side']}: {r['line']}" for r in A.drift(lines, found).collect()]
             gone = A.with_owner(self.marked, self.headings).join(outline.filter("state = 'deleted'").select("project", F.col("ord").alias("owner")), ["project", "owner"], "left_anti")
             fail += [f"{r['kind']} {r['name']}: {r['n_before']} → {r['n_after']}" for r in A.asset_changes(A.assets(gone), A.assets(marked)).collect()]
-            fail += [f"source changed: {r['file']}" for r in S.digests(self.spark, self.root).collect() if r not in before]
+            fail += [f"source changed: {r['file']}" for r in S.digests(self.spark, self.root, self.src).collect() if r not in before]
             result["verify"] = {"fail": fail, "warn": sorted({f"{r['file']}:{r['line_no']} {r['ref']} → {r['warn']}" for r in A.deleted_warnings(self.marked, self.headings, outline).collect()})}
             result["refs"] = [{"file": r["file"], "old": r["old"], "new": r["new"]} for r in A.reference_log(lines).orderBy("file", "src_line").collect()]
             if not fail:
@@ -93,7 +118,7 @@ class Project:
     def after(self, result: dict) -> None:
         """Lint of the output and the report."""
         sections = S.read_sections(self.spark, self.root, src="frame/sections", manifest="frame/paper.yaml").cache()
-        marked, headings = I.inventory(sections)
+        marked, headings = I.inventory(sections, self.references.rules)
         findings = settle(self.lint(settle(marked), settle(headings)))
         self.write("frame_lint_after.json", R.lint_json(findings))
         self.write("FRAME_LINT_AFTER.md", R.lint_markdown(findings, "Lint after"))
@@ -102,9 +127,17 @@ class Project:
         self.write("FRAME_REPORT.md", R.report_markdown(result["written"], diff, result["refs"], result["verify"]["warn"], before, findings.count()))
 
 
-def run(spark: SparkSession, root: str, apply: bool = False, strict: bool = False) -> int:
+def build_norms(spark: SparkSession, outlines: DataFrame, out: str, references: str | None = None) -> None:
+    """FRAME_NORMS.json and FRAME_NORMS.md from outlines (file, level, title)."""
+    titles = outlines.withColumn("role", role_of(F.col("title"), F.col("level"), Norms(spark, references).rules))
+    found = C.norms(settle(titles))
+    S.write_text(spark, f"{out}/FRAME_NORMS.json", C.norms_json(found))
+    S.write_text(spark, f"{out}/FRAME_NORMS.md", C.norms_markdown(found))
+
+
+def run(spark: SparkSession, root: str, apply: bool = False, strict: bool = False, references: str | None = None) -> int:
     """The exit code of a run."""
-    project = Project(spark, root)
+    project = Project(spark, root, references)
     project.read_only()
     planned = S.exists(spark, f"{project.frame}/frame_plan.json")
     if not apply:
@@ -127,9 +160,14 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("project")
     parser.add_argument("--apply", action="store_true")
     parser.add_argument("--strict", action="store_true")
+    parser.add_argument("--references")
+    parser.add_argument("--norms", metavar="CORPUS")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("workbench").config("spark.ui.enabled", "false").getOrCreate()
-    return run(spark, given.project, given.apply, given.strict)
+    if given.norms:
+        build_norms(spark, S.read_outlines(spark, given.norms), given.project, given.references)
+        return 0
+    return run(spark, given.project, given.apply, given.strict, given.references)
 
 
 if __name__ == "__main__":
