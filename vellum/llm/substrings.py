@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -239,33 +240,49 @@ def cover(segments: list[bytes], window: int) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = [[] for _ in segments]
     words, offsets = word_hashes(segments)
     at = np.flatnonzero(inside(offsets, window, len(words)))
-    _, first, times = np.unique(gram_hashes(words, window)[at], return_index=True, return_counts=True)
-    at = np.sort(at[first[times > 1]])
-    if not len(at):
+    _, first, group, times = np.unique(gram_hashes(words, window)[at], return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[group] > 1)
+    if not len(again):
         return out
+    # stretches of windows whose hashes recur: only there can an example match
+    example = np.zeros(len(at), bool)
+    example[first] = True
+    at, example = at[again], example[again]
     owner = np.searchsorted(offsets, at, "right") - 1
-    examples = list(zip(owner.tolist(), (at - offsets[owner]).tolist(), strict=True))
+    cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]))))
     number: dict[bytes, int] = {}
-    coded = [tuple([number.setdefault(w, len(number) + 1) for w in s.split()]) for s in segments]
+    coded: list[tuple[int, int, tuple[int, ...]]] = []  # segment, first word, words as numbers
+    split, of = [], -1
+    for a, b in pairwise([*cuts.tolist(), len(at)]):
+        k = int(owner[a])
+        if k != of:
+            split, of = segments[k].split(), k
+        start = int(at[a] - offsets[k])
+        coded.append((k, start, tuple([number.setdefault(w, len(number) + 1) for w in split[start : start + b - a + window - 1]])))
+    chosen = np.flatnonzero(example)
+    stretch = np.searchsorted(cuts, chosen, "right") - 1
+    examples = list(zip(stretch.tolist(), (chosen - cuts[stretch]).tolist(), strict=True))
     for a in range(0, len(examples), PATTERNS):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for k, place in examples[a : a + PATTERNS]:
-            automaton.add_word(coded[k][place : place + window], (k, place))
+            segment, start, own = coded[k]
+            automaton.add_word(own[place : place + window], (segment, start + place))
         automaton.make_automaton()
         confirmed = set()
-        for k, own in enumerate(coded):
-            ranges = out[k]
-            for end, example in automaton.iter(own):
-                start = end + 1 - window
-                if example == (k, start):
+        for segment, begin, own in coded:
+            ranges = out[segment]
+            shift = begin + 1 - window
+            for end, place in automaton.iter(own):
+                start = end + shift
+                if place == (segment, start):
                     continue
-                confirmed.add(example)  # it stands elsewhere, word for word
+                confirmed.add(place)  # it stands elsewhere, word for word
                 if ranges and ranges[-1][0] <= start <= ranges[-1][1]:
-                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], end + 1))
+                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], start + window))
                 else:
-                    ranges.append((start, end + 1))
-        for k, start in sorted(confirmed):
-            ranges = out[k]
+                    ranges.append((start, start + window))
+        for segment, start in sorted(confirmed):
+            ranges = out[segment]
             if ranges and ranges[-1][0] <= start <= ranges[-1][1]:
                 ranges[-1] = (ranges[-1][0], max(ranges[-1][1], start + window))
             else:
