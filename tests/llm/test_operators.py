@@ -174,6 +174,30 @@ def test_near_dedup_stars_and_boilerplate(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == {i: least[r] for i, r in enumerate(roots)} and len(least) == 101
 
 
+def test_near_dedup_thinly_linked_members(spark, monkeypatch):
+    """A group of many edits of a text, and documents that are linked with few of them, one with one only."""
+    monkeypatch.setattr(near_dedup, "LEAF", 8)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(240):  # one word each
+        words = list(base)
+        words[int(rng.integers(400))] = f"edit{i}"
+        texts.append(words)
+    for i in range(24):  # edits of an edit, just within reach of it
+        words = list(texts[int(rng.integers(240))])
+        for p in rng.choice(66, 14 if i % 2 else 13, replace=False):
+            words[p * 6 + 1] = f"far{i}x{p}"
+        texts.append(words)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets, roots = jaccard_classes(rows, 70)
+    degree = [sum(i != j and 100 * len(s & t) >= 70 * len(s | t) for j, t in enumerate(sets)) for i, s in enumerate(sets)]
+    assert min(degree[240:]) < 240
+    least = {r: min(i for i, x in enumerate(roots) if x == r) for r in set(roots)}
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: least[r] for i, r in enumerate(roots)}
+
+
 def test_crossing_pairs():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.choice(60, rng.integers(1, 60))).astype(np.uint64) for _ in range(150)] + [np.array([99], np.uint64)]

@@ -2,8 +2,9 @@
 
 Each round links every vertex to the smallest it knows of (large star, then small star);
 the number of rounds grows with the logarithm of the longest path.  A vertex with very
-many links is only ever aggregated and joined, never gathered, and each round is cut off
-by a table in the shared folder.
+many links is only ever aggregated and joined, never gathered: what is aggregated is a table
+in the shared folder before the join, which is a broadcast where it is counted to be small,
+else one whose hot keys the engine can split.  Each round is cut off by such a table too.
 """
 
 from __future__ import annotations
@@ -11,20 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import sendable, stage
+
+#: Vertices that are sent to every executor in a round; there are several rounds.
+FEW = 100_000
 
 
 def _stars(edges: DataFrame) -> DataFrame:
     """(a, b) from each vertex a to the least vertex b that it has a link with, or is, for all its larger neighbours too."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+    return both.join(sendable(least, FEW), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """The same with smaller neighbours; ``edges`` go from larger to smaller vertices."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = stage(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = edges.join(sendable(least, FEW), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

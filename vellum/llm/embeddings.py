@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .batches import in_arrow
 from .components import components
-from .staging import stage
+from .staging import sendable, stage
 
 SAMPLE, BLOCK, ROUNDS = 8192, 4096, 8
 
@@ -122,7 +122,8 @@ def near_duplicates(table: DataFrame, least: float = 0.98, key: str = "vec_id",
     named = classes.select("rid", "id", "label", "v", "copies").join(counts, "rid", "left").join(roots, "rid", "left")
     named = named.withColumn("root", F.coalesce("root", "rid"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("best")
-    named = named.join(named.groupBy("root").agg(best), "root")
+    named = stage(named, "rooted")
+    named = named.join(sendable(stage(named.groupBy("root").agg(best), "best")), "root")
     named = named.select("label", "v", F.col("best.id").alias("c"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = rows.filter("usable").join(named, ["label", "v"]).select("id", "n_links", "c")
     alone = rows.filter("not usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("c"))

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import in_arrow, slices, sole
-from .components import components
+from .components import FEW, components
 from .staging import sendable, stage
 from .textunits import LOWER, gram_hashes, inside, mix, word_hashes
 
@@ -446,7 +446,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
     rooted = reps.select("key1", "key2", "id", "rid").join(classes_of, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("best")
-    named = rooted.join(rooted.groupBy("root").agg(best), "root").select("key1", "key2", F.col("best.id").alias("c"), F.col("best.rid").alias("first"))
+    rooted = stage(rooted, "rooted")
+    named = rooted.join(sendable(stage(rooted.groupBy("root").agg(best), "best"), FEW), "root").select("key1", "key2", F.col("best.id").alias("c"), F.col("best.rid").alias("first"))
     placed = with_set.select("rid", "id", "th", "n_shingles", "key1", "key2").join(named, ["key1", "key2"]).drop("key1", "key2")
     alone = rows.filter("n_shingles = 0").select("rid", "id", "th", "n_shingles", F.col("id").alias("c"), F.col("rid").alias("first"))
     return placed.unionByName(alone).select(

@@ -94,6 +94,6 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 SENDABLE = 1_000_000
 
 
-def sendable(keys: DataFrame) -> DataFrame:
+def sendable(keys: DataFrame, most: int = SENDABLE) -> DataFrame:
     """``keys`` (narrow rows) marked for broadcast if they are counted to be few, else for a sort-merge join."""
-    return F.broadcast(keys) if keys.count() <= SENDABLE else keys.hint("merge")
+    return F.broadcast(keys) if keys.count() <= most else keys.hint("merge")
