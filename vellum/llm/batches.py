@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,19 +27,42 @@ def sole(name: str, forget: Callable[[], None] | None = None) -> None:
         _kept[name] = forget
 
 
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to hand large blocks back as soon as they are free."""
+    libc = ctypes.CDLL(None)
+    if not hasattr(libc, "mallopt") or not hasattr(libc, "malloc_trim"):
+        return None
+    libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD of malloc.h
+    return libc
+
+
 def rest() -> None:
     """Give memory that is free back to the system; idle workers count as the executor's."""
     gc.collect()
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    if _libc():
+        _libc().malloc_trim(0)
+
+
+#: Bytes that go to a Python worker at a time, whatever the number of rows.
+BATCH_BYTES = 4 << 20
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow`` with :func:`rest` at the end of each task."""
+    """``df.mapInArrow`` with :func:`rest` at the end of each task.
+
+    The session's bound of an Arrow batch in bytes is lowered to ``BATCH_BYTES``; a lower one stays.
+    Without it a batch of long texts is as large as 10,000 of them.
+    """
+    conf = df.sparkSession.conf
+    parse = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < parse(conf.get(_BYTES_KEY)) <= BATCH_BYTES:
+        conf.set(_BYTES_KEY, str(BATCH_BYTES))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _libc()
         try:
             yield from run(batches)
         finally:
