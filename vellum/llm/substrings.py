@@ -8,11 +8,12 @@ window whose words also start anywhere else, in the same text or another.
    so a text has about one row (anchor, first window, count) for 13 words.  Equal windows
    have equal anchors, hence only anchors that recur can hold recurring windows.
 2. Texts with the same words become one; if there are several, all of it recurs.
-3. The places of recurring anchors are dealt by anchor, each with its words.  A shard
-   picks an example of each window whose hash recurs, compiles the examples' words into
-   Aho-Corasick automata and streams all its places through them: an occurrence elsewhere
-   confirms the example, and both cover their words.  An automaton holds ``PATTERNS``
-   windows at most.
+3. The places of recurring anchors are dealt by anchor, each with its words.  In a shard,
+   windows in a row whose hashes recur make a passage.  Passages with the same words are one
+   text, which is a pattern as a whole; a passage that stands once gives an example of each
+   of its windows.  Aho-Corasick automata of these patterns read every different passage,
+   and what they find holds at all its places: an occurrence elsewhere confirms an example,
+   and both cover their words.  An automaton holds ``PATTERNS`` patterns at most.
 4. Anchors with over ``HOT`` places (a passage that a third of all texts share) are split.
    Their windows are counted by hash, pre-aggregated in every task; each hash that recurs
    gets one place as its example, whose words become a pattern.  Places and patterns are
@@ -46,7 +47,7 @@ from .textunits import gram_hashes, inside, word_hashes
 GRAM = 10
 #: Places of an anchor from which on it is split, and places in a shard of such anchors.
 HOT, SHARD = 20_000, 4_000
-#: Windows of one automaton, and words of text it is built for at a time.
+#: Patterns of one automaton, and words of text it is built for at a time.
 PATTERNS, TOGETHER = 50_000, 400_000
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -240,53 +241,65 @@ def cover(segments: list[bytes], window: int) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = [[] for _ in segments]
     words, offsets = word_hashes(segments)
     at = np.flatnonzero(inside(offsets, window, len(words)))
-    _, first, group, times = np.unique(gram_hashes(words, window)[at], return_index=True, return_inverse=True, return_counts=True)
+    _, group, times = np.unique(gram_hashes(words, window)[at], return_inverse=True, return_counts=True)
     again = np.flatnonzero(times[group] > 1)
     if not len(again):
         return out
-    # stretches of windows whose hashes recur: only there can an example match
-    example = np.zeros(len(at), bool)
-    example[first] = True
-    at, example = at[again], example[again]
+    # passages: windows in a row whose hashes recur; those with the same words are one
+    at, group = at[again], group[again]
     owner = np.searchsorted(offsets, at, "right") - 1
     cuts = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]))))
+    windows = np.diff(cuts, append=len(at))
+    segment, size = owner[cuts], windows + window - 1
+    whole = size == np.diff(offsets)[segment]
+    passages: dict[bytes, int] = {}
+    places: list[list[tuple[int, int]]] = []
+    name = np.zeros(len(cuts), np.int64)
+    for c, (k, a, n, all_) in enumerate(zip(segment.tolist(), (at[cuts] - offsets[segment]).tolist(), size.tolist(), whole.tolist(), strict=True)):
+        name[c] = own = passages.setdefault(segments[k] if all_ else b" ".join(segments[k].split()[a : a + n]), len(passages))
+        if own == len(places):
+            places.append([])
+        places[own].append((k, a))
+    # what stands once needs an example of each of its windows, what stands again is a pattern itself
+    alone = [len(p) == 1 for p in places]
+    asked = np.zeros(len(times), bool)
+    asked[group[np.repeat(np.array(alone)[name], windows)]] = True
+    wanted = np.flatnonzero(asked[group])
+    example = wanted[np.unique(group[wanted], return_index=True)[1]]
+    stretch = np.searchsorted(cuts, example, "right") - 1
+    patterns = [(p, a, window) for p, a in zip(name[stretch].tolist(), (example - cuts[stretch]).tolist(), strict=True)]
     number: dict[bytes, int] = {}
-    coded: list[tuple[int, int, tuple[int, ...]]] = []  # segment, first word, words as numbers
-    split, of = [], -1
-    for a, b in pairwise([*cuts.tolist(), len(at)]):
-        k = int(owner[a])
-        if k != of:
-            split, of = segments[k].split(), k
-        start = int(at[a] - offsets[k])
-        coded.append((k, start, tuple([number.setdefault(w, len(number) + 1) for w in split[start : start + b - a + window - 1]])))
-    chosen = np.flatnonzero(example)
-    stretch = np.searchsorted(cuts, chosen, "right") - 1
-    examples = list(zip(stretch.tolist(), (chosen - cuts[stretch]).tolist(), strict=True))
-    for a in range(0, len(examples), PATTERNS):
+    coded = [tuple([number.setdefault(w, len(number) + 1) for w in p.split()]) for p in passages]
+    patterns += [(p, 0, len(coded[p])) for p in range(len(coded)) if not alone[p]]
+    found: list[list[tuple[int, int]]] = [[] for _ in coded]
+    for x in range(0, len(patterns), PATTERNS):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for k, place in examples[a : a + PATTERNS]:
-            segment, start, own = coded[k]
-            automaton.add_word(own[place : place + window], (segment, start + place))
+        for pattern in patterns[x : x + PATTERNS]:
+            p, a, n = pattern
+            automaton.add_word(coded[p][a : a + n], pattern)
         automaton.make_automaton()
         confirmed = set()
-        for segment, begin, own in coded:
-            ranges = out[segment]
-            shift = begin + 1 - window
-            for end, place in automaton.iter(own):
-                start = end + shift
-                if place == (segment, start):
-                    continue
-                confirmed.add(place)  # it stands elsewhere, word for word
+        for own, text in enumerate(coded):
+            ranges = found[own]
+            for end, (p, a, n) in automaton.iter(text):
+                start = end + 1 - n
+                if alone[p]:
+                    if p == own and a == start:
+                        continue
+                    confirmed.add((p, a))  # it stands elsewhere, word for word
                 if ranges and ranges[-1][0] <= start <= ranges[-1][1]:
-                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], start + window))
+                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], start + n))
                 else:
-                    ranges.append((start, start + window))
-        for segment, start in sorted(confirmed):
-            ranges = out[segment]
+                    ranges.append((start, start + n))
+        for p, start in sorted(confirmed):
+            ranges = found[p]
             if ranges and ranges[-1][0] <= start <= ranges[-1][1]:
                 ranges[-1] = (ranges[-1][0], max(ranges[-1][1], start + window))
             else:
                 ranges.append((start, start + window))
+    for ranges, where in zip(found, places, strict=True):
+        for k, a in where:
+            out[k] += [(a + x, a + y) for x, y in ranges]
     return out
 
 
