@@ -424,6 +424,27 @@ def test_substrings(spark, tables, docs, hot, patterns, monkeypatch):
     assert bag((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found.collect()) == want
 
 
+@pytest.mark.parametrize("patterns", [1, 3, 50_000])
+def test_cover_by_definition(patterns, monkeypatch):
+    """Passages that stand once, again, inside each other and twice in one segment; short windows make overlaps common."""
+    monkeypatch.setattr(substrings, "PATTERNS", patterns)
+    rng = np.random.default_rng(patterns)
+    draw = lambda n: [b"abc"[i : i + 1] for i in rng.integers(0, 3, n)]
+    for _ in range(400):
+        window = int(rng.choice([2, 3, 5]))
+        pool = [draw(rng.integers(1, 13)) for _ in range(4)]
+        segments = []
+        for _ in range(rng.integers(0, 8)):
+            words = [w for k in rng.integers(0, 4, rng.integers(1, 3)) for w in pool[k]]
+            if rng.random() < 0.4:
+                words[rng.integers(len(words))] = b"z"
+            segments.append(words)
+        counts = bag(tuple(w[i : i + window]) for w in segments for i in range(len(w) - window + 1))
+        want = [{i + k for i in range(len(w) - window + 1) if counts[tuple(w[i : i + window])] > 1 for k in range(window)} for w in segments]
+        got = substrings.cover([b" ".join(w) for w in segments], window)
+        assert [{i for a, b in ranges for i in range(a, b)} for ranges in got] == want
+
+
 def test_decontamination(spark, tables, docs):
     items = duckdb.sql(f"select item_id, text from '{tables}/benchmark.parquet/*.parquet'").fetchall()
     got = {(r.doc_id, r.item_id) for r in Q.op10_decontaminate(spark, tables).collect()}
