@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, language, licences, near_dedup, secrets, sharding, substrings, token_files
+from . import alignment, bpe, conversations, decontaminate, embeddings, language, licences, near_dedup, secrets, sharding, substrings, token_counts, token_files
 from .staging import new_folder
 
 
@@ -113,9 +113,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def piece_path() -> str:
+    """The piece vocabulary that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every text."""
+    return alignment.aligned_texts(documents(spark, sf_dir), tokenizer_path(), piece_path())
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's tokens under the piece vocabulary, and whether they are over 4,096."""
+    return token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), piece_path(), 4096).drop("text")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    return conversations.damaged_and_repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to function."""
-    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op5_embeddings, op6_language, op7_sharding, op8_substrings, op9_bpe, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_token_files, op2_secrets, op3_near_dedup, op4_licences, op5_embeddings, op6_language, op7_sharding, op8_substrings, op9_bpe, op10_decontaminate, op11_alignment, op12_token_counts, op13_conversations)}
 
 
 _WORDS = "'[^\\x20\\x09-\\x0D]+'"
