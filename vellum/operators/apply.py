@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.operators.lint import find_references
+from vellum.plans.settle import settle
 
 FILE = ["project", "file"]
 
@@ -89,17 +90,34 @@ def deleted_warnings(marked: DataFrame, headings: DataFrame, outline: DataFrame)
     return hits.select("project", "file", "line_no", "ref", F.concat_ws(" ", "num", "title").alias("warn"))
 
 
+#: Parts of a project's lines that are compared by fingerprint, and how many differing ones are sent to every executor.
+PARTS = 1024
+SENT = 100_000
+
+
 def drift(rewritten: DataFrame, result: DataFrame) -> DataFrame:
     """project, side, line: body lines that were lost or came up between source and output sections.
 
     ``rewritten`` are the source lines less deleted sections, with their logged reference
     changes; ``result`` holds the lines of the output as read again (project, line,
-    is_head).  Both have to be the same multiset.
+    is_head).  Both have to be the same multiset.  Lines are dealt into parts by their hash,
+    and each part has a fingerprint: the sums of two 64-bit hashes over its lines, in halves,
+    those of the output taken off.  Only parts whose fingerprint isn't zero are compared line
+    by line, so no line is shuffled where nothing drifted.
     """
-    expected = rewritten.filter("not is_head and trim(line) <> ''").select("project", "line")
-    found = result.filter("not is_head and trim(line) <> ''").select("project", "line")
-    lost, new = expected.exceptAll(found), found.exceptAll(expected)
-    return lost.select("project", F.lit("lost").alias("side"), "line").unionByName(new.select("project", F.lit("new").alias("side"), "line"))
+    body = lambda df, n: df.filter("not is_head and trim(line) <> ''").select("project", "line", F.lit(n).alias("n"))
+    both = body(rewritten, 1).unionByName(body(result, -1)).withColumn("h", F.xxhash64("line"))
+    both = both.withColumn("part", F.pmod("h", F.lit(PARTS)))
+    low, high = lambda h: h.bitwiseAND(0xFFFFFFFF), lambda h: F.shiftright(h, 32)
+    other = F.xxhash64(F.lit("line"), "line")
+    sums = {"n": F.lit(1), "a": low(F.col("h")), "b": high(F.col("h")), "c": low(other), "d": high(other)}
+    prints = both.groupBy("project", "part").agg(*[F.sum(F.col("n") * v).alias(f"s_{k}") for k, v in sums.items()])
+    differ = settle(prints.filter(" or ".join(f"s_{k} <> 0" for k in sums)).select("project", "part"))
+    few = differ.limit(SENT + 1).count() <= SENT
+    lines = both.join(F.broadcast(differ) if few else differ, ["project", "part"], "left_semi")
+    odd = lines.groupBy("project", "line").agg(F.sum("n").alias("n")).filter("n <> 0")
+    copies = F.explode(F.array_repeat(F.when(F.col("n") > 0, "lost").otherwise("new"), F.abs("n").cast("int")))
+    return odd.select("project", copies.alias("side"), "line")
 
 
 def assets(marked: DataFrame) -> DataFrame:

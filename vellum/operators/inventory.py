@@ -1,7 +1,7 @@
 """From manuscripts to headings and their statistics.
 
-Everything is a window or an aggregation by project or file.  A project's outline is small
-against its text; lines are only ever dealt by (project, file).
+Numbers, extents and sums of an outline are scans over blocks (:mod:`vellum.functions.scan`),
+a block being a stretch of lines of one file: no task holds a whole project or a whole file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions.roles import RULES, role_of
+from vellum.functions.scan import BLOCK_BITS, Running, scan
 from vellum.schemas import LEVELS, STATS
 
 FILE = ("project", "file")
@@ -50,19 +51,25 @@ def mark_code(lines: DataFrame) -> DataFrame:
     return joined.select(*[joined[c] for c in lines.columns], inside.alias("code"), (F.coalesce("opened", F.lit(0)) == 1).alias("opens"))
 
 
+def in_order(headings: DataFrame, running: Running) -> DataFrame:
+    """Running values over the headings of each project, in blocks of ``BLOCK_BITS`` lines."""
+    cut = headings.withColumn("__stretch", F.shiftright("line_no", BLOCK_BITS))
+    return scan(cut, ["project"], ["file_ord", "__stretch"], ["line_no"], running).drop("__stretch")
+
+
 def find_headings(marked: DataFrame, rules: list = RULES) -> DataFrame:
     """project, file, file_ord, line_no, id, ord, level, title, num, num_style, role."""
     level = X.heading_level(F.col("line"))
     found = marked.filter(~F.col("code") & F.col("line").rlike(X.HEADING)).select("project", "file", "file_ord", "line_no", level.alias("level"), X.heading_text(F.col("line")).alias("text"))
     found = found.select("project", "file", "file_ord", "line_no", "level", X.title_of(F.col("text")).alias("title"), X.number_of(F.col("text")).alias("num"))
-    order = Window.partitionBy("project").orderBy("file_ord", "line_no")
+    found = in_order(found, Running(sums={"ord": F.lit(1)}))
     return found.select(
         "project",
         "file",
         "file_ord",
         "line_no",
         F.concat_ws(":", "file", F.col("line_no").cast("string")).alias("id"),
-        F.row_number().over(order).alias("ord"),
+        F.col("ord").cast("int").alias("ord"),
         "level",
         "title",
         "num",
@@ -94,12 +101,18 @@ def own_body(marked: DataFrame, headings: DataFrame) -> DataFrame:
     )
 
 
-def with_extent(headings: DataFrame) -> DataFrame:
+def _extent(headings: DataFrame, **more: dict) -> DataFrame:
     """``headings`` with ``subtree_end``, the ord of the next heading that is not below, or one past the last."""
-    after = Window.partitionBy("project").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    last = F.count("*").over(Window.partitionBy("project")) + 1
-    ends = [F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("ord"))).over(after)) for k in LEVELS]
-    return headings.select("*", F.coalesce(*ends, last).cast("int").alias("subtree_end"))
+    nexts = {f"__end_{k}": F.when(F.col("level") <= k, F.col("ord")) for k in LEVELS}
+    found = in_order(headings, Running(nexts=nexts, **more))
+    size = headings.groupBy("project").agg((F.count("*") + 1).alias("__past"))
+    own = F.coalesce(*[F.when(F.col("level") == k, F.col(f"__end_{k}")) for k in LEVELS], F.col("__past"))
+    return found.join(size, "project").withColumn("subtree_end", own.cast("int")).drop("__past", *nexts)
+
+
+def with_extent(headings: DataFrame) -> DataFrame:
+    """``headings`` with ``subtree_end``."""
+    return _extent(headings)
 
 
 def subtree(headings: DataFrame, own: DataFrame) -> DataFrame:
@@ -107,8 +120,7 @@ def subtree(headings: DataFrame, own: DataFrame) -> DataFrame:
     stats = headings.join(own, [*FILE, "line_no"], "left")
     for c in STATS:
         stats = stats.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
-    upto = Window.partitionBy("project").orderBy("ord")
-    sums = with_extent(stats).select("*", *[F.sum(c).over(upto).alias(f"upto_{c}") for c in STATS])
+    sums = _extent(stats, sums={f"upto_{c}": F.col(c) for c in STATS})
     ends = sums.select("project", (F.col("ord") + 1).alias("subtree_end"), *[F.col(f"upto_{c}").alias(f"end_{c}") for c in STATS])
     joined = sums.join(ends, ["project", "subtree_end"])
     totals = [(F.col(f"end_{c}") - F.col(f"upto_{c}") + F.col(c)).alias(f"total_{c}") for c in STATS]
