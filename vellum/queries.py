@@ -184,6 +184,28 @@ def apply_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.select("project", "id", "state", F.col("pos").cast("long").alias("pos"), F.col("new_level").cast("long").alias("new_level"), "new_title", "new_num", "out_file")
 
 
+def apply_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, headings = _catalog(spark, sf_dir)
+    headings = settle(I.with_extent(headings))
+    outline = P.new_outline(headings, settle(S.chained_ops(headings)), chained=True)
+    return outline.select("project", "id", "state", F.col("pos").cast("long").alias("pos"), F.col("new_level").cast("long").alias("new_level"), "new_title", "new_num", "out_file", "moved")
+
+
+def plan_chained_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain in which every fifth op names something unknown; what was to hang on an insertion that failed is unknown too."""
+    _, headings = _catalog(spark, sf_dir)
+    headings = settle(I.with_extent(headings))
+    ops = settle(S.chained_ops(headings).withColumn("after", F.when(F.col("after").isNotNull() & (F.col("seq") % 5 == 2), F.lit("none.md:1")).otherwise(F.col("after"))))
+    return P.problems(ops, headings, chained=True).select("project", F.col("seq").cast("long").alias("seq"), "problem")
+
+
+def plan_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plans = S.damaged_plans(spark, sf_dir)
+    ops = P.parse_plan(plans).groupBy("project").agg(F.count("*").alias("n_ops"))
+    found = plans.select("project").join(P.unreadable(plans).select("project", "problem"), "project", "left").join(ops, "project", "left")
+    return found.select("project", "problem", F.coalesce("n_ops", F.lit(0)).alias("n_ops"))
+
+
 def apply_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = I.mark_code(S.order_notes(spark, sf_dir))
     numbers = marked.select("project").distinct().crossJoin(F.broadcast(spark.createDataFrame(NUMBERS, "num string, target string")))  # a project has five numbers
@@ -277,7 +299,7 @@ def norms_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PLAIN = (
     inv_lines, inv_digest, inv_code_mask, inv_headings, inv_counts, inv_own_body, inv_subtree, inv_roles, lint_term, lint_term_allowed, lint_colon, lint_length,
-    inv_num_style, lint_length_norms, lint_references, lint_chapter_pattern, plan_parse, apply_keep, apply_references, verify_no_drift,
+    inv_num_style, lint_length_norms, lint_references, lint_chapter_pattern, plan_parse, apply_keep, apply_chained, plan_chained_problems, plan_unreadable, apply_references, verify_no_drift,
     lint_role_unclear, lint_xref_missing, lint_skeleton, lint_role_wording, plan_problems, plan_valid, plan_outline_diff, apply_number_map, apply_lines, apply_ref_log,
     apply_deleted_warn, verify_drift, verify_assets, verify_source, report_changes, norms_thresholds, norms_role_forms, norms_patterns,
 )
@@ -315,6 +337,29 @@ own as (select project, file, own ord, sum(case when not code and not is_head an
   sum(case when not code and contains(line, '![f](') then 1 else 0 end)::bigint figures, sum(case when opens then 1 else 0 end)::bigint code_blocks from owned where own is not null group by all)"""
 
 
+_NUMBERING = """outl2 as (select *, sum(case when live and new_level < 2 then 1 else 0 end) over w g2, sum(case when live and new_level < 3 then 1 else 0 end) over w g3 from outl1 window w as (partition by project order by pos)),
+outl3 as (select *, sum(case when live and new_level = 1 then 1 else 0 end) over (partition by project order by pos) c1, sum(case when live and new_level = 2 then 1 else 0 end) over (partition by project, g2 order by pos) c2,
+  sum(case when live and new_level = 3 then 1 else 0 end) over (partition by project, g3 order by pos) c3 from outl2),
+outl4 as (select *, case when live then case new_level when 1 then c1::varchar when 2 then c1 || '.' || c2 else c1 || '.' || c2 || '.' || c3 end end new_num from outl3),
+"""
+
+
+_CHAINED = f"""{_LINES},
+ways as (select *, last_value(case when level = 1 then ord end ignore nulls) over w q, last_value(case when level = 2 then ord end ignore nulls) over w p2 from heads window w as (partition by project order by ord rows unbounded preceding)),
+ends as (select project, min(case when level = 3 then ord end) f3, list_sort(list(ord) filter (level = 2))[1] o1, list_sort(list(ord) filter (level = 2))[2] o2 from heads group by project),
+picked as (select project, ord, id, row_number() over (partition by project order by ord) - 1 r from heads join ends using (project) where level = 3 and ord % 23 = 5 and ord <> f3),
+many as (select project, count(*) n from picked group by project),
+target as (select e.project, f3, o1, [w.q, 0, e.o2, n + 1] k, w.file file2 from ends e join many using (project) join ways w on w.project = e.project and w.ord = e.o2),
+chain(project, r, k) as (select project, 0, list_concat(k, [0, f3, 1]) from target union all select c.project, c.r + 1, list_concat(c.k, case when (c.r + 1) % 3 = 1 then [0, 0, c.r + 2] else [c.r + 2] end) from chain c join many using (project) where c.r + 1 < n),
+outl0 as (select w.project, id, ord, num, title, case when ord = f3 then 'deleted' else 'kept' end state, level new_level, title new_title,
+    case when c.k is not null then c.k when ord = o1 then t.k when level = 3 and p2 = o1 then list_concat(t.k, [0, ord]) when level = 1 then [ord] when level = 2 then [q, 0, ord] else [q, 0, p2, 0, ord] end k,
+    case when c.k is not null or ord = o1 or (level = 3 and p2 = o1) then file2 else file end out_file, coalesce(c.k is not null or ord = o1 or (level = 3 and p2 = o1), false) moved
+  from ways w left join target t using (project) left join (select project, id, k from chain join picked using (project, r) where r % 3 <> 1) c using (project, id)
+  union all select project, null, null, null, null, 'inserted', 3, 'Chained', c.k, file2, false from chain c join target using (project) where r % 3 = 1),
+outl1 as (select *, row_number() over (partition by project order by k) pos, state in ('kept', 'inserted') live from outl0),
+{_NUMBERING.rstrip().rstrip(",")}"""
+
+
 def _plan_sql(kinds: tuple[str, ...]) -> str:
     listed = ", ".join(f"'{k}'" for k in kinds)
     return f"""{_LINES},
@@ -331,11 +376,7 @@ old as (select h.project, h.id, h.ord, h.num, h.title,
   from heads h left join ops o on o.project = h.project and o.ord = h.ord join tail t on t.project = h.project),
 outl0 as (select * from old union all select project, null, null, null, null, 'inserted', 2, 'Inserted', ord, seq + 1, 0, file, false from ops where op = 'insert'),
 outl1 as (select *, row_number() over (partition by project order by k1, k2, k3) pos, state in ('kept', 'inserted') live from outl0),
-outl2 as (select *, sum(case when live and new_level < 2 then 1 else 0 end) over w g2, sum(case when live and new_level < 3 then 1 else 0 end) over w g3 from outl1 window w as (partition by project order by pos)),
-outl3 as (select *, sum(case when live and new_level = 1 then 1 else 0 end) over (partition by project order by pos) c1, sum(case when live and new_level = 2 then 1 else 0 end) over (partition by project, g2 order by pos) c2,
-  sum(case when live and new_level = 3 then 1 else 0 end) over (partition by project, g3 order by pos) c3 from outl2),
-outl4 as (select *, case when live then case new_level when 1 then c1::varchar when 2 then c1 || '.' || c2 else c1 || '.' || c2 || '.' || c3 end end new_num from outl3),
-outl as (select *, case state when 'kept' then new_num when 'merged' then last_value(new_num ignore nulls) over (partition by project order by pos rows unbounded preceding) end target_num from outl4),
+{_NUMBERING}outl as (select *, case state when 'kept' then new_num when 'merged' then last_value(new_num ignore nulls) over (partition by project order by pos rows unbounded preceding) end target_num from outl4),
 nums as (select project, num, min_by(target_num, ord) target from outl where num is not null and target_num is not null group by all),
 diff as (select coalesce(h.project, o.project) project, h.ord ord, o.pos pos, case when h.ord is not null then repeat('#', h.level) || ' ' || h.num || ' ' || h.title end before,
     case when o.state in ('kept', 'inserted') then repeat('#', o.new_level) || ' ' || o.new_num || ' ' || o.new_title end after_, o.state, o.moved from outl o left join heads h on h.project = o.project and h.id = o.id),
@@ -397,6 +438,12 @@ union all select project, file, n * 4 + i, l from notes, (values (2, '```'), (3,
         "lint_skeleton": f"with {_LINES}, w(role) as (values ('alpha'), ('omega'), ('references')), r as (select project, {_ROLE} as role from heads) select distinct project, 'skeleton_missing' as rule, 'no section for role ' || w.role as msg from heads p cross join w where not exists (select 1 from r where r.project = p.project and r.role = w.role)",
         "lint_role_wording": f"with {page}, {roles}, {forms}, best as (select role, list_sort(list(distinct title)) l from forms group by role) select id, title, 'uncommon wording for role ' || role as msg, array_to_string(l, ' / ') as suggestion from roles join best using (role) where not list_contains(l, title)",
         "plan_problems": f"with {_plan_sql(alls)}, {_BROKEN} select project, seq::bigint seq, problem from found",
+        "apply_chained": f"with recursive {_CHAINED} select project, id, state, pos::bigint pos, new_level::bigint new_level, new_title, new_num, out_file, moved from outl4",
+        "plan_chained_problems": f"""with recursive {_CHAINED},
+steps(project, r, dead) as (select project, 0, false from target union all select s.project, s.r + 1, (s.r + 1) % 3 = 1 and ((s.r + 1) % 5 = 2 or (s.r % 3 = 1 and s.dead)) from steps s join many using (project) where s.r + 1 < n)
+select project, r::bigint as seq, 'unknown id none.md:1' as problem from picked where r % 5 = 2 union all select project, n, 'unknown id none.md:1' from many where n % 5 = 2
+union all select s.project, s.r + 1, 'unknown id n' || s.r from steps s join many using (project) where s.dead and s.r + 1 < n and (s.r + 1) % 5 <> 2""",
+        "plan_unreadable": """select o_orderkey::varchar as project, [null, 'unreadable plan', 'unreadable plan', 'plan without ops', 'unknown numbering roman', 'empty plan', 'empty plan'][o_orderkey % 7 + 1] as problem, case when o_orderkey % 7 = 0 then 3 else 0 end::bigint as n_ops from orders""",
         "plan_valid": f"""with {_plan_sql(alls)}, {_BROKEN}, c as (select project, count(*) n_ops from ops group by project), f as (select project, count(*) n from found group by project)
 select project, 'valid' as plan, n_ops, 0::bigint n_problems, true valid from c union all select project, 'broken', n_ops, coalesce(n, 0), n is null from c left join f using (project)""",
         "plan_outline_diff": f"with {_plan_sql(alls)} select project, ord::bigint ord, pos::bigint pos, before, after_ as \"after\", mark from diffed",

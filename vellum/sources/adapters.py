@@ -85,6 +85,34 @@ def bad_ops(ops: DataFrame) -> DataFrame:
     )
 
 
+def chained_ops(headings: DataFrame) -> DataFrame:
+    """A plan a project whose ops build on each other.
+
+    Every 23rd third-level section is moved behind, or instead of every third of them a new
+    section is inserted into, what the op before has put somewhere, from the first third-level
+    section on; then the section around them all is moved behind the next one, and where it
+    all began is deleted.
+    """
+    order = Window.partitionBy("project").orderBy("ord")
+    ends = headings.groupBy("project").agg(
+        F.min_by("id", F.when(F.col("level") == 3, F.col("ord"))).alias("start"),
+        F.min_by("id", F.when(F.col("level") == 2, F.col("ord"))).alias("outer"),
+        F.array_sort(F.collect_list(F.when(F.col("level") == 2, F.struct("ord", "id"))))[1]["id"].alias("behind"),
+    )  # a project has a few second-level sections a file
+    chosen = headings.join(ends, "project").filter("level = 3 and ord % 23 = 5 and id <> start")
+    chosen = chosen.select("project", "id", "start", "ord", (F.row_number().over(order) - 1).cast("int").alias("seq"))
+    inserts = F.col("seq") % 3 == 1
+    chosen = chosen.withColumn("name", F.when(inserts, F.concat(F.lit("n"), F.col("seq").cast("string"))).otherwise(F.col("id")))
+    none, op = F.lit(None).cast("string"), F.when(inserts, "insert").otherwise("move")
+    chain = chosen.select(
+        "project", "seq", op.alias("op"), F.col("name").alias("id"), F.coalesce(F.lag("name").over(order), "start").alias("after"),
+        F.when(inserts, F.lit(3)).alias("level"), F.when(inserts, "Chained").alias("title"), none.alias("new"),
+    )
+    last = ends.join(chain.groupBy("project").agg(F.max("seq").alias("seq")), "project")
+    after = lambda k, op, id, to: last.select("project", (F.col("seq") + k).alias("seq"), F.lit(op).alias("op"), F.col(id).alias("id"), to.alias("after"), F.lit(None).cast("int").alias("level"), none.alias("title"), none.alias("new"))
+    return chain.unionByName(after(1, "move", "outer", F.col("behind"))).unionByName(after(2, "delete", "start", none))
+
+
 def order_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four lines an order: a literal, a section and a chapter reference, and a fenced reference."""
     k = F.col("o_orderkey")
@@ -102,6 +130,22 @@ def order_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(k.cast("string").alias("project"), F.concat(head, ops).alias("value"))
 
 
+def damaged_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plans of :func:`order_plans`, six of seven spoilt, each in its own way."""
+    k = F.col("project").cast("long") % 7
+    spoilt = (
+        F.when(k == 1, F.substring_index("value", "]", 1))
+        .when(k == 2, F.regexp_replace("value", r"\[.*\]", "5"))
+        .when(k == 3, F.lit('{"src": "paper/sections"}'))
+        .when(k == 4, F.regexp_replace("value", r"^\{", '{"numbering": "roman", '))
+        .when(k == 5, F.lit("  "))
+        .when(k == 6, F.lit(None).cast("string"))
+        .otherwise(F.col("value"))
+    )
+    whole = order_plans(spark, sf_dir).withColumn("value", F.regexp_replace("value", '"numbering": "keep", ', ""))
+    return whole.select("project", spoilt.alias("value"))
+
+
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file a page: its title as a heading, numbered but for every third."""
     titles = page_titles(spark, sf_dir).withColumn("k", F.col("id").cast("long"))
