@@ -3,8 +3,8 @@
 A window over a whole project is one task, however large the project.  Here the sequence is
 cut into blocks that follow each other: windows only run within a block; each block is summed
 up into one row; a window over those few rows gives what a block takes over from the others
-(its carry), and the two are put together.  Sums add up, the last value before and the next
-minimum after are those of the block, or else of the carry: all are monoids, so any cut into
+(its carry), and the two are put together: sums add up, the last value is that of the block
+or else of the carry, the least is the lesser of both.  All are monoids, so any cut into
 blocks gives the same.
 """
 
@@ -56,5 +56,5 @@ def scan(df: DataFrame, by: list[str], block: list[str], order: list[str], runni
     joined = rows.join(named, reduce(Column.__and__, [rows[c].eqNullSafe(named[f"__k_{c}"]) for c in (*by, *block)]))
     out = [(F.coalesce(F.sum(f"__v_{k}").over(upto), F.lit(0)) + F.col(f"__c_{k}")).alias(k) for k in running.sums]
     out += [F.coalesce(F.last(f"__v_{k}", ignorenulls=True).over(upto), F.col(f"__c_{k}")).alias(k) for k in running.lasts]
-    out += [F.coalesce(F.min(f"__v_{k}").over(inner_back), F.col(f"__c_{k}")).alias(k) for k in running.nexts]
+    out += [F.least(F.min(f"__v_{k}").over(inner_back), F.col(f"__c_{k}")).alias(k) for k in running.nexts]  # nulls don't count
     return joined.select(*df.columns, *out)

@@ -7,10 +7,11 @@ and number; no task holds the numbers of a project.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
+from vellum.functions.scan import BLOCK_BITS, Running, scan
 from vellum.operators.lint import find_references
 from vellum.plans.settle import settle
 
@@ -26,9 +27,9 @@ def number_map(outline: DataFrame) -> DataFrame:
 def with_owner(marked: DataFrame, headings: DataFrame) -> DataFrame:
     """``marked`` with the ord of the heading each line belongs to (null before a file's first) and ``is_head``."""
     heads = headings.select("project", "file", "line_no", F.col("ord").alias("head"))
-    joined = marked.join(heads, [*FILE, "line_no"], "left")
-    owner = F.last("head", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line_no"))
-    return joined.select(*[joined[c] for c in marked.columns], owner.alias("owner"), F.col("head").isNotNull().alias("is_head"))
+    joined = marked.join(heads, [*FILE, "line_no"], "left").withColumn("__stretch", F.shiftright("line_no", BLOCK_BITS))
+    owned = scan(joined, FILE, ["file_ord", "__stretch"], ["line_no"], Running(lasts={"owner": F.col("head")}))
+    return owned.select(*marked.columns, "owner", F.col("head").isNotNull().alias("is_head"))
 
 
 def renumbered(text: DataFrame, numbers: DataFrame) -> DataFrame:

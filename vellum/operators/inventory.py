@@ -6,7 +6,9 @@ a block being a stretch of lines of one file: no task holds a whole project or a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
@@ -24,31 +26,70 @@ def split_lines(sections: DataFrame) -> DataFrame:
     )
 
 
+#: One fence met in a state: the mark of the block that is open ('' if none), and the fence (mark, bare).
+_STEP = "case when {s} = '' then {f}.mark when {f}.bare and startswith({f}.mark, {s}) then '' else {s} end"
+
+
+def _after(fences: str, state: str) -> str:
+    """SQL: the state behind some fences."""
+    return f"aggregate({fences}, {state}, (s, f) -> {_STEP.format(s='s', f='f')})"
+
+
+def fence_states(lines: DataFrame) -> DataFrame:
+    """project, file, file_ord, stretch, state: the mark of the block that is open where each stretch of lines with fences begins.
+
+    What a stretch does to a state is a function that is known from its own fences: from no
+    open block it leads to one state; a block that is open already is closed by the first bare
+    fence of its mark that is long enough, which only longer ones than all before can be the
+    first for, so a few fences (the records of each mark) tell all cases.  These functions are
+    made in each stretch on its own and applied one after the other by file.
+    """
+    key = [*FILE, "file_ord"]
+    stretches = _fences(lines).groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
+    longest = lambda m: f"coalesce(array_max(transform(filter(slice(all, 1, i), g -> g.bare and startswith(g.mark, '{m}')), g -> length(g.mark))), 0)"
+    records = f"""filter(transform(all, (f, i) -> struct(i as i, f.mark as mark, f.bare and length(f.mark) > if(startswith(f.mark, '`'), {longest("`")}, {longest("~")}) as is_record)), r -> r.is_record)"""
+    closing = F.expr(f"transform({records}, r -> struct(r.mark as mark, {_after('slice(all, r.i + 2, size(all))', chr(39) * 2)} as then))")
+    made = stretches.select(*key, "stretch", F.expr(_after("all", "''")).alias("fresh"), closing.alias("closing"))
+    listed = F.array_sort(F.collect_list(F.struct("stretch", "fresh", "closing")))
+    fold = F.expr(
+        """aggregate(fs, named_struct('state', '', 'out', cast(array() as array<struct<stretch:int,state:string>>)),
+             (s, f) -> named_struct(
+               'state', if(s.state = '', f.fresh, coalesce(try_element_at(filter(f.closing, c -> startswith(c.mark, s.state)), 1).then, s.state)),
+               'out', concat(s.out, array(named_struct('stretch', f.stretch, 'state', s.state)))), s -> s.out)"""
+    )
+    return made.groupBy(*key).agg(listed.alias("fs")).select(*key, F.explode(fold).alias("x")).select(*key, "x.stretch", "x.state")
+
+
+def _fences(lines: DataFrame) -> DataFrame:
+    mark = F.regexp_extract("line", X.FENCE, 1)
+    found = lines.filter(F.col("line").rlike(X.FENCE))
+    return found.select(*FILE, "file_ord", "line_no", F.shiftright("line_no", BLOCK_BITS).alias("stretch"), mark.alias("mark"), F.col("line").rlike(X.FENCE + "[ \t\r]*$").alias("bare"))
+
+
 def mark_code(lines: DataFrame) -> DataFrame:
     """``lines`` with ``code`` (in a fenced block or a fence itself) and ``opens`` (an opening fence).
 
     A fence of back-ticks or tildes is closed by one of the same mark that is as long at
     least and has nothing behind it; without one the block lasts to the end of the file.
-    Only the fence lines of a file are folded, a state at a time.
+    Fences are folded by stretches of ``BLOCK_BITS`` lines, from the state that
+    :func:`fence_states` gives them, so a file of any length is cut over many tasks.
     """
-    mark = F.regexp_extract("line", X.FENCE, 1)
-    fences = lines.filter(F.col("line").rlike(X.FENCE)).select(*FILE, "line_no", mark.alias("mark"), F.col("line").rlike(X.FENCE + "[ \t\r]*$").alias("bare"))
-    folded = fences.groupBy(*FILE).agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
-    blocks = F.expr(
-        """aggregate(all, named_struct('done', cast(array() as array<struct<start:int,stop:int>>), 'start', cast(null as int), 'mark', ''),
-             (s, f) -> case
-               when s.start is null then named_struct('done', s.done, 'start', f.line_no, 'mark', f.mark)
-               when f.bare and startswith(f.mark, s.mark) then named_struct('done', concat(s.done, array(named_struct('start', s.start, 'stop', f.line_no))), 'start', cast(null as int), 'mark', '')
-               else s end,
-             s -> if(s.start is null, s.done, concat(s.done, array(named_struct('start', s.start, 'stop', 2147483647)))))"""
+    stretches = _fences(lines).groupBy(*FILE, "file_ord", "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
+    states = fence_states(lines).withColumnsRenamed({c: f"s_{c}" for c in (*FILE, "file_ord", "stretch")})
+    same = reduce(Column.__and__, [stretches[c].eqNullSafe(states[f"s_{c}"]) for c in (*FILE, "file_ord", "stretch")])
+    walked = F.expr(
+        f"""aggregate(all, named_struct('state', state, 'out', cast(array() as array<struct<line_no:int,opens:boolean,inside:boolean>>)),
+             (s, f) -> named_struct('state', {_STEP.format(s="s.state", f="f")},
+               'out', concat(s.out, array(named_struct('line_no', f.line_no, 'opens', s.state = '', 'inside', {_STEP.format(s="s.state", f="f")} <> '')))), s -> s.out)"""
     )
-    edges = folded.select(*FILE, F.explode(blocks).alias("b"))
-    edges = edges.select(*FILE, F.explode(F.array(F.struct(F.col("b.start").alias("line_no"), F.lit(1).alias("opened"), F.lit(0).alias("closed")), F.struct(F.col("b.stop").alias("line_no"), F.lit(0).alias("opened"), F.lit(1).alias("closed")))).alias("e")).select(*FILE, "e.*")
-    upto = Window.partitionBy(*FILE).orderBy("line_no")
-    before = upto.rowsBetween(Window.unboundedPreceding, -1)
-    joined = lines.join(edges, [*FILE, "line_no"], "left")
-    inside = F.coalesce(F.sum("opened").over(upto), F.lit(0)) > F.coalesce(F.sum("closed").over(before), F.lit(0))
-    return joined.select(*[joined[c] for c in lines.columns], inside.alias("code"), (F.coalesce("opened", F.lit(0)) == 1).alias("opens"))
+    fences = stretches.join(states, same).select(*FILE, "file_ord", F.explode(walked).alias("f")).select(*FILE, "file_ord", "f.*")
+    keys = [*FILE, "file_ord", "line_no"]
+    renamed = fences.withColumnsRenamed({c: f"f_{c}" for c in keys})
+    joined = lines.join(renamed, reduce(Column.__and__, [lines[c].eqNullSafe(renamed[f"f_{c}"]) for c in keys]), "left")
+    cut = joined.select(*lines.columns, "opens", "inside", F.shiftright("line_no", BLOCK_BITS).alias("__stretch"))
+    found = scan(cut, [*FILE], ["file_ord", "__stretch"], ["line_no"], Running(lasts={"__in": F.col("inside")}))
+    # a fence line is code itself, a closing one too
+    return found.select(*lines.columns, (F.coalesce("__in", F.lit(False)) | F.col("opens").isNotNull()).alias("code"), F.coalesce("opens", F.lit(False)).alias("opens"))
 
 
 def in_order(headings: DataFrame, running: Running) -> DataFrame:
@@ -86,9 +127,9 @@ def count_levels(headings: DataFrame) -> DataFrame:
 def own_body(marked: DataFrame, headings: DataFrame) -> DataFrame:
     """project, file, line_no of each heading with what its own body holds."""
     heads = headings.select(*FILE, F.col("line_no"), F.lit(1).alias("head"))
-    joined = marked.join(heads, [*FILE, "line_no"], "left")
-    owner = F.last(F.when(F.col("head") == 1, F.col("line_no")), ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line_no"))
-    body = joined.select(*FILE, owner.alias("owner"), "line", "code", "opens", F.col("head").isNotNull().alias("is_head"))
+    joined = marked.join(heads, [*FILE, "line_no"], "left").withColumn("__stretch", F.shiftright("line_no", BLOCK_BITS))
+    owned = scan(joined, [*FILE], ["file_ord", "__stretch"], ["line_no"], Running(lasts={"owner": F.when(F.col("head") == 1, F.col("line_no"))}))
+    body = owned.select(*FILE, "owner", "line", "code", "opens", F.col("head").isNotNull().alias("is_head"))
     text = ~F.col("code") & ~F.col("is_head")
     return (
         body.filter("owner is not null")

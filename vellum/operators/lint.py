@@ -2,7 +2,9 @@
 
 Each rule is a function from frames to findings; :func:`lint` is their union.  Terms are
 matched by an equi-join with the parts of a title that are as long as a term, so there is no
-nested loop over titles and terms; a dictionary is broadcast only up to ``SMALL`` rows.
+nested loop over titles and terms; a dictionary is broadcast only up to ``SMALL`` rows.  With
+a term bank a title is segmented: from the left, the longest term of the dictionary, the bank
+or the project's own list is cut off at each place, and only what is cut off counts.
 """
 
 from __future__ import annotations
@@ -45,6 +47,49 @@ def term_informal(headings: DataFrame, terms: DataFrame, allowed: DataFrame | No
     return hits.select(*finding("term_informal", "term", msg, id=F.col("id"), title=F.col("title"), suggestion=F.col("standard")))
 
 
+def _lengths(*terms: DataFrame) -> list[int]:
+    """The lengths that terms have; as many as the longest has characters at most."""
+    both = reduce(DataFrame.unionByName, [t.select(F.char_length("term").alias("n")) for t in terms])
+    return sorted(r[0] for r in both.distinct().collect() if r[0])
+
+
+def segments(headings: DataFrame, dictionary: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """project, id, title, at, term, standard: each title cut from the left, the longest term first.
+
+    ``dictionary`` (term, standard) holds informal terms with their standard and, with null,
+    words that are fine; ``own`` (project, term) are further words of a project that are fine.
+    Overlapping terms resolve to the one that begins first, of those to the longest.  The
+    places where a term stands come from equi-joins, level by level of length, whatever the size of the
+    dictionary; a title's few candidates are then folded from left to right.
+    """
+    entries = dictionary.select("term", "standard").groupBy("term").agg(F.max("standard").alias("standard"))
+    lengths = _lengths(entries, own) if own is not None else _lengths(entries)
+    titles = headings.select("project", "id", "title")
+    part = lambda n: F.expr(f"if(char_length(title) >= {n}, transform(sequence(1, char_length(title) - {n - 1}), i -> struct(i as at, substring(title, i, {n}) as term)), cast(array() as array<struct<at:int,term:string>>))")
+    parts = titles.select("*", F.explode(F.concat(*[part(n) for n in lengths or [1]])).alias("p")).select("project", "id", "title", "p.at", "p.term")
+    few = entries.limit(SMALL + 1).count() <= SMALL
+    found = parts.join(F.broadcast(entries) if few else entries, "term")
+    if own is not None:
+        found = found.unionByName(parts.join(own.select("project", "term").distinct(), ["project", "term"]).withColumn("standard", F.lit(None).cast("string")))
+    # of entries for the same place the longest, a fine word before an informal one
+    place = F.struct("at", (-F.char_length("term")).alias("size"), F.col("standard").isNotNull().alias("informal"), "term", "standard")
+    held = found.groupBy("project", "id", "title").agg(F.array_sort(F.collect_list(place)).alias("all"))
+    cut = F.expr(
+        """aggregate(all, named_struct('stop', 1, 'out', slice(all, 1, 0)),
+             (s, c) -> if(c.at >= s.stop, named_struct('stop', c.at - c.size, 'out', concat(s.out, array(c))), s), s -> s.out)"""
+    )
+    return held.select("project", "id", "title", F.explode(cut).alias("c")).select("project", "id", "title", "c.at", "c.term", "c.standard")
+
+
+def term_segments(headings: DataFrame, terms: DataFrame, bank: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Titles with an informal term that isn't part of a longer known one, and its standard candidate; ``bank`` (term) are known words."""
+    informal = terms.select(F.col("informal").alias("term"), "standard")
+    known = bank.select("term").filter("term <> ''").join(informal, "term", "left_anti").withColumn("standard", F.lit(None).cast("string"))
+    hits = segments(headings, informal.unionByName(known), allowed).filter("standard is not null").select("project", "id", "title", "term", "standard").distinct()
+    msg = F.concat(F.lit("informal term "), "term", F.lit(", better: "), "standard")
+    return hits.select(*finding("term_informal", "term", msg, id=F.col("id"), title=F.col("title"), suggestion=F.col("standard")))
+
+
 def title_colon(headings: DataFrame) -> DataFrame:
     """Titles with a colon of either width."""
     hits = headings.filter(F.col("title").rlike(X.COLON))
@@ -103,10 +148,10 @@ def chapter_pattern(headings: DataFrame, patterns: list[str]) -> DataFrame:
     return hits.select(*finding("chapter_pattern", "structure", F.lit("problem chapter with an uncommon pattern"), id=F.col("id"), title=F.col("title")))
 
 
-def lint(marked: DataFrame, headings: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, forms: DataFrame | None = None, most: int | DataFrame = MAX_TITLE, patterns: list[str] | None = None) -> DataFrame:
+def lint(marked: DataFrame, headings: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, forms: DataFrame | None = None, most: int | DataFrame = MAX_TITLE, patterns: list[str] | None = None, bank: DataFrame | None = None) -> DataFrame:
     """All findings of all projects."""
     parts = [
-        term_informal(headings, terms, allowed),
+        term_informal(headings, terms, allowed) if bank is None else term_segments(headings, terms, bank, allowed),
         title_colon(headings),
         title_length(headings, most),
         xref_missing(find_references(marked), headings),

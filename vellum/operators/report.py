@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from vellum.schemas import STATS
+from vellum.schemas import LEVELS, STATS
 
 
 def inventory_json(headings: DataFrame) -> str:
@@ -28,6 +29,36 @@ def lint_json(findings: DataFrame) -> str:
     return json.dumps({"items": items}, ensure_ascii=False, indent=1)
 
 
+def _documents(rows: DataFrame, file: str, name: str, item: Column, order: list[str], **more: Column) -> DataFrame:
+    """project, file, text: a JSON document a project, with its rows as the array ``name``; a project's outline is one document."""
+    listed = F.transform(F.array_sort(F.collect_list(F.when(item.isNotNull(), F.struct(*order, item.alias("__item"))))), lambda x: x["__item"])
+    held = rows.groupBy("project").agg(listed.alias(name), *[v.alias(k) for k, v in more.items()])
+    text = F.to_json(F.struct(name, *more), {"ignoreNullFields": "false"})
+    return held.select("project", F.lit(file).alias("file"), text.alias("text"))
+
+
+def inventory_documents(headings: DataFrame) -> DataFrame:
+    """The inventories of all projects, as :func:`inventory_json` has one."""
+    total = F.struct(*[F.col(f"total_{c}").alias(c) for c in STATS])
+    item = F.struct("id", "title", "level", "num", "num_style", "role", F.struct(*STATS).alias("own_body"), total.alias("subtree"))
+    counts = F.struct(*[F.count_if(F.col("level") == k).alias(f"h{k}") for k in LEVELS])
+    return _documents(headings, "frame/frame_inventory.json", "headings", item, ["ord"], counts=counts)
+
+
+def lint_documents(findings: DataFrame, headings: DataFrame) -> DataFrame:
+    """The findings of all projects, as :func:`lint_json` has one; a project without any has an empty list."""
+    item = F.when(F.col("rule").isNotNull(), F.struct("rule", "layer", "id", "title", "msg", "suggestion"))
+    rows = headings.select("project").distinct().join(findings, "project", "left")
+    return _documents(rows, "frame/frame_lint.json", "items", item, ["layer", "rule", "id", "msg"])
+
+
+def problem_documents(problems: DataFrame, plans: DataFrame) -> DataFrame:
+    """The problems of all plans; a sound plan has an empty list."""
+    item = F.when(F.col("problem").isNotNull(), F.struct((F.col("seq") + 1).alias("op"), "problem"))
+    rows = plans.select("project").distinct().join(problems, "project", "left")
+    return _documents(rows, "frame/frame_problems.json", "problems", item, ["seq", "problem"])
+
+
 def lint_markdown(findings: DataFrame, heading: str = "Lint") -> str:
     """Findings by layer."""
     lines = [f"# {heading}", ""]
@@ -50,7 +81,7 @@ def plan_markdown(problems: DataFrame, ops: DataFrame, diff: DataFrame | None) -
     lines = ["# Plan", ""]
     bad = problems.orderBy("seq", "problem").collect()
     if bad:
-        lines += ["## 问题", "", *[f"- op {r['seq'] + 1}: {r['problem']}" for r in bad], ""]
+        lines += ["## 问题", "", *[f"- {'' if r['seq'] is None else f'op {r["seq"] + 1}: '}{r['problem']}" for r in bad], ""]
     lines += ["## 操作", "", *[f"- {r['op']} `{r['id'] or r['after']}` {r['why'] or ''}" for r in ops.orderBy("seq").collect()], ""]
     if diff is not None:
         lines += ["## 前后目录对照", "", *_diff_table(diff), ""]

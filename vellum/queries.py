@@ -19,6 +19,9 @@ from vellum.sources import adapters as S
 
 #: Terms for the invented English of the test tables.
 TERMS = [("the", "THE"), ("ing", "-ing"), ("th", "th.")]
+#: Words that are fine, some with terms in them; ``OWN`` by project.
+BANK = [("thing",), ("inge",), ("erth",), ("heth",)]
+OWN = [("pages", "anth"), ("other", "the")]
 #: Old and new numbers; the last two stand in code or as a literal only.
 NUMBERS = [("1.1", "3.2.1"), ("2.2", "1.1"), ("2", "5"), ("9.9", "8.8"), ("12.3", "0")]
 #: Roles for it: by the letters a title begins with.
@@ -91,6 +94,19 @@ def lint_term_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rule", "id", "title", "suggestion")
 
 
+def lint_term_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles segmented by informal terms, a bank and the project's own words: "th" and "the" no longer both report."""
+    informal = spark.createDataFrame(TERMS, "informal string, standard string")
+    bank, own = spark.createDataFrame(BANK, "term string"), spark.createDataFrame(OWN, "project string, term string")
+    return L.term_segments(S.page_titles(spark, sf_dir), informal, bank, own).select("rule", "id", "title", "suggestion")
+
+
+def lint_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part that is cut off a title, with its place."""
+    dictionary = spark.createDataFrame([*TERMS, *[(t, None) for (t,) in BANK]], "term string, standard string")
+    return L.segments(S.page_titles(spark, sf_dir), dictionary).select("id", F.col("at").cast("long").alias("at"), "term", "standard")
+
+
 def lint_colon(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("id").cast("long")
     title = F.when(k % 3 == 0, F.concat("title", F.lit(": part"))).when(k % 5 == 1, F.concat("title", F.lit("：part"))).otherwise(F.col("title"))
@@ -298,7 +314,7 @@ def norms_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PLAIN = (
-    inv_lines, inv_digest, inv_code_mask, inv_headings, inv_counts, inv_own_body, inv_subtree, inv_roles, lint_term, lint_term_allowed, lint_colon, lint_length,
+    inv_lines, inv_digest, inv_code_mask, inv_headings, inv_counts, inv_own_body, inv_subtree, inv_roles, lint_term, lint_term_allowed, lint_term_longest, lint_segments, lint_colon, lint_length,
     inv_num_style, lint_length_norms, lint_references, lint_chapter_pattern, plan_parse, apply_keep, apply_chained, plan_chained_problems, plan_unreadable, apply_references, verify_no_drift,
     lint_role_unclear, lint_xref_missing, lint_skeleton, lint_role_wording, plan_problems, plan_valid, plan_outline_diff, apply_number_map, apply_lines, apply_ref_log,
     apply_deleted_warn, verify_drift, verify_assets, verify_source, report_changes, norms_thresholds, norms_role_forms, norms_patterns,
@@ -401,6 +417,14 @@ found as (select project, seq, 'unknown op shuffle' as problem from b where op =
   union select project, max(seq), 'same op twice' from b where op in ('rename', 'merge_up', 'relevel', 'delete', 'move') group by project, id, op having count(*) > 1)"""
 
 
+def _cut(titles: str, terms: str) -> str:
+    """Titles walked from the left, a term or a character at a time; ``terms`` from the longest to the shortest."""
+    return f"""walk(id, title, place, term, step) as (select id, title, 0, null::varchar, 1 from {titles}
+  union all select id, title, place + step, ([x for x in [{terms}] if starts_with(substr(title, place + step), x)])[1], coalesce(length(([x for x in [{terms}] if starts_with(substr(title, place + step), x)])[1]), 1)
+  from walk where place + step <= length(title)),
+cut as (select id, title, place, term from walk where term is not null)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of every query."""
     alls = tuple(OP_KINDS)
@@ -421,6 +445,10 @@ def oracle_sql() -> dict[str, str]:
         "inv_roles": f"with {page}, {roles} select id, title, level, role from roles",
         "lint_term": f"with {page}, {terms} select 'term_informal' as rule, id, title, standard as suggestion from titles join terms on contains(title, informal)",
         "lint_term_allowed": f"with {page}, {terms} select 'term_informal' as rule, id, title, standard as suggestion from titles join terms on contains(title, informal) where informal <> 'th'",
+        "lint_term_longest": f"""with recursive {page}, known(term, standard) as (values ('the', 'THE'), ('ing', '-ing'), ('th', 'th.')), {_cut("titles", "'thing', 'inge', 'erth', 'heth', 'anth', 'the', 'ing', 'th'")}
+select distinct 'term_informal' as rule, id, title, standard as suggestion from cut join known using (term)""",
+        "lint_segments": f"""with recursive {page}, known(term, standard) as (values ('the', 'THE'), ('ing', '-ing'), ('th', 'th.')), {_cut("titles", "'thing', 'inge', 'erth', 'heth', 'the', 'ing', 'th'")}
+select id, place::bigint as "at", term, standard from cut left join known using (term)""",
         "lint_colon": f"with {page}, t as (select id, case when id::bigint % 3 = 0 then title || ': part' when id::bigint % 5 = 1 then title || '：part' else title end title from titles) select 'pages' as project, 'title_colon' as rule, id, title from t where contains(title, ':') or contains(title, '：')",
         "lint_length_norms": "with titles as (select doc_id || '.md' id, doc_id % 3 + 1 as level, array_to_string(string_split(text, ' ')[1:3], ' ') title from documents where text is not null), n as (select level, quantile_cont(length(title)::double, 0.95) most from titles group by level) select 'title_length' as rule, id, title, 'title has ' || length(title) || ' characters' as msg from titles join n using (level) where length(title) > most",
         "lint_references": f"with {notes} select project, file, (n * 4 + 1)::bigint line_no, a || '.' || b || ' 节' as ref, a || '.' || b as num, 'section' as kind from notes union all select project, file, n * 4 + 1, '第 ' || c || ' 章', c::varchar, 'chapter' from notes",
