@@ -10,11 +10,15 @@
 
 A stage takes (spark, docs, sf_dir) and returns the columns of its input, the last its own.
 Null ids, texts, languages and sources pass through every stage; a null text is dropped by
-the first.  An empty table stays empty.
+the first.  An empty table stays empty.  Rows that repeat are near copies of each other and
+leave one; of ties the smallest doc_id stays.  Texts of any length are read whole.  Columns
+called like a result of an operator keep their values; the last stage returns its own columns
+only.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import wraps
 
@@ -30,22 +34,40 @@ LEAST_CLEAR = 0.35
 
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Folders that the stage before has left; its result is written by the time the next one begins.
-_left: list[str] = []
+#: What stages have left: the folders of each, when it returned, and the files that it read.
+_left: list[tuple[list[str], float, set[str]]] = []
+
+
+def _written(spark: SparkSession, docs: DataFrame) -> tuple[set[str], float]:
+    """The files that ``docs`` reads, and when the first of them was written."""
+    files = docs.inputFiles()
+    times = []
+    for file in files[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file.replace("%20", " "))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            times.append(fs.getFileStatus(path).getModificationTime() / 1000)
+    return set(files), min(times, default=0.0)
 
 
 def alone(step: Step) -> Step:
-    """``step``, which first deletes what the stage before has staged, unless ``docs`` still reads it."""
+    """``step``, which first deletes what an earlier stage has staged, if its own input was written since.
+
+    The result of a stage is read once it is written, and its successor reads that table, which is
+    younger than the stage.  A call on a table that is older, or that the earlier stage has read itself, is no
+    successor and deletes nothing.
+    """
 
     @wraps(step)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left else []
-        done = [path for path in _left if not any(path.rpartition("/")[2] in file for file in read)]
-        remove(spark, done)
-        _left[:] = [path for path in _left if path not in done]
+        read, since = _written(spark, docs) if _left else (set(), 0.0)
+        done = [x for x in _left if since > x[1] and not x[2] & read and not any(path.rpartition("/")[2] in file for path in x[0] for file in read)]
+        for x in done:
+            remove(spark, x[0])
+            _left.remove(x)
         with watched() as made:
             out = step(spark, docs, sf_dir)
-        _left.extend(made)
+        _left.append((made, time.time(), set(docs.inputFiles())))
         return out
 
     return run
