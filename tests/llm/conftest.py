@@ -53,7 +53,7 @@ def tables(spark, tmp_path_factory):
 def empty(spark, tmp_path_factory):
     """The same tables without rows."""
     root = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "embeddings", "benchmark"):
+    for name in ("documents", "embeddings", "benchmark", "conversations"):
         spark.read.parquet(f"{SF}/{name}.parquet").filter(F.lit(False)).write.parquet(f"{root}/{name}.parquet")
     return str(root)
 

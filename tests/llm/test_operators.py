@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import duckdb
@@ -237,6 +238,39 @@ def test_licences_of_long_and_mixed_files(spark):
     assert {(m.label, m.score) for m in found[2].templates if m.score == 1} == {("mit", 1.0), ("bsd", 1.0), ("gpl-3.0", 1.0)} and not found[3].templates
 
 
+GPL = "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n{third}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, subject to the following."
+NOTICES = [
+    (GPL.format(what="program", kind="Affero ", v=3), {"agpl"}),
+    (GPL.format(what="library", kind="Lesser ", v=3), {"lgpl"}),
+    (GPL.format(what="program", kind="", v=3), {"gpl-3.0"}),
+    (GPL.format(what="program", kind="", v=2), {"gpl-2.0"}),
+    (BSD.format(third=THIRD), {"bsd-3-clause"}),
+    (BSD.format(third=""), {"bsd-2-clause"}),
+    (BOOST, {"bsl-1.0"}),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", {"bsl-1.0"}),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the site.", {"epl-2.0"}),
+    ("Licensed under the GNU Affero General Public License version 3, see there.", {"agpl"}),
+    ("Licensed under the GNU Lesser General Public License version 3, see there.", {"lgpl"}),
+    ("# SPDX-License-Identifier: Apache-2.0\nimport os", {"apache-2.0"}),
+    ("// SPDX-License-Identifier: MIT", {"mit"}),
+    ("The licence of this house was granted hereby to any person of good name, with fitness and purpose.", set()),
+]
+
+
+def test_notices_get_their_own_labels_only(spark):
+    """Hand-made positives and negatives: general labels (bsd, gpl, copyright, no-warranty) aside, each notice has its own."""
+    from vellum.llm import licences
+
+    rows = [(k, text) for k, (text, _) in enumerate(NOTICES)] + [(100 + k, f"plain words number {k} of a text that has no licence") for k in range(30)]
+    found = {r.doc_id: {m["label"] for m in r.templates} for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    general = {"bsd", "gpl", "copyright", "no-warranty", "reserved"}
+    assert {k: found[k] - general for k in range(len(NOTICES))} == {k: want for k, (_, want) in enumerate(NOTICES)}
+    assert not any(found[100 + k] for k in range(30))
+
+
 def test_several_licences_in_a_file(spark):
     """Every full text is found at its place, alone, between others, with words added or lost, and not without its phrase."""
     from vellum.llm import licences
@@ -453,14 +487,12 @@ def test_decontamination(spark, tables, docs):
     assert whole <= got and len(got - whole) <= 2 and whole
 
 
-def plain_leaks(texts, items, least=0.6, gram=4):
-    """(text, item, score) of pairs with a common n-gram, by Smith-Waterman over the whole text, cell by cell."""
+def plain_leaks(texts, items, least=0.6):
+    """(text, item, score) of all pairs, by Smith-Waterman over the whole text, cell by cell."""
     out = {}
     for k, words in enumerate(texts):
-        seen = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, gram + 1)}
         for j, item in enumerate(items):
-            n = min(gram, len(item))
-            if not n or not any(tuple(item[i : i + n]) in seen[n] for i in range(len(item) - n + 1)):
+            if not item:
                 continue
             row, best = [0] * (len(words) + 1), 0
             for a in item:
@@ -496,6 +528,38 @@ def test_leaks_by_plain_alignment(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == set(range(150)) - {k for k, _ in want}
 
 
+def test_torn_copies_against_plain_alignment(spark):
+    """Copies in which no three words stand together: every third or fourth word changed, or words put in after every second."""
+    rng = np.random.default_rng(8)
+    items = [[f"i{j}w{x}" if rng.random() < 0.7 else f"common{x % 5}" for x in range(rng.integers(5, 40))] for j in range(12)]
+    texts = []
+    for item in items:
+        for step in (2, 3, 4, 5):
+            changed = [w if i % step != step - 1 else "changed" for i, w in enumerate(item)]
+            put_in = [x for i, w in enumerate(item) for x in ([w, "new"] if i % step == step - 1 else [w])]
+            lost = [w for i, w in enumerate(item) if i % step != step - 1]
+            for copy in (changed, put_in, lost, changed[::2] + put_in):
+                filler = [f"common{x}" for x in rng.integers(0, 5, rng.integers(0, 30))]
+                texts.append([*filler, *copy, *filler[::-1]])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string")
+    want = plain_leaks(texts, items)
+    found = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(want) > 60 and found == want
+    low = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench, least=0.4).collect()}
+    assert low == plain_leaks(texts, items, 0.4)
+
+
+def test_probes_without_a_common_run(spark):
+    """A 32-word item: every fourth word changed, a word put in after every third and after every second."""
+    item = [f"w{i}" for i in range(32)]
+    texts = [[w if i % 4 != 3 else "x" for i, w in enumerate(item)], *[[x for i, w in enumerate(item) for x in ([w, "y"] if i % k == k - 1 else [w])] for k in (3, 2)]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts * 20)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id: round(r.score, 3) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(found) == 60 and [found[k] for k in range(3)] == [0.641, 0.844, 0.766]
+
+
 def test_items_in_several_blocks(spark, tables, monkeypatch):
     whole = bag(tuple(r) for r in Q.op10_decontaminate(spark, tables).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 500)
@@ -596,6 +660,19 @@ def test_sql_twin(spark, tables, name):
     assert bag(tuple(r[c] for c in columns) for r in got.collect()) == bag(want.fetchall())
 
 
+def test_stages_delete_only_what_their_successors_have_read(spark, tables, tmp_path):
+    """Two results over one table, and over an older one, are both still there; a table written since lets the folders go."""
+    old = spark.read.parquet(f"{tables}/documents.parquet")
+    first = corpus_pipeline.drop_near_copies(spark, old, tables)
+    second = corpus_pipeline.hide_secrets(spark, old, tables)
+    third = corpus_pipeline.hide_secrets(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert first.count() and second.count() and third.count()
+    time.sleep(1.1)  # some stores have times in seconds
+    first.write.parquet(f"{tmp_path}/kept")
+    corpus_pipeline.drop_benchmark(spark, spark.read.parquet(f"{tmp_path}/kept"), tables)
+    assert not any(x[0] and x[1] < time.time() - 1 and not x[2] & set(spark.read.parquet(f"{tmp_path}/kept").inputFiles()) for x in corpus_pipeline._left[:-1])
+
+
 def test_pipeline(spark, tables, empty):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     columns = docs.columns

@@ -38,7 +38,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Label, text that is looked for (public licence texts and the usual notices), phrases of which one is mandatory.
 TEMPLATES = [
     ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["hereby granted"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["to any person obtaining a copy"]),
     (
         "mit",
         """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
@@ -69,7 +69,7 @@ TEMPLATES = [
         documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors
         as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
         particular purpose are disclaimed""",
-        ["redistributions of source code must retain", "redistributions in binary form must reproduce"],
+        ["provided with the distribution this software is provided by"],  # with a third clause other words stand between
     ),
     (
         "bsd-3-clause",
@@ -77,23 +77,23 @@ TEMPLATES = [
         this software without specific prior written permission""",
         ["endorse or promote products"],
     ),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["public license version 3"]),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     (
         "gpl-3.0",
         """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published
         by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the
         hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular
         purpose see the gnu general public license for more details""",
-        ["either version 3 of the license"],
+        ["the gnu general public license as published by the free software foundation either version 3 of the license"],
     ),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["public license version 2"]),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
     (
         "gpl-2.0",
         """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published
         by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the
         hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular
         purpose see the gnu general public license for more details""",
-        ["either version 2 of the license"],
+        ["the gnu general public license as published by the free software foundation either version 2 of the license"],
     ),
     ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
     (
@@ -144,9 +144,24 @@ TEMPLATES = [
         misrepresented you must not claim that you wrote the original software""",
         ["alter it and redistribute it freely"],
     ),
+    (
+        "bsl-1.0",
+        """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation
+        covered by this license the software to use reproduce display distribute execute and transmit the software""",
+        ["any person or organization obtaining a copy"],
+    ),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("epl-2.0", "under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
     ("no-warranty", "merchantability fitness for a particular purpose and noninfringement", ["particular purpose"]),
     ("copyright", "copyright all rights reserved", ["rights reserved"]),
 ]
+#: Labels and the identifiers that stand for them in a line "SPDX-License-Identifier: ...".
+IDENTIFIERS = [
+    ("mit", "MIT"), ("apache-2.0", "Apache-2.0"), ("bsd-2-clause", "BSD-2-Clause"), ("bsd-3-clause", "BSD-3-Clause"), ("gpl-2.0", "GPL-2.0"), ("gpl-3.0", "GPL-3.0"),
+    ("lgpl", "LGPL-2.1"), ("lgpl", "LGPL-3.0"), ("agpl", "AGPL-3.0"), ("mpl-2.0", "MPL-2.0"), ("isc", "ISC"), ("zlib", "Zlib"), ("unlicense", "Unlicense"), ("bsl-1.0", "BSL-1.0"), ("epl-2.0", "EPL-2.0"), ("cc-zero", "CC0-1.0"),
+]
+TEMPLATES += [(label, said, [said]) for label, said in ((x, f"spdx license identifier {y.lower().replace('-', ' ').replace('.', ' ')}") for x, y in IDENTIFIERS)]
 #: Words too frequent in any text to be indexed.
 PLAIN = "a all an and any are as at be but by can do for from if in is it its may more must not of on one or other out so that the they this to under use was will with without work you your".split()
 #: A copy needs this part of the weight of its template's words.
