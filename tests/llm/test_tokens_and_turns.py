@@ -95,7 +95,8 @@ def test_alignment_of_odd_texts(spark, libraries, seed, monkeypatch):
     rng = random.Random(seed)
     made = ["".join(rng.choice("ab the ing.\n▁日é  ") for _ in range(rng.randint(0, 40))) for _ in range(200)]
     docs = [(k if k % 9 else None, t) for k, t in enumerate(ODD + made + ODD)]
-    monkeypatch.setattr(alignment, "TOGETHER", 500)
+    monkeypatch.setattr(alignment, "TOGETHER", 500 * seed)
+    monkeypatch.setattr(alignment, "PART", 7)
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("units", F.lit("clash")).repartition(3)
     assert rows(alignment.aligned_texts(df, A, B)) == sorted(plain_alignment(*libraries, docs), key=lambda r: tuple((x is None, x) for x in r))
 
@@ -109,9 +110,11 @@ def test_alignment_of_tables(spark, libraries, tables, docs, empty):
 def test_links_cover_every_overlap(spark, libraries):
     """The links of a stretch are the overlapping pairs, however long its groups are."""
     units = [" " + "heinthsupercalifragilistic" * 40, " ....====----", " x", " \t\t\n"]
-    coded = alignment.encode_units(spark.createDataFrame([(u, 3) for u in units], "unit string, n long"), A, B)
-    links = alignment.unit_links(coded).join(coded.select("uid", "unit"), "uid")
-    got = Counter((r["unit"], r["a"], r["b"]) for r in links.collect())
+    docs = spark.createDataFrame([(k, u[1:]) for k, u in enumerate(units)], "doc_id long, text string").coalesce(1)
+    batches = alignment.cut_texts(docs, A, B)
+    where = batches.filter("doc_ids is not null").select("bucket", F.explode(F.arrays_zip("doc_ids", "places")).alias("x")).select("bucket", "x.doc_ids", F.explode("x.places").alias("k"))
+    links = alignment.unit_links(batches).join(where, ["bucket", "k"])
+    got = Counter((units[r["doc_ids"]], r["a"], r["b"]) for r in links.collect())
     want = Counter()
     for unit in units:
         left, right = pieces(*libraries, unit[1:])

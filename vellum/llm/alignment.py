@@ -2,27 +2,28 @@
 
 Where tokens of a byte-level tokenizer A and a piece tokenizer B end at the same byte, the
 text is cut into groups; a link joins two tokens whose bytes overlap.  The work is relational:
-tokens are posexploded, windowed sums of their lengths give their ends, an equi-join on the
-text and the end finds the cuts, a running count of cuts is the group.  Each row of that join
-is a stretch of bytes between two ends; exactly one token of A and one of B cover it, so the
+tokens are posexploded, windowed sums of their lengths give their ends, both sides meet on
+(stretch of text, end), a running count of the ends they share is the group.  What meets there
+is a stretch of bytes between two ends; exactly one token of A and one of B cover it, so these
 rows are the links, as many as there are tokens less the cuts, however long a group is.
 
 No token of A or B reaches across a space that follows a visible character.  Texts are
-therefore cut there, and the joins run once for each distinct stretch of the corpus, with the
-number of its occurrences, instead of once for each place:
-
-1. A pass over the texts cuts them; each batch becomes a row with its distinct stretches, how
-   often they occur, and the texts as lists of numbers into them.  It is a table.
-2. Distinct stretches of the corpus are encoded by both libraries and aligned.
-3. Links are counted by id pair over all occurrences in texts that both tokenizers give back;
-   a text that one of them alters (a piece model writes U+2581 for a space) has no tokens.
-4. What is known of a stretch goes back to the batches by a join on its text, and batch by
-   batch to the places in the texts.
+therefore cut there, and a stretch is aligned once for all its places in a batch of texts:
+
+1. A pass over the texts cuts them and encodes each distinct stretch of ``TOGETHER`` bytes of
+   texts by both libraries.  Such a batch is some rows of a table, with the texts as lists of
+   numbers into its stretches.  A text that a tokenizer alters (a piece model writes U+2581
+   for a space) has no tokens and no places.
+2. That table and the one of links are bucketed by batch, so all that follows, which is by
+   batch and stretch, shuffles nothing.  Hence the equi-join of the two sides on the end, which
+   each side holds once, is an aggregation over their union: a join would deal all tokens anew.
+3. Links are counted by id pair over all places in the corpus.
+4. Links meet the counts of their pairs and go, batch by batch, to the places in the texts.
 
 Defined results: a null or empty text has no tokens, zeros and an empty digest; null ids and
 rows that repeat are kept, each with its own result; an empty table stays empty; other columns
-are not carried.  A text of any length is aligned whole: memory follows the longest text, a
-batch is ``TOGETHER`` bytes or one text.
+are not carried.  A text of any length is aligned whole: memory follows the longest text and
+``TOGETHER``.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +45,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import in_arrow, slices, sole
-from .staging import sendable, stage
-from .units import _BLANK_END, buffers, hashes, texts_of
-
-#: Bytes of text whose distinct stretches go into one row.
-TOGETHER = 4 << 20
-#: Stretches that the libraries get at a time.
-ENCODED = 20_000
+from .staging import new_folder, sendable, stage
+from .units import _BLANK_END, UnitTable, buffers, hashes, spread, texts_of
+
+#: Bytes of text whose distinct stretches go into one row, and those that are cut at a time.
+TOGETHER = 8 << 20
+CUT = 2 << 20
+#: Stretches in a row.
+PART = 1 << 16
+#: More than any vocabulary has entries.
+VOCABULARY = 1 << 24
 MARK = "▁"
 STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+ROW = {"bucket": pa.int64(), "base": pa.int32(), "n": pa.list_(pa.int32()), "unit": pa.list_(pa.int32()), "id": pa.list_(pa.int32()), "size": pa.list_(pa.int16()), "doc_ids": pa.list_(pa.int64()), "places": pa.list_(pa.list_(pa.int32()))}
+#: What tells a stretch.
+UNIT = ["bucket", "k"]
 
 
 def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -72,51 +80,10 @@ def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
-def cut_texts(docs: DataFrame) -> DataFrame:
-    """bucket, doc_ids, places, units, counts: a row a batch of texts, a space put before each; staged.
-
-    ``places`` are the texts as numbers into ``units``, ``counts`` the occurrences of each.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("alignment_cut")
-        bucket = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for batch in slices(whole, "text", TOGETHER):
-                texts = pc.fill_null(batch.column("text"), "")
-                data, offsets = buffers(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " ")))
-                starts = safe_starts(data, offsets)
-                sizes = np.diff(starts, append=len(data))
-                if len(starts):
-                    one, two = hashes(data, starts, sizes)
-                    _, first, place = np.unique(one, return_index=True, return_inverse=True)
-                    if (two[first[place]] != two).any():  # 64 bits did not tell them apart
-                        _, first, place = np.unique(np.stack((one, two)), axis=1, return_index=True, return_inverse=True)
-                else:
-                    first = place = np.zeros(0, np.int64)
-                units = pa.array([u.decode("utf-8", "replace") for u in texts_of(data, starts[first], sizes[first])], pa.string())
-                bounds = pa.array(np.searchsorted(starts, offsets).astype(np.int32))
-                one_row = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array([bucket], pa.int64()),
-                        "doc_ids": one_row(batch.column("doc_id")),
-                        "places": one_row(pa.ListArray.from_arrays(bounds, pa.array(place.ravel().astype(np.int32)))),
-                        "units": one_row(units),
-                        "counts": one_row(pa.array(np.bincount(place.ravel(), minlength=len(first)).astype(np.int64))),
-                    }
-                )
-                bucket += 1
-
-    schema = "bucket long, doc_ids array<long>, places array<array<int>>, units array<string>, counts array<long>"
-    return stage(in_arrow(rows, run, schema), "cut-texts")
-
-
 class Pair:
-    """Both libraries, with the bytes of every token."""
+    """Both libraries, and the ids of stretches that were met before."""
 
-    def __init__(self, path_a: str, path_b: str) -> None:
+    def __init__(self, path_a: str, path_b: str, size: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -130,28 +97,79 @@ class Pair:
         self.a.no_truncation()
         self.a.no_padding()
         own = self.a.get_vocab(with_added_tokens=True)
-        self.size_a = np.zeros(max(own.values()) + 1, np.int64)
+        self.size_a = np.zeros(max(own.values()) + 1, np.int32)
         for text, i in own.items():
             self.size_a[i] = len(text)  # a byte-level entry has a character a byte
         self.b = SentencePieceProcessor(model_file=path_b)
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.size_b = np.array([len(x) for x in self.bytes_b])
+        ids = range(self.b.get_piece_size())
+        self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in ids]
+        self.size_b = np.array([len(x) for x in self.bytes_b], np.int32)
+        self.blob, self.start_b = np.frombuffer(b"".join(self.bytes_b), np.uint8), np.cumsum(self.size_b) - self.size_b
         self.blank = self.b.piece_to_id(MARK)
-
-    def encode(self, units: list[str]) -> dict[str, pa.Array]:
-        """Ids and lengths of both, and whether both give the stretch back."""
-        found = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        pieces = [ids if len(u) > 1 else [self.blank] for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
-        raw = [u.encode() for u in units]
-        same_a = [int(self.size_a[ids].sum()) == len(r) for ids, r in zip(found, raw, strict=True)]
-        same_b = [b"".join([self.bytes_b[i] for i in ids]) == r for ids, r in zip(pieces, raw, strict=True)]
-        out = {"same": pa.array([x and y for x, y in zip(same_a, same_b, strict=True)])}
-        for name, lists, sizes in (("a", found, self.size_a), ("b", pieces, self.size_b)):
-            bounds = pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32))
-            flat = np.fromiter((i for ids in lists for i in ids), np.int32)
-            out[f"{name}_ids"] = pa.ListArray.from_arrays(bounds, pa.array(flat))
-            out[f"{name}_sizes"] = pa.ListArray.from_arrays(bounds, pa.array(sizes[flat].astype(np.int32)))
-        return out
+        self.tables = [UnitTable(np.dtype(np.int32), size) for _ in range(2)]
+
+    def _ask_a(self, units: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _ask_b(self, units: list[str]) -> list[list[int]]:
+        # the library puts a space before each text
+        return [ids if len(u) > 1 else [self.blank] for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
+
+    def _ids(self, ask: Callable, known: np.ndarray, units: list[str], sizes: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of stretches; those that ``joins`` marks are asked for many in one text and come apart at their ends."""
+        together = [x.tolist() for x in np.array_split(np.flatnonzero(joins), joins.sum() // 200 + 1)]
+        alone = np.flatnonzero(~joins).tolist()
+        counts, order, parts = np.zeros(len(units), np.int64), [], []
+        for group, ids in zip(together, ask(["".join([units[k] for k in g]) or " " for g in together]), strict=True):
+            ends, own = np.cumsum(known[ids]), np.cumsum(sizes[group])
+            at = np.searchsorted(ends, own)
+            if len(group) and len(ends) == at[-1] + 1 and (ends[at] == own).all():
+                counts[group] = np.diff(at, prepend=-1)
+                order += group
+                parts.append(np.array(ids, np.int32))
+            else:  # something in it is altered
+                alone += group
+        found = ask([units[k] for k in alone])
+        counts[alone] = [len(ids) for ids in found]
+        flat = np.concatenate([*parts, np.fromiter(chain.from_iterable(found), np.int32)])
+        order = np.array(order + alone, np.int64)
+        first = np.zeros(len(units), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[spread(first, counts)], counts
+
+    def learn(self, raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, counts) of both for each stretch, none of either if one does not give it back."""
+        units = [r.decode("utf-8", "replace") for r in raw]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data, last = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
+        joins = (data[last - 1] > 32) & (data[last - 1] < 0x80)  # what follows a visible character is cut off there
+        found = [self._ids(ask, known, units, sizes, joins) for ask, known in ((self._ask_a, self.size_a), (self._ask_b, self.size_b))]
+        same = np.ones(len(raw), bool)
+        for known, (ids, counts) in zip((self.size_a, self.size_b), found, strict=True):
+            ends = np.concatenate(([0], np.cumsum(known[ids])))
+            bound = np.cumsum(counts)
+            same &= (ends[bound] - ends[bound - counts] == sizes) & (counts > 0)
+        some = np.flatnonzero(same)
+        ids, counts = found[1]
+        own = ids[spread((np.cumsum(counts) - counts)[some], counts[some])]
+        wrong = self.blob[spread(self.start_b[own], self.size_b[own])] != data[spread((last - sizes)[some], sizes[some])]
+        seen = np.concatenate(([0], np.cumsum(wrong)))
+        bound = np.cumsum(sizes[some])
+        same[some] = seen[bound] == seen[bound - sizes[some]]
+        return [(flat[spread((np.cumsum(n) - n)[same], n[same])], np.where(same, n, 0)) for flat, n in found]
+
+    def encode(self, one: np.ndarray, two: np.ndarray, raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, counts) of A and of B for distinct stretches."""
+        entry = [t.find(one, two) for t in self.tables]
+        new = np.flatnonzero(entry[0] < 0)
+        if len(new) and self.tables[0].used + len(new) > self.tables[0].size:
+            self.tables = [UnitTable(t.dtype, max(t.size, 2 * len(one))) for t in self.tables]
+            new = np.arange(len(one))
+        if len(new):
+            for table, (ids, counts) in zip(self.tables, self.learn([raw[k] for k in new.tolist()]), strict=True):
+                table.add(one[new], two[new], ids, counts)
+            entry = [t.find(one, two) for t in self.tables]
+        return [(t.ids[spread(t.start[e], t.count[e])], t.count[e]) for t, e in zip(self.tables, entry, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -160,126 +178,187 @@ def pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """``units`` (unit, n) with uid, same, a_ids, a_sizes, b_ids and b_sizes; staged."""
+def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pair of hashes stands first, and which of these every place is."""
+    _, first, place = np.unique(one ^ (two << np.uint64(1)), return_index=True, return_inverse=True)
+    if (one[first[place]] != one).any() or (two[first[place]] != two).any():  # 64 bits did not tell them apart
+        _, first, place = np.unique(np.stack((one, two)), axis=1, return_index=True, return_inverse=True)
+    return first, place.ravel()
+
+
+class Batch:
+    """Texts with their distinct stretches, until they are ``TOGETHER`` bytes."""
+
+    def __init__(self) -> None:
+        self.size = 0
+        self.ids: list[pa.Array] = []
+        self.lengths: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.one: list[np.ndarray] = []
+        self.two: list[np.ndarray] = []
+        self.raw: list[bytes] = []
+
+    def add(self, ids: pa.Array, texts: pa.Array) -> None:
+        """More texts; a space is put before each."""
+        texts = pc.fill_null(texts, "")
+        data, offsets = buffers(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " ")))
+        starts = safe_starts(data, offsets)
+        sizes = np.diff(starts, append=len(data))
+        first = place = np.zeros(0, np.int64)
+        if len(starts):
+            one, two = hashes(data, starts, sizes)
+            first, place = distinct(one, two)
+            self.one.append(one[first])
+            self.two.append(two[first])
+        self.places.append(place + len(self.raw))
+        self.raw += texts_of(data, starts[first], sizes[first])
+        self.ids.append(ids)
+        self.lengths.append(np.diff(np.searchsorted(starts, offsets)))
+        self.size += len(data)
+
+    def rows(self, bucket: int, tool: Pair) -> Iterator[pa.RecordBatch]:
+        """The batch: rows of ``PART`` stretches each, then rows of texts."""
+        one, two = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (self.one, self.two))
+        first, same = distinct(one, two)
+        place, lengths = same[np.concatenate(self.places)], np.concatenate(self.lengths)
+        (a, n_a), (b, n_b) = tool.encode(one[first], two[first], [self.raw[k] for k in first.tolist()])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        whole = np.ones(len(lengths), bool)
+        whole[owner[n_a[place] == 0]] = False  # a text with a stretch that is not given back
+        place, lengths = place[whole[owner]], np.where(whole, lengths, 0)
+        n, k = np.bincount(place, minlength=len(first)).astype(np.int32), np.arange(len(first), dtype=np.int32)
+        from_a, from_b, bounds = (np.concatenate(([0], np.cumsum(x))) for x in (n_a, n_b, lengths))
+        nothing = {c: pa.nulls(1, t) for c, t in ROW.items()}
+        row = lambda **new: pa.RecordBatch.from_pydict({**nothing, "bucket": pa.array([bucket], pa.int64())} | {c: v if len(v) == 1 and c == "base" else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in new.items()})
+        for x in range(0, len(first), PART):
+            y = min(x + PART, len(first))
+            ids = [flat[at[x] : at[y]] for flat, at in ((a, from_a), (b, from_b))]
+            unit = np.concatenate((np.repeat(2 * k[x:y], n_a[x:y]), np.repeat(2 * k[x:y] + 1, n_b[x:y])))
+            size = np.concatenate((tool.size_a[ids[0]], tool.size_b[ids[1]])).astype(np.int16)
+            yield row(base=pa.array([x], pa.int32()), n=pa.array(n[x:y]), unit=pa.array(unit), id=pa.array(np.concatenate(ids)), size=pa.array(size))
+        docs, x = pa.concat_arrays(self.ids), 0
+        while x < len(docs):
+            y = max(x + 1, int(np.searchsorted(bounds, bounds[x] + 8 * PART, "right")) - 1)
+            lists = pa.ListArray.from_arrays(pa.array((bounds[x : y + 1] - bounds[x]).astype(np.int32)), pa.array(place[bounds[x] : bounds[y]].astype(np.int32)))
+            yield row(doc_ids=docs[x:y], places=lists)
+            x = y
+
+
+def cut_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """bucket and either base, n, unit, id, size (stretches from number ``base`` on) or doc_ids, places (texts); staged.
+
+    ``n`` are the places of each stretch, ``unit``, ``id`` and ``size`` its tokens, the number
+    of a stretch being doubled and one more for B; ``places`` are the texts as stretches.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("alignment", pair.cache_clear)
-        tool, uid = pair(path_a, path_b), TaskContext.get().partitionId() << 32
+        tool, bucket, held = pair(path_a, path_b), TaskContext.get().partitionId() << 32, Batch()
         for whole in batches:
-            for start in range(0, whole.num_rows, ENCODED):
-                batch = whole.slice(start, ENCODED)
-                names = {"uid": pa.array(np.arange(uid, uid + batch.num_rows)), "unit": batch.column("unit"), "n": batch.column("n")}
-                yield pa.RecordBatch.from_pydict(names | tool.encode(batch.column("unit").to_pylist()))
-                uid += batch.num_rows
-
-    return stage(in_arrow(units, run, "uid long, unit string, n long, same boolean, a_ids array<int>, a_sizes array<int>, b_ids array<int>, b_sizes array<int>"), "units")
-
-
-def unit_links(coded: DataFrame) -> DataFrame:
-    """uid, end, group, a, b, a_ends, b_ends, n: a row a link of each stretch, groups numbered from its end."""
-    order = Window.partitionBy("uid").orderBy("at")
-
-    def ends(side: str) -> DataFrame:
-        tokens = coded.select("uid", "n", F.posexplode(F.arrays_zip(f"{side}_ids", f"{side}_sizes")).alias("at", "t"))
-        return tokens.select("uid", "n", F.sum(f"t.{side}_sizes").over(order).alias("end"), F.col(f"t.{side}_ids").alias(side))
-
-    both = ends("a").join(ends("b").withColumnRenamed("n", "n_b"), ["uid", "end"], "full_outer")
-    a_ends, b_ends = F.col("a").isNotNull(), F.col("b").isNotNull()
-    back = Window.partitionBy("uid").orderBy(F.desc("end"))  # from the last end on, a running frame sees the token that covers a place
+            for batch in slices(whole, "text", CUT):
+                held.add(batch.column("doc_id"), batch.column("text"))
+                if held.size >= TOGETHER:
+                    yield from held.rows(bucket, tool)
+                    bucket, held = bucket + 1, Batch()
+        if held.ids:
+            yield from held.rows(bucket, tool)
+
+    schema = "bucket long, base int, n array<int>, unit array<int>, id array<int>, size array<smallint>, doc_ids array<long>, places array<array<int>>"
+    return bucketed(in_arrow(rows, run, schema), 4 * docs.rdd.getNumPartitions(), "texts")
+
+
+def bucketed(df: DataFrame, n: int, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in files by ``bucket`` that readers need not shuffle."""
+    spark, table = df.sparkSession, f"vellum_{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", new_folder(spark, name))
+    writer.bucketBy(max(1, min(n, 100_000)), "bucket").saveAsTable(table)
+    return spark.table(table)
+
+
+def unit_links(batches: DataFrame) -> DataFrame:
+    """bucket, k, end, group, a, b, a_ends, b_ends, n: a row a link of each stretch k, its groups numbered from its end."""
+    dealt = batches.filter("base is not null")
+    token = F.posexplode(F.arrays_zip("unit", "id", "size")).alias("at", "t")
+    places = F.element_at("n", F.shiftright("t.unit", 1) - F.col("base") + 1).cast("long")
+    # the id and the places of its stretch share a column: rows are sorted several times
+    tokens = dealt.select("bucket", "base", "n", token).select("bucket", "t.unit", "at", (places * VOCABULARY + F.col("t.id")).alias("x"), "t.size")
+    tokens = tokens.filter(F.col("x") >= VOCABULARY)  # the others are in altered texts only
+    ends = tokens.select("bucket", "unit", "x", F.sum("size").over(Window.partitionBy("bucket", "unit").orderBy("at")).alias("end"))
+    ends = ends.select("bucket", F.shiftright("unit", 1).alias("k"), (F.col("unit") % 2).alias("side"), (F.col("x") % VOCABULARY).cast("int").alias("id"), F.expr(f"x div {VOCABULARY}").alias("n"), "end")
+    of = lambda side, name: F.max(F.when(F.col("side") == side, F.col("id"))).alias(name)  # noqa: E731  one token at most
+    met = ends.groupBy(*UNIT, "end").agg(of(0, "a"), of(1, "b"), F.max("n").alias("n"))
+    back = Window.partitionBy(*UNIT).orderBy(F.desc("end"))  # from the last end on, a running frame sees the token that covers a place
+    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     cover = lambda c: F.last(c, ignorenulls=True).over(back).alias(c)
-    cuts = F.sum((a_ends & b_ends).cast("int")).over(back).alias("group")
-    return both.select("uid", "end", cuts, cover("a"), cover("b"), a_ends.alias("a_ends"), b_ends.alias("b_ends"), F.coalesce("n", "n_b").alias("n"))
+    return met.select(*UNIT, F.col("end").cast("int").alias("end"), F.sum(cut.cast("int")).over(back).cast("int").alias("group"), cover("a"), cover("b"), F.col("a").isNotNull().alias("a_ends"), F.col("b").isNotNull().alias("b_ends"), "n")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """a, b, pair_n, best: links of each id pair in the corpus, and whether it is the most of its b."""
-    counts = links.groupBy("a", "b").agg(F.sum("n").alias("pair_n"))
-    most = F.max("pair_n").over(Window.partitionBy("b"))  # a window holds at most the vocabulary of A
-    return counts.select("a", "b", "pair_n", (F.col("pair_n") == most).alias("best"))
-
-
-def unit_results(links: DataFrame, counts: DataFrame) -> DataFrame:
-    """uid, the statistics of each stretch and its groups as text."""
-    known = links.join(sendable(counts), ["a", "b"])
-    listed = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(f"{side}_ends"), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    groups = known.groupBy("uid", "group").agg(
-        F.concat_ws("|", listed("a"), listed("b")).alias("said"),
-        F.count_if("a_ends").alias("n_a"), F.count_if("b_ends").alias("n_b"), F.count("*").alias("n_links"), F.count_if("best").alias("n_best"), F.sum("pair_n").alias("count_sum"),
-    )
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("k"), "said"))), lambda x: x["said"]), ";")
-    sums = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_links", "n_best", "count_sum")]
-    return groups.groupBy("uid").agg(whole.alias("groups"), F.count("*").alias("n_groups"), *sums)
+    """a, b, pair_n, best: links of each id pair in the corpus, and whether it is the most of its b; staged."""
+    counts = stage(links.groupBy("a", "b").agg(F.sum("n").alias("pair_n")), "pairs")
+    most = F.broadcast(counts.groupBy("b").agg(F.max("pair_n").alias("most")))  # as many rows as the vocabulary of B at most
+    return counts.join(most, "b").select("a", "b", "pair_n", (F.col("pair_n") == F.col("most")).alias("best"))
 
 
 @dataclass
 class Alignment:
-    """The tables of an alignment: batches of texts, distinct stretches, links and id pairs."""
+    """The tables of an alignment: batches of texts, links of their stretches, counts of id pairs."""
 
-    buckets: DataFrame
-    coded: DataFrame
+    batches: DataFrame
     links: DataFrame
     counts: DataFrame
-    altered: bool
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> Alignment:
     """Links of all stretches of ``docs`` (doc_id, text) and the corpus-wide counts of id pairs."""
-    buckets = cut_texts(docs)
-    seen = buckets.select(F.explode(F.arrays_zip("units", "counts")).alias("u")).select(F.col("u.units").alias("unit"), F.col("u.counts").alias("n"))
-    coded = encode_units(seen.groupBy("unit").agg(F.sum("n").alias("n")), path_a, path_b)
-    good = coded.filter("same")
-    altered = not coded.filter("not same").isEmpty()
-    if altered:
-        good = good.join(lost_counts(buckets, coded), "unit", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).filter("n > 0")
-    links = stage(unit_links(good), "links")
-    return Alignment(buckets, coded, links, stage(pair_counts(links), "pairs"), altered)
-
-
-def lost_counts(buckets: DataFrame, coded: DataFrame) -> DataFrame:
-    """unit, lost: occurrences in texts that hold a stretch which is not given back."""
-    bad = coded.filter("not same").select("unit")
-    where = buckets.select("bucket", F.posexplode("units").alias("k", "unit")).join(sendable(bad), "unit")
-    spoilt = where.groupBy("bucket").agg(F.collect_set("k").alias("bad"))
-    texts = buckets.join(spoilt, "bucket").select("bucket", F.explode("places").alias("p"), "bad").filter(F.arrays_overlap("p", "bad"))
-    lost = texts.select("bucket", F.explode("p").alias("k")).groupBy("bucket", "k").agg(F.count("*").alias("lost"))
-    names = buckets.select("bucket", F.posexplode("units").alias("k", "unit"))
-    return names.join(lost, ["bucket", "k"]).groupBy("unit").agg(F.sum("lost").alias("lost"))
+    batches = cut_texts(docs, path_a, path_b)
+    links = bucketed(unit_links(batches), 4 * docs.rdd.getNumPartitions(), "links")
+    return Alignment(batches, links, pair_counts(links))
+
+
+def _groups(t: dict[str, np.ndarray], first: np.ndarray) -> list[str]:
+    """The groups of each stretch as text; ``t``: links in order of stretch and end, ``first``: where stretches begin."""
+    ends = np.flatnonzero(t["a_ends"] & t["b_ends"]) + 1  # a group ends where both do
+    sides = []
+    for side in ("a", "b"):
+        there = np.flatnonzero(t[f"{side}_ends"])
+        bounds = np.concatenate(([0], np.searchsorted(there, ends))).astype(np.int32)
+        sides.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), pc.cast(pa.array(t[side][there]), pa.string())), ","))
+    said = pc.binary_join_element_wise(*sides, "|")
+    bounds = np.searchsorted(ends, np.append(first, len(t["k"])), "right").astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), said), ";").to_pylist()
 
 
 def text_results(found: Alignment) -> DataFrame:
     """A row a text: the statistics and the digest of its groups."""
-    known = unit_results(found.links, found.counts).join(found.coded.select("uid", "unit"), "uid").select("unit", "groups", *STATS)
-    named = found.buckets.select("bucket", F.posexplode("units").alias("k", "unit"))
-    facts = named.join(known, "unit", "left" if found.altered else "inner").select(F.col("bucket").alias("in_bucket"), "k", "groups", *STATS)
-    texts = found.buckets.select("bucket", "doc_ids", "places")
+    texts = found.batches.filter("doc_ids is not null").select("bucket", "doc_ids", "places")
+    links = found.links.join(sendable(found.counts), ["a", "b"]).select(F.col("bucket").alias("in_bucket"), "k", "end", "a", "b", "a_ends", "b_ends", "pair_n", "best")
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("k").to_numpy())
-        right = right.take(pa.array(order)) if len(order) else right
-        groups = right.column("groups").to_pylist()
-        lost = np.flatnonzero([g is None for g in groups])
-        stats = {c: np.nan_to_num(right.column(c).to_numpy(zero_copy_only=False)).astype(np.int64) for c in STATS}
+        order = np.lexsort((right.column("end").to_numpy(), right.column("k").to_numpy()))
+        t = {c: right.column(c).to_numpy()[order] for c in right.column_names[1:]}
+        first = np.flatnonzero(np.diff(t["k"], prepend=-1))
+        groups = _groups(t, first)
+        whole = {"n_a": t["a_ends"], "n_b": t["b_ends"], "n_groups": t["a_ends"] & t["b_ends"], "n_links": np.ones(len(order), bool), "n_best": t["best"], "count_sum": t["pair_n"]}
+        stats = {c: np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for c, v in whole.items()}
+        k = t["k"][first]
+        at = np.zeros(int(k.max(initial=-1)) + 1, np.int64)
+        at[k] = np.arange(len(k))
         out = []
-        for row in range(left.num_rows):
-            ids, places = left.column("doc_ids").chunk(0)[row].values, left.column("places").chunk(0)[row].values
-            lengths = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = places.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            whole = lengths > 0
-            whole[owner[np.isin(flat, lost)]] = False
-            flat, lengths = flat[whole[owner]], np.where(whole, lengths, 0)
-            bounds = np.concatenate(([0], np.cumsum(lengths)))
+        for ids, places in zip(*(left.column(c).combine_chunks() for c in ("doc_ids", "places")), strict=True):
+            ids, places = ids.values, places.values
+            bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64))))
+            flat = at[places.flatten().to_numpy(zero_copy_only=False)]
             said = (";".join(map(groups.__getitem__, flat[x:y].tolist())) for x, y in pairwise(bounds.tolist()))
             digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said]
-            sums = {c: np.diff(np.concatenate(([0], np.cumsum(v[flat])))[bounds]) for c, v in stats.items()}
+            sums = {c: np.diff(np.concatenate(([0], np.cumsum(v[flat])))[bounds]).astype(np.int64) for c, v in stats.items()}
             out.append(pa.table({"doc_id": ids, **sums, "groups_sha256": pa.array(digests, pa.string())}))
-        return pa.concat_tables(out) if out else pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in STATS), ("groups_sha256", pa.string())]).empty_table()
+        return pa.concat_tables(out)
 
-    return texts.groupBy("bucket").cogroup(facts.groupBy("in_bucket")).applyInArrow(put, RESULT)
+    return texts.groupBy("bucket").cogroup(links.groupBy("in_bucket")).applyInArrow(put, RESULT)
 
 
 def aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``docs``."""
     return text_results(align(docs, path_a, path_b))
-
