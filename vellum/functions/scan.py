@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.plans.settle import settle
+
 #: Lines of a file that make a block, as a power of two.
 BLOCK_BITS = 12
 
@@ -32,13 +34,17 @@ class Running:
     nexts: dict[str, Column] = field(default_factory=dict)
 
 
-def scan(df: DataFrame, by: list[str], block: list[str], order: list[str], running: Running) -> DataFrame:
-    """``df`` with the running values of each sequence ``by``; blocks follow each other as their columns ``block``, rows as ``order``."""
+def scan(df: DataFrame, by: list[str], block: list[str], order: list[str], running: Running, keep: bool = False) -> DataFrame:
+    """``df`` with the running values of each sequence ``by``; blocks follow each other as their columns ``block``, rows as ``order``.
+
+    Both passes read ``df``; with ``keep`` it is computed once and written to the checkpoint
+    folder before, which pays for what is small against the way to it (headings, not lines).
+    """
     inner = Window.partitionBy(*by, *block).orderBy(*order)
     inner_back = Window.partitionBy(*by, *block).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     upto = inner.rowsBetween(Window.unboundedPreceding, 0)
     value = {f"__v_{k}": c for k, c in (running.sums | running.lasts | running.nexts).items()}
-    rows = df.withColumns(value)
+    rows = settle(df.withColumns(value)) if keep else df.withColumns(value)
     place = F.struct(*order)
     totals = [F.sum(f"__v_{k}").alias(f"__t_{k}") for k in running.sums]
     totals += [F.max_by(f"__v_{k}", F.when(F.col(f"__v_{k}").isNotNull(), place)).alias(f"__t_{k}") for k in running.lasts]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as X
 from vellum.functions.roles import RULES, role_of
 from vellum.functions.scan import BLOCK_BITS, Running, scan
+from vellum.plans.settle import settle
 from vellum.schemas import LEVELS, STATS
 
 FILE = ("project", "file")
@@ -35,7 +36,7 @@ def _after(fences: str, state: str) -> str:
     return f"aggregate({fences}, {state}, (s, f) -> {_STEP.format(s='s', f='f')})"
 
 
-def fence_states(lines: DataFrame) -> DataFrame:
+def fence_states(fences: DataFrame) -> DataFrame:
     """project, file, file_ord, stretch, state: the mark of the block that is open where each stretch of lines with fences begins.
 
     What a stretch does to a state is a function that is known from its own fences: from no
@@ -45,7 +46,7 @@ def fence_states(lines: DataFrame) -> DataFrame:
     made in each stretch on its own and applied one after the other by file.
     """
     key = [*FILE, "file_ord"]
-    stretches = _fences(lines).groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
+    stretches = fences.groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
     longest = lambda m: f"coalesce(array_max(transform(filter(slice(all, 1, i), g -> g.bare and startswith(g.mark, '{m}')), g -> length(g.mark))), 0)"
     records = f"""filter(transform(all, (f, i) -> struct(i as i, f.mark as mark, f.bare and length(f.mark) > if(startswith(f.mark, '`'), {longest("`")}, {longest("~")}) as is_record)), r -> r.is_record)"""
     closing = F.expr(f"transform({records}, r -> struct(r.mark as mark, {_after('slice(all, r.i + 2, size(all))', chr(39) * 2)} as then))")
@@ -74,8 +75,9 @@ def mark_code(lines: DataFrame) -> DataFrame:
     Fences are folded by stretches of ``BLOCK_BITS`` lines, from the state that
     :func:`fence_states` gives them, so a file of any length is cut over many tasks.
     """
-    stretches = _fences(lines).groupBy(*FILE, "file_ord", "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
-    states = fence_states(lines).withColumnsRenamed({c: f"s_{c}" for c in (*FILE, "file_ord", "stretch")})
+    found = settle(_fences(lines))  # few against the lines
+    stretches = found.groupBy(*FILE, "file_ord", "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
+    states = fence_states(found).withColumnsRenamed({c: f"s_{c}" for c in (*FILE, "file_ord", "stretch")})
     same = reduce(Column.__and__, [stretches[c].eqNullSafe(states[f"s_{c}"]) for c in (*FILE, "file_ord", "stretch")])
     walked = F.expr(
         f"""aggregate(all, named_struct('state', state, 'out', cast(array() as array<struct<line_no:int,opens:boolean,inside:boolean>>)),
@@ -84,7 +86,7 @@ def mark_code(lines: DataFrame) -> DataFrame:
     )
     fences = stretches.join(states, same).select(*FILE, "file_ord", F.explode(walked).alias("f")).select(*FILE, "file_ord", "f.*")
     keys = [*FILE, "file_ord", "line_no"]
-    renamed = fences.withColumnsRenamed({c: f"f_{c}" for c in keys})
+    renamed = settle(fences).withColumnsRenamed({c: f"f_{c}" for c in keys})
     joined = lines.join(renamed, reduce(Column.__and__, [lines[c].eqNullSafe(renamed[f"f_{c}"]) for c in keys]), "left")
     cut = joined.select(*lines.columns, "opens", "inside", F.shiftright("line_no", BLOCK_BITS).alias("__stretch"))
     found = scan(cut, [*FILE], ["file_ord", "__stretch"], ["line_no"], Running(lasts={"__in": F.col("inside")}))
@@ -92,10 +94,10 @@ def mark_code(lines: DataFrame) -> DataFrame:
     return found.select(*lines.columns, (F.coalesce("__in", F.lit(False)) | F.col("opens").isNotNull()).alias("code"), F.coalesce("opens", F.lit(False)).alias("opens"))
 
 
-def in_order(headings: DataFrame, running: Running) -> DataFrame:
+def in_order(headings: DataFrame, running: Running, keep: bool = False) -> DataFrame:
     """Running values over the headings of each project, in blocks of ``BLOCK_BITS`` lines."""
     cut = headings.withColumn("__stretch", F.shiftright("line_no", BLOCK_BITS))
-    return scan(cut, ["project"], ["file_ord", "__stretch"], ["line_no"], running).drop("__stretch")
+    return scan(cut, ["project"], ["file_ord", "__stretch"], ["line_no"], running, keep).drop("__stretch")
 
 
 def find_headings(marked: DataFrame, rules: list = RULES) -> DataFrame:
@@ -103,7 +105,7 @@ def find_headings(marked: DataFrame, rules: list = RULES) -> DataFrame:
     level = X.heading_level(F.col("line"))
     found = marked.filter(~F.col("code") & F.col("line").rlike(X.HEADING)).select("project", "file", "file_ord", "line_no", level.alias("level"), X.heading_text(F.col("line")).alias("text"))
     found = found.select("project", "file", "file_ord", "line_no", "level", X.title_of(F.col("text")).alias("title"), X.number_of(F.col("text")).alias("num"))
-    found = in_order(found, Running(sums={"ord": F.lit(1)}))
+    found = in_order(found, Running(sums={"ord": F.lit(1)}), keep=True)
     return found.select(
         "project",
         "file",
@@ -142,10 +144,10 @@ def own_body(marked: DataFrame, headings: DataFrame) -> DataFrame:
     )
 
 
-def _extent(headings: DataFrame, **more: dict) -> DataFrame:
+def _extent(headings: DataFrame, keep: bool = False, **more: dict) -> DataFrame:
     """``headings`` with ``subtree_end``, the ord of the next heading that is not below, or one past the last."""
     nexts = {f"__end_{k}": F.when(F.col("level") <= k, F.col("ord")) for k in LEVELS}
-    found = in_order(headings, Running(nexts=nexts, **more))
+    found = in_order(headings, Running(nexts=nexts, **more), keep)
     size = headings.groupBy("project").agg((F.count("*") + 1).alias("__past"))
     own = F.coalesce(*[F.when(F.col("level") == k, F.col(f"__end_{k}")) for k in LEVELS], F.col("__past"))
     return found.join(size, "project").withColumn("subtree_end", own.cast("int")).drop("__past", *nexts)
@@ -161,7 +163,7 @@ def subtree(headings: DataFrame, own: DataFrame) -> DataFrame:
     stats = headings.join(own, [*FILE, "line_no"], "left")
     for c in STATS:
         stats = stats.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
-    sums = _extent(stats, sums={f"upto_{c}": F.col(c) for c in STATS})
+    sums = _extent(stats, keep=True, sums={f"upto_{c}": F.col(c) for c in STATS})
     ends = sums.select("project", (F.col("ord") + 1).alias("subtree_end"), *[F.col(f"upto_{c}").alias(f"end_{c}") for c in STATS])
     joined = sums.join(ends, ["project", "subtree_end"])
     totals = [(F.col(f"end_{c}") - F.col(f"upto_{c}") + F.col(c)).alias(f"total_{c}") for c in STATS]

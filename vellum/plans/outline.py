@@ -161,12 +161,12 @@ def numbered(rows: DataFrame, numbering: str) -> DataFrame:
     no task holds a project.  A number counts the headings of its level since the last one
     above it: the sum so far, less that sum at the last one above.
     """
-    dealt = settle(rows.repartitionByRange("project", "key").withColumn("__blk", F.spark_partition_id()))
-    in_turn = lambda df, running: scan(df, ["project"], ["__blk"], ["key"], running)
+    dealt = rows.repartitionByRange("project", "key").withColumn("__blk", F.spark_partition_id())  # the first scan writes it down
+    in_turn = lambda df, running, keep=False: scan(df, ["project"], ["__blk"], ["key"], running, keep)
     live = F.col("state").isin("kept", "inserted")
     lasts = {f"__up{k}": F.when(live & (F.col("new_level") < k), F.col("num").isNotNull()) for k in LEVELS if k > 1}
     own = [c for c in rows.columns if c != "key"]
-    rows = in_turn(dealt, Running(sums={"pos": F.lit(1)}, lasts=lasts))
+    rows = in_turn(dealt, Running(sums={"pos": F.lit(1)}, lasts=lasts), keep=True)
     parents = [F.when(F.col("new_level") == k, F.col(f"__up{k}")) for k in LEVELS if k > 1]
     counted = live & F.when(F.col("state") == "inserted", F.coalesce(*parents, F.lit(True))).otherwise(F.col("num").isNotNull())
     rows = rows.withColumn("numbered", counted).withColumn("pos", F.col("pos").cast("int")).drop(*lasts)
@@ -174,7 +174,7 @@ def numbered(rows: DataFrame, numbering: str) -> DataFrame:
         rows = rows.withColumn("new_num", F.when(F.col("state") == "kept", F.col("num")))
     else:
         rows = in_turn(rows, Running(sums={f"__n{k}": F.when(F.col("numbered") & (F.col("new_level") == k), 1).otherwise(0) for k in LEVELS}))
-        rows = in_turn(rows, Running(lasts={f"__z{k}": F.when(live & (F.col("new_level") < k), F.col(f"__n{k}")) for k in LEVELS}))
+        rows = in_turn(rows, Running(lasts={f"__z{k}": F.when(live & (F.col("new_level") < k), F.col(f"__n{k}")) for k in LEVELS}), keep=True)
         parts = F.array(*[(F.col(f"__n{k}") - F.coalesce(F.col(f"__z{k}"), F.lit(0))).cast("string") for k in LEVELS])
         rows = rows.withColumn("new_num", F.when(F.col("numbered"), F.array_join(F.slice(parts, F.lit(1), F.col("new_level")), ".")))
     rows = in_turn(rows, Running(lasts={"absorbed": F.when(live, F.col("new_num"))}))

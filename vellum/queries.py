@@ -29,7 +29,7 @@ RULES = [("alpha", 1, "^[A-H]", False), ("omega", 1, "^[S-Z]", True), ("sub_alph
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    marked = I.mark_code(S.catalog_lines(spark, sf_dir))
+    marked = settle(I.mark_code(S.catalog_lines(spark, sf_dir)))
     return marked, I.find_headings(marked, RULES)
 
 
