@@ -44,15 +44,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import in_arrow, slices, sole
+from .batches import in_arrow, rest, slices, sole
 from .staging import new_folder, sendable, stage
 from .units import _BLANK_END, UnitTable, buffers, hashes, spread, texts_of
 
 #: Bytes of text whose distinct stretches go into one row, and those that are cut at a time.
 TOGETHER = 8 << 20
 CUT = 2 << 20
-#: Stretches in a row.
+#: Stretches in a row, and those that the libraries get at a time.
 PART = 1 << 16
+ENCODED = 20_000
 #: More than any vocabulary has entries.
 VOCABULARY = 1 << 24
 MARK = "▁"
@@ -83,7 +84,7 @@ def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Pair:
     """Both libraries, and the ids of stretches that were met before."""
 
-    def __init__(self, path_a: str, path_b: str, size: int = 500_000) -> None:
+    def __init__(self, path_a: str, path_b: str, size: int = 300_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -166,8 +167,10 @@ class Pair:
             self.tables = [UnitTable(t.dtype, max(t.size, 2 * len(one))) for t in self.tables]
             new = np.arange(len(one))
         if len(new):
-            for table, (ids, counts) in zip(self.tables, self.learn([raw[k] for k in new.tolist()]), strict=True):
-                table.add(one[new], two[new], ids, counts)
+            for x in range(0, len(new), ENCODED):
+                part = new[x : x + ENCODED]
+                for table, (ids, counts) in zip(self.tables, self.learn([raw[k] for k in part.tolist()]), strict=True):
+                    table.add(one[part], two[part], ids, counts)
             entry = [t.find(one, two) for t in self.tables]
         return [(t.ids[spread(t.start[e], t.count[e])], t.count[e]) for t, e in zip(self.tables, entry, strict=True)]
 
@@ -336,29 +339,38 @@ def text_results(found: Alignment) -> DataFrame:
     links = found.links.join(sendable(found.counts), ["a", "b"]).select(F.col("bucket").alias("in_bucket"), "k", "end", "a", "b", "a_ends", "b_ends", "pair_n", "best")
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.lexsort((right.column("end").to_numpy(), right.column("k").to_numpy()))
-        t = {c: right.column(c).to_numpy()[order] for c in right.column_names[1:]}
-        first = np.flatnonzero(np.diff(t["k"], prepend=-1))
-        groups = _groups(t, first)
-        whole = {"n_a": t["a_ends"], "n_b": t["b_ends"], "n_groups": t["a_ends"] & t["b_ends"], "n_links": np.ones(len(order), bool), "n_best": t["best"], "count_sum": t["pair_n"]}
-        stats = {c: np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for c, v in whole.items()}
-        k = t["k"][first]
-        at = np.zeros(int(k.max(initial=-1)) + 1, np.int64)
-        at[k] = np.arange(len(k))
-        out = []
-        for ids, places in zip(*(left.column(c).combine_chunks() for c in ("doc_ids", "places")), strict=True):
-            ids, places = ids.values, places.values
-            bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64))))
-            flat = at[places.flatten().to_numpy(zero_copy_only=False)]
-            said = (";".join(map(groups.__getitem__, flat[x:y].tolist())) for x, y in pairwise(bounds.tolist()))
-            digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said]
-            sums = {c: np.diff(np.concatenate(([0], np.cumsum(v[flat])))[bounds]).astype(np.int64) for c, v in stats.items()}
-            out.append(pa.table({"doc_id": ids, **sums, "groups_sha256": pa.array(digests, pa.string())}))
-        return pa.concat_tables(out)
+        sole("alignment_put")
+        try:
+            return assembled(left, right)
+        finally:
+            rest()
 
     return texts.groupBy("bucket").cogroup(links.groupBy("in_bucket")).applyInArrow(put, RESULT)
 
 
+def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The texts of one batch with the statistics and groups of their stretches."""
+    order = np.lexsort((right.column("end").to_numpy(), right.column("k").to_numpy()))
+    t = {c: right.column(c).to_numpy()[order] for c in right.column_names[1:]}
+    first = np.flatnonzero(np.diff(t["k"], prepend=-1))
+    groups = _groups(t, first)
+    whole = {"n_a": t["a_ends"], "n_b": t["b_ends"], "n_groups": t["a_ends"] & t["b_ends"], "n_links": np.ones(len(order), bool), "n_best": t["best"], "count_sum": t["pair_n"]}
+    stats = {c: np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for c, v in whole.items()}
+    k = t["k"][first]
+    at = np.zeros(int(k.max(initial=-1)) + 1, np.int64)
+    at[k] = np.arange(len(k))
+    out = []
+    for ids, places in zip(*(left.column(c).combine_chunks() for c in ("doc_ids", "places")), strict=True):
+        ids, places = ids.values, places.values
+        bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64))))
+        flat = at[places.flatten().to_numpy(zero_copy_only=False)]
+        said = (";".join(map(groups.__getitem__, flat[x:y].tolist())) for x, y in pairwise(bounds.tolist()))
+        digests = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in said]
+        sums = {c: np.diff(np.concatenate(([0], np.cumsum(v[flat])))[bounds]).astype(np.int64) for c, v in stats.items()}
+        out.append(pa.table({"doc_id": ids, **sums, "groups_sha256": pa.array(digests, pa.string())}))
+    return pa.concat_tables(out)
+
+
 def aligned_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of ``docs``."""
     return text_results(align(docs, path_a, path_b))
