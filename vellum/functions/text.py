@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 HEADING = r"^#{1,6}[ \t]+[^ \t]"
 NUMBER = r"^([0-9]+(?:\.[0-9]+)*)[.、]?[ \t　]+(.*)$"
+#: A digit or an ampersand as a character reference: what begins with it is a title, not a number.
+LITERAL = r"^&#(38|4[89]|5[0-7]);"
 FENCE = r"^ {0,3}(`{3,}|~{3,})"
 FIGURE = r"!\[[^\]]*\]\([^)]*\)"
 LABEL = r"\{#([a-z]+:[^}]+)\}"
@@ -32,8 +34,15 @@ def number_of(text: Column) -> Column:
 
 
 def title_of(text: Column) -> Column:
-    """Title without its number."""
-    return F.when(text.rlike(NUMBER), F.regexp_extract(text, NUMBER, 2)).otherwise(text)
+    """Title without its number; a title without one may begin with a character reference (``LITERAL``)."""
+    plain = F.concat(F.char(F.regexp_extract(text, LITERAL, 1).try_cast("long")), F.regexp_replace(text, LITERAL, ""))
+    return F.when(text.rlike(NUMBER), F.regexp_extract(text, NUMBER, 2)).when(text.rlike(LITERAL), plain).otherwise(text)
+
+
+def written(num: Column, title: Column) -> Column:
+    """Number and title as they stand in a heading; a title without number that would be read as one with is made ``LITERAL``."""
+    literal = F.concat(F.lit("&#"), F.ascii(title).cast("string"), F.lit(";"), F.substring(title, 2, 1 << 30))
+    return F.concat_ws(" ", num, F.when(num.isNull() & (title.rlike(NUMBER) | title.rlike(LITERAL)), literal).otherwise(title))
 
 
 def dollars(line: Column) -> Column:

@@ -52,8 +52,9 @@ def rewrite(marked: DataFrame, headings: DataFrame, outline: DataFrame) -> DataF
     joined = owned.join(place, ["project", "owner"], "left").filter("state is null or state <> 'deleted'").filter("not (is_head and state = 'merged')")
     text = joined.filter(~F.col("code") & ~F.col("is_head"))
     joined = joined.join(renumbered(text, number_map(outline)), [*FILE, "line_no"], "left")
-    title = F.concat_ws(" ", F.expr("repeat('#', new_level)"), "new_num", "new_title")
-    same = X.heading_text(F.col("line")) == F.concat_ws(" ", "new_num", "new_title")
+    written = X.written(F.col("new_num"), F.col("new_title"))
+    title = F.concat_ws(" ", F.expr("repeat('#', new_level)"), written)
+    same = X.heading_text(F.col("line")) == written
     keep_head = same & (X.heading_level(F.col("line")) == F.col("new_level"))
     body = F.coalesce("rewritten", "line")
     line = F.when(F.col("is_head"), F.when(keep_head, F.col("line")).otherwise(title)).otherwise(body)
