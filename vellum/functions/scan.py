@@ -34,6 +34,31 @@ class Running:
     nexts: dict[str, Column] = field(default_factory=dict)
 
 
+def latest(lines: DataFrame, marks: DataFrame, by: list[str], value: str) -> DataFrame:
+    """``lines`` with ``value``, that of the last of ``marks`` in the same file at or before a line.
+
+    Both have the columns ``by`` of a file and ``line_no``; a line has one mark at most, and marks
+    are few against the lines.  Lines and marks are sorted together by stretches, so that the lines
+    are shuffled once and never joined; what a stretch takes over from those before it is a mark at its beginning.
+    """
+    stretch, kind = F.shiftright("line_no", BLOCK_BITS), marks.schema[value].dataType
+    nothing = F.lit(None).cast(kind).alias(value)
+    held = marks.groupBy(*by, stretch.alias("__stretch")).agg(F.max_by(value, "line_no").alias(value))
+    seen = lines.select(*by, stretch.alias("__stretch")).distinct().select("*", nothing)
+    blocks = seen.unionByName(held).groupBy(*by, "__stretch").agg(F.first(value, ignorenulls=True).alias(value))
+    before = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carries = blocks.select(*by, F.shiftleft("__stretch", BLOCK_BITS).alias("line_no"), F.last(value, ignorenulls=True).over(before).alias(value)).filter(F.col(value).isNotNull())
+    own = [f for f in lines.schema if f.name not in (*by, "line_no")]
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in own]
+    rows = lines.select(*by, "line_no", *[f.name for f in own], nothing, F.lit(2).alias("__kind"))
+    for df, rank in ((marks, 1), (carries, 0)):
+        rows = rows.unionByName(df.select(*by, "line_no", *empty, value, F.lit(rank).alias("__kind")))
+    rows = rows.withColumn("__stretch", stretch)
+    upto = Window.partitionBy("__stretch", *reversed(by)).orderBy("line_no", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn(value, F.last(value, ignorenulls=True).over(upto)).filter("__kind = 2")
+    return found.select(*lines.columns, value)
+
+
 def scan(df: DataFrame, by: list[str], block: list[str], order: list[str], running: Running, keep: bool = False) -> DataFrame:
     """``df`` with the running values of each sequence ``by``; blocks follow each other as their columns ``block``, rows as ``order``.
 

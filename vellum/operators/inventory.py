@@ -6,17 +6,22 @@ a block being a stretch of lines of one file: no task holds a whole project or a
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
 from vellum.functions.roles import RULES, role_of
-from vellum.functions.scan import BLOCK_BITS, Running, scan
+from vellum.functions.scan import BLOCK_BITS, Running, latest, scan
 from vellum.plans.settle import settle
 from vellum.schemas import LEVELS, STATS
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 FILE = ("project", "file")
 
 
@@ -27,13 +32,64 @@ def split_lines(sections: DataFrame) -> DataFrame:
     )
 
 
-#: One fence met in a state: the mark of the block that is open ('' if none), and the fence (mark, bare).
-_STEP = "case when {s} = '' then {f}.mark when {f}.bare and startswith({f}.mark, {s}) then '' else {s} end"
+def _after(fences: list[tuple[str, bool]], state: str) -> str:
+    """The mark of the block that is open behind some fences (mark, bare), '' if none; one that is open before is ``state``."""
+    for mark, bare in fences:
+        if not state:
+            state = mark
+        elif bare and mark.startswith(state):
+            state = ""
+    return state
+
+
+KEY = (*FILE, "file_ord")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The stretches of a partition that is sorted by them: key, and (line_no, mark, bare) of the fences."""
+    at, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*KEY, "stretch", "line_no", "mark", "bare")]
+        for row in zip(*columns, strict=True):
+            if row[:4] != at:
+                if held:
+                    yield at, held
+                at, held = row[:4], []
+            held.append(row[4:])
+    if held:
+        yield at, held
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    import pyarrow as pa
+
+    while some := list(islice(rows, 20_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
 
+def _function(fences: list[tuple[str, bool]]) -> tuple[str, list[dict]]:
+    """What some fences do to a state: where they lead from no open block, and which of them close an open one."""
+    closing, longest = [], {}
+    for n, (mark, bare) in enumerate(fences):
+        if bare and len(mark) > longest.get(mark[0], 0):
+            longest[mark[0]] = len(mark)
+            closing.append({"mark": mark, "then": _after(fences[n + 1 :], "")})
+    return _after(fences, ""), closing
 
-def _after(fences: str, state: str) -> str:
-    """SQL: the state behind some fences."""
-    return f"aggregate({fences}, {state}, (s, f) -> {_STEP.format(s='s', f='f')})"
+
+def _in_turn(fences: DataFrame, of_stretch: Callable[[tuple, list[tuple]], Iterator[tuple]], columns: str) -> DataFrame:
+    """What ``of_stretch`` makes of the fences of each stretch: the columns of a file, and ``columns``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType([fences.schema[c] for c in KEY] + StructType.fromDDL(columns).fields)
+    schema = to_arrow_schema(kind)
+
+    def run(batches):
+        return _batches((row for at, held in _stretches(batches) for row in of_stretch(at, held)), schema)
+
+    cut = [*KEY, "stretch"]
+    return fences.select(*cut, "line_no", "mark", "bare").repartition(*cut).sortWithinPartitions(*reversed(cut), "line_no").mapInArrow(run, kind)
 
 
 def fence_states(fences: DataFrame) -> DataFrame:
@@ -45,12 +101,7 @@ def fence_states(fences: DataFrame) -> DataFrame:
     first for, so a few fences (the records of each mark) tell all cases.  These functions are
     made in each stretch on its own and applied one after the other by file.
     """
-    key = [*FILE, "file_ord"]
-    stretches = fences.groupBy(*key, "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
-    longest = lambda m: f"coalesce(array_max(transform(filter(slice(all, 1, i), g -> g.bare and startswith(g.mark, '{m}')), g -> length(g.mark))), 0)"
-    records = f"""filter(transform(all, (f, i) -> struct(i as i, f.mark as mark, f.bare and length(f.mark) > if(startswith(f.mark, '`'), {longest("`")}, {longest("~")}) as is_record)), r -> r.is_record)"""
-    closing = F.expr(f"transform({records}, r -> struct(r.mark as mark, {_after('slice(all, r.i + 2, size(all))', chr(39) * 2)} as then))")
-    made = stretches.select(*key, "stretch", F.expr(_after("all", "''")).alias("fresh"), closing.alias("closing"))
+    made = _in_turn(fences, lambda at, held: iter([(*at, *_function([f[1:] for f in held]))]), "stretch int, fresh string, closing array<struct<mark:string,then:string>>")
     listed = F.array_sort(F.collect_list(F.struct("stretch", "fresh", "closing")))
     fold = F.expr(
         """aggregate(fs, named_struct('state', '', 'out', cast(array() as array<struct<stretch:int,state:string>>)),
@@ -58,7 +109,7 @@ def fence_states(fences: DataFrame) -> DataFrame:
                'state', if(s.state = '', f.fresh, coalesce(try_element_at(filter(f.closing, c -> startswith(c.mark, s.state)), 1).then, s.state)),
                'out', concat(s.out, array(named_struct('stretch', f.stretch, 'state', s.state)))), s -> s.out)"""
     )
-    return made.groupBy(*key).agg(listed.alias("fs")).select(*key, F.explode(fold).alias("x")).select(*key, "x.stretch", "x.state")
+    return made.groupBy(*KEY).agg(listed.alias("fs")).select(*KEY, F.explode(fold).alias("x")).select(*KEY, "x.stretch", "x.state")
 
 
 def _fences(lines: DataFrame) -> DataFrame:
@@ -67,6 +118,24 @@ def _fences(lines: DataFrame) -> DataFrame:
     return found.select(*FILE, "file_ord", "line_no", F.shiftright("line_no", BLOCK_BITS).alias("stretch"), mark.alias("mark"), F.col("line").rlike(X.FENCE + "[ \t\r]*$").alias("bare"))
 
 
+def _walk(at: tuple, held: list[tuple]) -> Iterator[tuple]:
+    """The fences of one stretch in turn: which of them open a block, and whether one is open behind them.
+
+    A row without ``bare`` comes first, if any: the mark of the block that is open before.
+    """
+    state = ""
+    for line_no, mark, bare in held:
+        if bare is None:
+            state = mark
+            continue
+        opens = not state
+        if opens:
+            state = mark
+        elif bare and mark.startswith(state):
+            state = ""
+        yield (*at[:3], line_no, opens, state != "")
+
+
 def mark_code(lines: DataFrame) -> DataFrame:
     """``lines`` with ``code`` (in a fenced block or a fence itself) and ``opens`` (an opening fence).
 
@@ -75,23 +144,15 @@ def mark_code(lines: DataFrame) -> DataFrame:
     Fences are folded by stretches of ``BLOCK_BITS`` lines, from the state that
     :func:`fence_states` gives them, so a file of any length is cut over many tasks.
     """
-    found = settle(_fences(lines))  # few against the lines
-    stretches = found.groupBy(*FILE, "file_ord", "stretch").agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("all"))
-    states = fence_states(found).withColumnsRenamed({c: f"s_{c}" for c in (*FILE, "file_ord", "stretch")})
-    same = reduce(Column.__and__, [stretches[c].eqNullSafe(states[f"s_{c}"]) for c in (*FILE, "file_ord", "stretch")])
-    walked = F.expr(
-        f"""aggregate(all, named_struct('state', state, 'out', cast(array() as array<struct<line_no:int,opens:boolean,inside:boolean>>)),
-             (s, f) -> named_struct('state', {_STEP.format(s="s.state", f="f")},
-               'out', concat(s.out, array(named_struct('line_no', f.line_no, 'opens', s.state = '', 'inside', {_STEP.format(s="s.state", f="f")} <> '')))), s -> s.out)"""
-    )
-    fences = stretches.join(states, same).select(*FILE, "file_ord", F.explode(walked).alias("f")).select(*FILE, "file_ord", "f.*")
-    keys = [*FILE, "file_ord", "line_no"]
-    renamed = settle(fences).withColumnsRenamed({c: f"f_{c}" for c in keys})
-    joined = lines.join(renamed, reduce(Column.__and__, [lines[c].eqNullSafe(renamed[f"f_{c}"]) for c in keys]), "left")
-    cut = joined.select(*lines.columns, "opens", "inside", F.shiftright("line_no", BLOCK_BITS).alias("__stretch"))
-    found = scan(cut, [*FILE], ["file_ord", "__stretch"], ["line_no"], Running(lasts={"__in": F.col("inside")}))
+    found = settle(_fences(lines))
+    states = fence_states(found).filter("state <> ''")  # before the first line of a stretch
+    begun = found.unionByName(states.select(*KEY, (F.shiftleft("stretch", BLOCK_BITS) - 1).alias("line_no"), "stretch", F.col("state").alias("mark"), F.lit(None).cast("boolean").alias("bare")))
+    walked = _in_turn(begun, _walk, "line_no int, opens boolean, inside boolean")
+    marks = settle(walked.select(*KEY, "line_no", F.struct("line_no", "opens", "inside").alias("__fence")))
+    marked = latest(lines, marks, list(KEY), "__fence")
+    is_fence = F.coalesce(F.col("__fence.line_no") == F.col("line_no"), F.lit(False))
     # a fence line is code itself, a closing one too
-    return found.select(*lines.columns, (F.coalesce("__in", F.lit(False)) | F.col("opens").isNotNull()).alias("code"), F.coalesce("opens", F.lit(False)).alias("opens"))
+    return marked.select(*lines.columns, (F.coalesce("__fence.inside", F.lit(False)) | is_fence).alias("code"), (is_fence & F.coalesce("__fence.opens", F.lit(False))).alias("opens"))
 
 
 def in_order(headings: DataFrame, running: Running, keep: bool = False) -> DataFrame:
@@ -128,10 +189,9 @@ def count_levels(headings: DataFrame) -> DataFrame:
 
 def own_body(marked: DataFrame, headings: DataFrame) -> DataFrame:
     """project, file, line_no of each heading with what its own body holds."""
-    heads = headings.select(*FILE, F.col("line_no"), F.lit(1).alias("head"))
-    joined = marked.join(heads, [*FILE, "line_no"], "left").withColumn("__stretch", F.shiftright("line_no", BLOCK_BITS))
-    owned = scan(joined, [*FILE], ["file_ord", "__stretch"], ["line_no"], Running(lasts={"owner": F.when(F.col("head") == 1, F.col("line_no"))}))
-    body = owned.select(*FILE, "owner", "line", "code", "opens", F.col("head").isNotNull().alias("is_head"))
+    heads = headings.select(*FILE, "line_no", F.col("line_no").alias("owner"))
+    owned = latest(marked.select(*FILE, "line_no", "line", "code", "opens"), heads, [*FILE], "owner")
+    body = owned.withColumn("is_head", F.col("owner") == F.col("line_no"))
     text = ~F.col("code") & ~F.col("is_head")
     return (
         body.filter("owner is not null")
