@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions import text as X
 from vellum.functions.roles import role_of
 from vellum.operators import apply as A
 from vellum.operators import corpus as C
@@ -223,10 +224,9 @@ def plan_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = I.mark_code(S.order_notes(spark, sf_dir))
-    numbers = marked.select("project").distinct().crossJoin(F.broadcast(spark.createDataFrame(NUMBERS, "num string, target string")))  # a project has five numbers
-    found = A.renumbered(marked.filter("not code"), numbers)
-    lines = marked.join(found, ["project", "file", "line_no"], "left")
+    notes = S.order_notes(spark, sf_dir)
+    numbers = notes.select("project").distinct().crossJoin(F.broadcast(spark.createDataFrame(NUMBERS, "num string, target string")))  # a project has five numbers
+    lines = A.renumbered(I.mark_code(notes), numbers, notes, ~F.col("code"))
     return lines.select("project", "file", F.col("line_no").cast("long").alias("line_no"), F.coalesce("rewritten", "line").alias("line"))
 
 
@@ -256,11 +256,8 @@ def _rebuilt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     """Rewritten lines, and the lines of the new files as read again."""
     marked, headings, _, outline = _planned(spark, sf_dir)
     lines = settle(A.rewrite(marked, headings, settle(outline)))
-    sections = marked.groupBy("project", "file").agg(F.first("file_ord").alias("file_ord"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    built = A.join_sections(lines, sections).join(sections.select("project", "file", "file_ord"), ["project", "file"])
-    again = settle(I.mark_code(I.split_lines(built)))
-    heads = I.find_headings(again, RULES).select("project", "file", "line_no", F.lit(True).alias("is_head"))
-    return marked, lines, again.join(heads, ["project", "file", "line_no"], "left").na.fill(False, ["is_head"])
+    again = I.mark_code(settle(A.output_lines(lines, marked)))
+    return marked, lines, settle(again.withColumn("is_head", ~F.col("code") & F.col("line").rlike(X.HEADING)))
 
 
 def verify_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
