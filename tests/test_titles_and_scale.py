@@ -1,8 +1,11 @@
 """Titles that begin like a number, and the catalog's steps at any size."""
 
+import random
+
 from vellum import queries as Q
 from vellum.operators import apply as A
 from vellum.operators import inventory as I
+from vellum.plans import chained
 from vellum.plans import outline as P
 
 
@@ -21,3 +24,50 @@ def test_titles_that_begin_like_a_number(spark, tmp_path):
     assert built.first()["text"] == "# &#50;024 in brief\n\n## &#55; wonders\n"
     again = I.find_headings(I.mark_code(I.split_lines(built)))
     assert [(r["title"], r["num"]) for r in again.orderBy("ord").collect()] == [("2024 in brief", None), ("7 wonders", None)]
+
+
+def test_chained_places_against_full_keys(spark):
+    """Random chains: the order by numbers of slots is that of the keys in full, which grow with a chain."""
+    rng, heads, ops, want = random.Random(3), [], [], {}
+    for p in range(60):
+        paths, stack, levels = {}, [], [1] + [rng.randint(1, 4) for _ in range(13)]
+        for k, n in enumerate(levels, 1):
+            stack = [x for x in stack if levels[x - 1] < n] + [k]
+            paths[f"x.md:{k}"] = list(stack)
+        names, plan = list(paths), []
+        for seq in range(rng.randint(2, 12)):
+            op = {"seq": seq, "op": rng.choice(["move", "move", "move", "insert", "insert", "delete"]), "id": rng.choice(names), "after": rng.choice(names)}
+            if op["op"] == "insert":
+                op["id"] = f"n{seq}"
+                names.append(op["id"])
+            plan.append(op | {"t_path": paths.get(op["id"]), "a_path": paths.get(op["after"]), "t_file": "x.md", "t_file_ord": 0, "a_file": "x.md", "a_file_ord": 0})
+        while bad := {r["seq"] for r in chained._fold(plan) if r["kind"] == "problem"}:
+            plan = [o for o in plan if o["seq"] not in bad]
+        found = chained._fold(plan)
+        put = {r["ord"]: r for r in found if r["kind"] == "moved"}
+        keys = {("i", r["seq"]): r["key"] for r in found if r["kind"] == "inserted" and not r["gone"]}
+        for k in range(1, 15):
+            path = paths[f"x.md:{k}"]
+            at = max((x for x in path if x in put), default=0)
+            below = [y for x in path if x > at for y in (0, x)]
+            keys[("h", k)] = [*put[at]["key"], *below] if at else below[1:]
+        want[f"p{p:02}"] = [f"n{k}" if kind == "i" else f"h{k}" for kind, k in sorted(keys, key=keys.get)]
+        ends = [next((j for j in range(k + 1, 15) if levels[j - 1] <= levels[k - 1]), 15) for k in range(1, 15)]
+        heads += [(f"p{p:02}", "x.md", 0, k, f"x.md:{k}", k, levels[k - 1], f"h{k}", None, ends[k - 1]) for k in range(1, 15)]
+        ops += [(f"p{p:02}", o["seq"], o["op"], o["id"], o["after"], 2 if o["op"] == "insert" else None, f"n{o['seq']}", None) for o in plan]
+    headings = spark.createDataFrame(heads, "project string, file string, file_ord int, line_no int, id string, ord int, level int, title string, num string, subtree_end int")
+    plans = spark.createDataFrame(ops, "project string, seq int, op string, id string, after string, level int, title string, new string")
+    got = {}
+    for r in P.new_outline(headings, plans, chained=True).orderBy("project", "pos").collect():
+        got.setdefault(r["project"], []).append(r["new_title"])
+    assert got == want
+
+
+def test_a_long_chain_has_short_keys():
+    """Keys of a chain grew with its length, and so with its square in all; they were sampled to the driver."""
+    n = 4000
+    ops = [{"seq": k, "op": "insert" if k % 3 == 1 else "move", "id": f"n{k}" if k % 3 == 1 else f"x.md:{k + 3}", "after": "x.md:2" if k == 0 else f"n{k - 1}" if k % 3 == 2 else f"x.md:{k + 2}"} for k in range(n)]
+    path = lambda name: [1, int(name[5:])] if name.startswith("x.md") else None
+    ops = [o | {"t_path": path(o["id"]), "a_path": path(o["after"]), "t_file": "x.md", "t_file_ord": 0, "a_file": "x.md", "a_file_ord": 0} for o in ops]
+    found = [r for r in chained._numbered(ops) if r["kind"] in ("moved", "inserted")]
+    assert len(found) == n and {len(r["key"]) for r in found} == {3} and not any(r["kind"] == "problem" for r in found)
