@@ -249,7 +249,6 @@ def write_folders(files: DataFrame, root: str, folder: str) -> dict[str, int]:
             done = []
             for project, file, text in zip(*(batch.column(c).to_pylist() for c in ("project", "file", "text")), strict=True):
                 store, path = _stream(aside(project, "new"))
-                store.create_dir(path, recursive=True)
                 _put(store, f"{path}/{file}", f"{path}/.{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex}", text)
                 done.append((project, file))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.string()) for k in (0, 1)], ["project", "file"])
@@ -257,6 +256,9 @@ def write_folders(files: DataFrame, root: str, folder: str) -> dict[str, int]:
     rows = files.select("project", "file", "text")
     projects = [r[0] for r in rows.select("project").distinct().collect()]
     try:
+        for project in projects:  # not by the tasks: one that still runs when another has failed would make its folder again
+            store, path = _fs(spark, aside(project, "new"))
+            store.mkdirs(path)
         written = rows.mapInArrow(run, "project string, file string")
         counts = {r["project"]: r["n"] for r in written.groupBy("project").agg(F.count_distinct("file").alias("n")).collect()}
         wanted = {r["project"]: r["n"] for r in rows.groupBy("project").agg(F.count("*").alias("n")).collect()}
