@@ -7,6 +7,8 @@ from vellum.operators import apply as A
 from vellum.operators import inventory as I
 from vellum.plans import chained
 from vellum.plans import outline as P
+from vellum.plans import settle as T
+from vellum.sources import adapters as S
 
 
 def test_titles_that_begin_like_a_number(spark, tmp_path):
@@ -71,3 +73,41 @@ def test_a_long_chain_has_short_keys():
     ops = [o | {"t_path": path(o["id"]), "a_path": path(o["after"]), "t_file": "x.md", "t_file_ord": 0, "a_file": "x.md", "a_file_ord": 0} for o in ops]
     found = [r for r in chained._numbered(ops) if r["kind"] in ("moved", "inserted")]
     assert len(found) == n and {len(r["key"]) for r in found} == {3} and not any(r["kind"] == "problem" for r in found)
+
+
+def test_headings_do_not_carry_the_lines_along(spark, monkeypatch):
+    """What only asks for headings wrote down and sorted all lines of the catalog (report_changes, plan_outline_diff, apply_insert, apply_relevel)."""
+    sizes = []
+
+    def settle(df):
+        kept = T.settle(df)
+        sizes.append(kept.count())
+        return kept
+
+    for module in (Q, I, S):
+        monkeypatch.setattr(module, "settle", settle)
+    folder = "/root/testdata/sf0.001"
+    lines = S.catalog_lines(spark, folder, keep=False).count()
+    headings = Q._headings(spark, folder).select("project", "id", "ord", "level", "title", "num", "role")
+    assert sizes and max(sizes) < 0.9 * lines
+    whole = Q._catalog(spark, folder)[1].select(headings.columns)
+    assert max(sizes) == lines and sorted(headings.collect()) == sorted(whole.collect())
+
+
+def test_marks_of_wanted_lines_only(spark, monkeypatch):
+    """Blocks that are open over many stretches, in files of several batches: lines that are asked for alone are marked as among all."""
+    monkeypatch.setattr(I, "BLOCK_BITS", 3)
+    rng, kinds = random.Random(5), ["# a", "```", "````", "``` x", "~~~", "text", "## b", "text"]
+    rows = [("p", f"{f}.md", f, n, rng.choice(kinds)) for f in range(30) for n in range(1, rng.randint(2, 60))]
+    lines = spark.createDataFrame(rows, "project string, file string, file_ord int, line_no int, line string")
+    want, state = {}, {}
+    for _, file, _, n, line in rows:
+        open_, fence = state.get(file, ""), line.lstrip("#").split(" ")[0] if line[0] in "`~" else ""
+        if fence and not open_:
+            state[file] = fence
+        elif fence and " " not in line and fence.startswith(open_):
+            state[file] = ""
+        want[file, n] = bool(open_ or fence)
+    whole = {(r["file"], r["line_no"]): r["code"] for r in I.mark_code(lines).collect()}
+    some = {(r["file"], r["line_no"]): r["code"] for r in I.mark_code(lines, I.may_head()).collect()}
+    assert whole == want and some == {(f, n): want[f, n] for _, f, _, n, line in rows if line[0] == "#"}

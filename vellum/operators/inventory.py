@@ -7,10 +7,11 @@ a block being a stretch of lines of one file: no task holds a whole project or a
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import islice, pairwise
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as X
@@ -49,22 +50,43 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[
     """The stretches of a partition that is sorted by them: key, and (line_no, mark, bare) of the fences."""
     at, held = None, []
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in (*KEY, "stretch", "line_no", "mark", "bare")]
-        for row in zip(*columns, strict=True):
-            if row[:4] != at:
+        keys, fences = [batch.column(c) for c in (*KEY, "stretch")], zip(*(batch.column(c).to_pylist() for c in ("line_no", "mark", "bare")), strict=True)
+        other = np.zeros(max(0, batch.num_rows - 1), bool)
+        for k in keys:
+            other |= np.diff(k.dictionary_encode("encode").indices.to_numpy()) != 0
+        bounds = [*([0] if batch.num_rows else []), *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+        for x, y in pairwise(bounds):
+            key = tuple(k[x].as_py() for k in keys)
+            if key != at:
                 if held:
                     yield at, held
-                at, held = row[:4], []
-            held.append(row[4:])
+                at, held = key, []
+            held += islice(fences, y - x)
     if held:
         yield at, held
 
 
-def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _batches(made: Iterator[tuple[tuple, list[tuple]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of the rows of each stretch, its key (the first columns) before them."""
     import pyarrow as pa
 
-    while some := list(islice(rows, 20_000)):
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+    n, keys, sizes, rows = len(KEY), [], [], []
+
+    def batch() -> pa.RecordBatch:
+        place = pa.array(np.repeat(np.arange(len(keys)), sizes))
+        first = [pa.array(c, f.type).take(place) for c, f in zip(zip(*keys, strict=True), schema, strict=False)]
+        rest = [pa.array(c, schema.field(n + k).type) for k, c in enumerate(zip(*rows, strict=True))]
+        return pa.RecordBatch.from_arrays(first + rest, schema=schema)
+
+    for key, new in made:
+        keys.append(key[:n])
+        sizes.append(len(new))
+        rows += new
+        if len(rows) >= 20_000:
+            yield batch()
+            keys, sizes, rows = [], [], []
+    if rows:
+        yield batch()
 
 
 def _function(fences: list[tuple[str, bool]]) -> tuple[str, list[dict]]:
@@ -77,7 +99,7 @@ def _function(fences: list[tuple[str, bool]]) -> tuple[str, list[dict]]:
     return _after(fences, ""), closing
 
 
-def _in_turn(fences: DataFrame, of_stretch: Callable[[tuple, list[tuple]], Iterator[tuple]], columns: str) -> DataFrame:
+def _in_turn(fences: DataFrame, of_stretch: Callable[[int, list[tuple]], list[tuple]], columns: str) -> DataFrame:
     """What ``of_stretch`` makes of the fences of each stretch: the columns of a file, and ``columns``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -86,7 +108,7 @@ def _in_turn(fences: DataFrame, of_stretch: Callable[[tuple, list[tuple]], Itera
     schema = to_arrow_schema(kind)
 
     def run(batches):
-        return _batches((row for at, held in _stretches(batches) for row in of_stretch(at, held)), schema)
+        return _batches(((at, of_stretch(at[-1], held)) for at, held in _stretches(batches)), schema)
 
     cut = [*KEY, "stretch"]
     return fences.select(*cut, "line_no", "mark", "bare").repartition(*cut).sortWithinPartitions(*reversed(cut), "line_no").mapInArrow(run, kind)
@@ -101,7 +123,7 @@ def fence_states(fences: DataFrame) -> DataFrame:
     first for, so a few fences (the records of each mark) tell all cases.  These functions are
     made in each stretch on its own and applied one after the other by file.
     """
-    made = _in_turn(fences, lambda at, held: iter([(*at, *_function([f[1:] for f in held]))]), "stretch int, fresh string, closing array<struct<mark:string,then:string>>")
+    made = _in_turn(fences, lambda stretch, held: [(stretch, *_function([f[1:] for f in held]))], "stretch int, fresh string, closing array<struct<mark:string,then:string>>")
     listed = F.array_sort(F.collect_list(F.struct("stretch", "fresh", "closing")))
     fold = F.expr(
         """aggregate(fs, named_struct('state', '', 'out', cast(array() as array<struct<stretch:int,state:string>>)),
@@ -118,12 +140,12 @@ def _fences(lines: DataFrame) -> DataFrame:
     return found.select(*FILE, "file_ord", "line_no", F.shiftright("line_no", BLOCK_BITS).alias("stretch"), mark.alias("mark"), F.col("line").rlike(X.FENCE + "[ \t\r]*$").alias("bare"))
 
 
-def _walk(at: tuple, held: list[tuple]) -> Iterator[tuple]:
-    """The fences of one stretch in turn: which of them open a block, and whether one is open behind them.
+def _walk(_: int, held: list[tuple]) -> list[tuple]:
+    """The fences of one stretch in turn: line_no, which of them open a block, and whether one is open behind them.
 
     A row without ``bare`` comes first, if any: the mark of the block that is open before.
     """
-    state = ""
+    state, out = "", []
     for line_no, mark, bare in held:
         if bare is None:
             state = mark
@@ -133,18 +155,25 @@ def _walk(at: tuple, held: list[tuple]) -> Iterator[tuple]:
             state = mark
         elif bare and mark.startswith(state):
             state = ""
-        yield (*at[:3], line_no, opens, state != "")
+        out.append((line_no, opens, state != ""))
+    return out
 
 
-def mark_code(lines: DataFrame) -> DataFrame:
+def mark_code(lines: DataFrame, wanted: Column | None = None) -> DataFrame:
     """``lines`` with ``code`` (in a fenced block or a fence itself) and ``opens`` (an opening fence).
 
     A fence of back-ticks or tildes is closed by one of the same mark that is as long at
     least and has nothing behind it; without one the block lasts to the end of the file.
     Fences are folded by stretches of ``BLOCK_BITS`` lines, from the state that
-    :func:`fence_states` gives them, so a file of any length is cut over many tasks.
+    :func:`fence_states` gives them, so a file of any length is cut over many tasks.  The
+    fences of all lines count; where only the lines ``wanted`` are asked for, no others are
+    written down, shuffled or given back.
     """
-    found = settle(_fences(lines))
+    if wanted is not None:
+        held = settle(lines.filter(wanted | F.col("line").rlike(X.FENCE)))
+        found, lines = settle(_fences(held)), held.filter(wanted)
+    else:
+        found = settle(_fences(lines))
     states = fence_states(found).filter("state <> ''")  # before the first line of a stretch
     begun = found.unionByName(states.select(*KEY, (F.shiftleft("stretch", BLOCK_BITS) - 1).alias("line_no"), "stretch", F.col("state").alias("mark"), F.lit(None).cast("boolean").alias("bare")))
     walked = _in_turn(begun, _walk, "line_no int, opens boolean, inside boolean")
@@ -161,10 +190,15 @@ def in_order(headings: DataFrame, running: Running, keep: bool = False) -> DataF
     return scan(cut, ["project"], ["file_ord", "__stretch"], ["line_no"], running, keep).drop("__stretch")
 
 
+def may_head() -> Column:
+    """Whether a line is a heading if it is no code."""
+    return F.col("line").rlike(X.HEADING)
+
+
 def find_headings(marked: DataFrame, rules: list = RULES) -> DataFrame:
     """project, file, file_ord, line_no, id, ord, level, title, num, num_style, role."""
     level = X.heading_level(F.col("line"))
-    found = marked.filter(~F.col("code") & F.col("line").rlike(X.HEADING)).select("project", "file", "file_ord", "line_no", level.alias("level"), X.heading_text(F.col("line")).alias("text"))
+    found = marked.filter(~F.col("code") & may_head()).select("project", "file", "file_ord", "line_no", level.alias("level"), X.heading_text(F.col("line")).alias("text"))
     found = found.select("project", "file", "file_ord", "line_no", "level", X.title_of(F.col("text")).alias("title"), X.number_of(F.col("text")).alias("num"))
     found = in_order(found, Running(sums={"ord": F.lit(1)}), keep=True)
     return found.select(

@@ -34,11 +34,24 @@ def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return marked, I.find_headings(marked, RULES)
 
 
-def _planned(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = OP_KINDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    marked, headings = _catalog(spark, sf_dir)
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headings of the catalog where its other lines are not needed."""
+    return I.find_headings(I.mark_code(S.catalog_lines(spark, sf_dir, keep=False), I.may_head()), RULES)
+
+
+def _with_ops(headings: DataFrame, kinds: tuple[str, ...] = OP_KINDS) -> tuple[DataFrame, DataFrame]:
     headings = settle(I.with_extent(headings))
-    ops = settle(S.catalog_ops(headings).filter(F.col("op").isin(*kinds)))
-    return marked, headings, ops, P.new_outline(headings, ops)
+    return headings, settle(S.catalog_ops(headings).filter(F.col("op").isin(*kinds)))
+
+
+def _outline(headings: DataFrame, kinds: tuple[str, ...] = OP_KINDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    headings, ops = _with_ops(headings, kinds)
+    return headings, ops, P.new_outline(headings, ops)
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    marked, headings = _catalog(spark, sf_dir)
+    return marked, *_outline(headings)
 
 
 def inv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +68,12 @@ def inv_code_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inv_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headings = _catalog(spark, sf_dir)
+    headings = _headings(spark, sf_dir)
     return headings.select("project", "id", F.col("ord").cast("long").alias("ord"), F.col("level").cast("long").alias("level"), "title", "num", "num_style", "role")
 
 
 def inv_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.count_levels(_catalog(spark, sf_dir)[1]).select("project", F.col("level").cast("long").alias("level"), "n")
+    return I.count_levels(_headings(spark, sf_dir)).select("project", F.col("level").cast("long").alias("level"), "n")
 
 
 def inv_own_body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +150,7 @@ def lint_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_role_unclear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.role_unclear(_catalog(spark, sf_dir)[1]).select("project", "rule", "id", "title")
+    return L.role_unclear(_headings(spark, sf_dir)).select("project", "rule", "id", "title")
 
 
 def lint_xref_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +159,7 @@ def lint_xref_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lint_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.skeleton_missing(_catalog(spark, sf_dir)[1], ["alpha", "omega", "references"]).select("project", "rule", "msg")
+    return L.skeleton_missing(_headings(spark, sf_dir), ["alpha", "omega", "references"]).select("project", "rule", "msg")
 
 
 def lint_role_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +174,7 @@ def plan_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _broken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Ops with mistakes, and what is found."""
-    _, headings = _catalog(spark, sf_dir)
+    headings = _headings(spark, sf_dir)
     headings = settle(I.with_extent(headings))
     ops = settle(S.bad_ops(S.catalog_ops(headings)))
     return ops, P.problems(ops, headings)
@@ -172,7 +185,7 @@ def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headings, ops, _ = _planned(spark, sf_dir)
+    headings, ops = _with_ops(_headings(spark, sf_dir))
     plans = [("valid", ops, P.problems(ops, headings)), ("broken", *_broken(spark, sf_dir))]
     parts = []
     for name, own, found in plans:
@@ -182,27 +195,27 @@ def plan_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_outline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headings, _, outline = _planned(spark, sf_dir)
+    headings, _, outline = _outline(_headings(spark, sf_dir))
     diff = P.outline_diff(headings, outline)
     return diff.select("project", F.col("ord").cast("long").alias("ord"), F.col("pos").cast("long").alias("pos"), "before", "after", "mark")
 
 
 def _applied(kinds: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        outline = _planned(spark, sf_dir, kinds)[3]
+        outline = _outline(_headings(spark, sf_dir), kinds)[2]
         return outline.select("project", "id", "state", F.col("pos").cast("long").alias("pos"), F.col("new_level").cast("long").alias("new_level"), "new_title", "new_num", "out_file")
 
     return query
 
 
 def apply_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headings, ops, _ = _planned(spark, sf_dir)
+    headings, ops = _with_ops(_headings(spark, sf_dir))
     outline = P.new_outline(headings, ops, "keep")
     return outline.select("project", "id", "state", F.col("pos").cast("long").alias("pos"), F.col("new_level").cast("long").alias("new_level"), "new_title", "new_num", "out_file")
 
 
 def apply_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headings = _catalog(spark, sf_dir)
+    headings = _headings(spark, sf_dir)
     headings = settle(I.with_extent(headings))
     outline = P.new_outline(headings, settle(S.chained_ops(headings)), chained=True)
     return outline.select("project", "id", "state", F.col("pos").cast("long").alias("pos"), F.col("new_level").cast("long").alias("new_level"), "new_title", "new_num", "out_file", "moved")
@@ -210,7 +223,7 @@ def apply_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_chained_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chain in which every fifth op names something unknown; what was to hang on an insertion that failed is unknown too."""
-    _, headings = _catalog(spark, sf_dir)
+    headings = _headings(spark, sf_dir)
     headings = settle(I.with_extent(headings))
     ops = settle(S.chained_ops(headings).withColumn("after", F.when(F.col("after").isNotNull() & (F.col("seq") % 5 == 2), F.lit("none.md:1")).otherwise(F.col("after"))))
     return P.problems(ops, headings, chained=True).select("project", F.col("seq").cast("long").alias("seq"), "problem")
@@ -231,7 +244,7 @@ def apply_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_number_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.number_map(_planned(spark, sf_dir)[3])
+    return A.number_map(_outline(_headings(spark, sf_dir))[2])
 
 
 def apply_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +300,7 @@ def verify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, headings, _, outline = _planned(spark, sf_dir)
+    headings, _, outline = _outline(_headings(spark, sf_dir))
     return P.outline_diff(headings, outline).filter("mark is not null").groupBy("project", "mark").agg(F.count("*").alias("n"))
 
 
