@@ -107,6 +107,42 @@ def test_alignment_of_tables(spark, libraries, tables, docs, empty):
     assert queries.op11_alignment(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_alignment_of_words_that_are_cut(spark, libraries, seed, monkeypatch):
+    """Signs, line ends and apostrophes beside letters of all kinds, and pieces of B in any order."""
+    rng = random.Random(seed)
+    b = libraries[1]
+    made = ["".join(rng.choice("abllst éà×÷Ñяđ'..,,;%%_-(\n\n\r\t 17▁\u00a0日\u0301") for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    pieces_b = [x.replace("▁", " ") for x in map(b.id_to_piece, range(b.get_piece_size())) if not x.startswith("<")]
+    made += ["".join(rng.choice([*rng.sample(pieces_b, 9), "\n", ".", "'"]) for _ in range(40)) for _ in range(100)]
+    made += [f"{x}{sign}{y}" for sign in ".,;:!?_%\"'(\n" for x in ("the", "é", "×", "я", "he'll", "3", ".") for y in ("", "The", "Éa", "×", "\nThe", "\n\nThe", " x", "'s", "7")]
+    docs = list(enumerate(made))
+    monkeypatch.setattr(alignment, "TOGETHER", 3000)
+    monkeypatch.setattr(alignment, "PART", 50)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(alignment.aligned_texts(df, A, B)) == sorted(plain_alignment(*libraries, docs))
+
+
+def test_words_are_aligned_once_whatever_sign_follows(spark):
+    """The links that are sorted grow with the words, not with words times the signs after them."""
+    words = [f"{x}nthaingbleoften{y}" for x in "abcdefgh" for y in "klmnop"]
+    count = lambda text: alignment.unit_links(alignment.cut_texts(spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1), A, B)).count()
+    alone = count(" ".join(words))
+    marked = count(" ".join(f"{w}{sign}" for sign in ("", ".", ",", ";", "%%%", "!") for w in words))
+    assert marked <= alone + 40
+
+
+def test_assembly_takes_links_in_any_order(spark, libraries):
+    """Links mostly come in the order in which they were written; others are sorted."""
+    docs = [(1, "the nations. of the\nThings"), (2, "of the the nations")]
+    found = alignment.align(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), A, B)
+    left = found.batches.filter("doc_ids is not null").select("bucket", "doc_ids", "places").toArrow()
+    links = found.links.join(found.counts, ["a", "b"]).select("bucket", "k", "end", "a", "b", "a_ends", "b_ends", "pair_n", "best").toArrow()
+    for order in ([("k", "ascending"), ("end", "descending")], [("end", "ascending"), ("k", "descending")]):
+        got = alignment.assembled(left, links.sort_by(order)).to_pylist()
+        assert sorted(tuple(r.values()) for r in got) == sorted(plain_alignment(*libraries, docs))
+
+
 def test_links_cover_every_overlap(spark, libraries):
     """The links of a stretch are the overlapping pairs, however long its groups are."""
     units = [" " + "heinthsupercalifragilistic" * 40, " ....====----", " x", " \t\t\n"]

@@ -49,23 +49,56 @@ from .staging import new_folder, sendable, stage
 from .units import _BLANK_END, UnitTable, buffers, hashes, spread, texts_of
 
 #: Bytes of text whose distinct stretches go into one row, and those that are cut at a time.
-TOGETHER = 8 << 20
+TOGETHER = 16 << 20
 CUT = 2 << 20
 #: Stretches in a row, and those that the libraries get at a time.
 PART = 1 << 16
 ENCODED = 20_000
 #: More than any vocabulary has entries.
 VOCABULARY = 1 << 24
+#: More than any token has bytes.
+LENGTH = 1 << 16
 MARK = "▁"
 STATS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-ROW = {"bucket": pa.int64(), "base": pa.int32(), "n": pa.list_(pa.int32()), "unit": pa.list_(pa.int32()), "id": pa.list_(pa.int32()), "size": pa.list_(pa.int16()), "doc_ids": pa.list_(pa.int64()), "places": pa.list_(pa.list_(pa.int32()))}
+ROW = {"bucket": pa.int64(), "base": pa.int32(), "n": pa.list_(pa.int32()), "token": pa.list_(pa.int64()), "doc_ids": pa.list_(pa.int64()), "places": pa.list_(pa.list_(pa.int32()))}
 #: What tells a stretch.
 UNIT = ["bucket", "k"]
 
 
-def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where stretches begin: at texts, and at spaces after a visible character that is not U+2581."""
+#: First bytes of two-byte letters (Latin and Cyrillic; less two signs), ASCII letters, and ASCII signs but the apostrophe.
+_LEAD, _LETTER, _SIGN = (np.zeros(256, bool) for _ in range(3))
+_LEAD[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = True
+_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_SIGN[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
+
+
+def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a letter that is known as one ends at each place."""
+    lead = data[at - 1]
+    two = _LEAD[lead] & (data[at] >= 0x80) & (data[at] < 0xC0) & (at > 0)
+    return _LETTER[data[at]] | two & ((lead != 0xC3) | (data[at] != 0x97) & (data[at] != 0xB7))
+
+
+def inner_starts(data: np.ndarray, beside: np.ndarray) -> np.ndarray:
+    """Places within words where both tokenizers cut: signs after letters, and letters after a lone line end.
+
+    A's pre-tokens end there whatever stands around; of B no piece has the two bytes (``beside``) side by side.
+    """
+    signs = np.flatnonzero(_SIGN[data[1:]]) + 1
+    signs = signs[_letters(data, signs - 1) & ~beside[data[signs - 1], data[signs]]]
+    lines = np.flatnonzero(data[:-1] == 10) + 1
+    lines = lines[lines > 1]
+    two = _LEAD[data[lines]]
+    begins = _LETTER[data[lines]]
+    begins[two] = _letters(data, lines[two] + 1)
+    before = data[lines - 2]
+    lines = lines[begins & ~beside[10, data[lines]] & ((before > 32) & (before < 127) | _letters(data, lines - 2))]
+    return np.concatenate((signs, lines))
+
+
+def safe_starts(data: np.ndarray, offsets: np.ndarray, beside: np.ndarray | None = None) -> np.ndarray:
+    """Where stretches begin: at texts, at spaces after a visible character that is not U+2581, and with ``beside`` at :func:`inner_starts`."""
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
     spaces = np.flatnonzero(data == 32)
@@ -78,6 +111,8 @@ def safe_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     blank = (two == 0xC2) | (((two == 0x80) | (two == 0x81) | (two == 0x9A)) & (three >= 0xE1) & (three <= 0xE3))
     good[odd] = ~blank & ((two != 0x96) | (three != 0xE2))
     begins[spaces[good]] = True
+    if beside is not None:
+        begins[inner_starts(data, beside)] = True
     return np.flatnonzero(begins[:-1])
 
 
@@ -90,7 +125,8 @@ class Pair:
         from tokenizers import Tokenizer
 
         with open(path_a, encoding="utf-8") as f:
-            pre = json.load(f).get("pre_tokenizer") or {}
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
         if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space"):
             raise ValueError(f"{path_a}: not a byte-level tokenizer without a prefix space")
         self.a = Tokenizer.from_file(path_a)
@@ -107,14 +143,22 @@ class Pair:
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int32)
         self.blob, self.start_b = np.frombuffer(b"".join(self.bytes_b), np.uint8), np.cumsum(self.size_b) - self.size_b
         self.blank = self.b.piece_to_id(MARK)
+        #: Bytes that stand side by side in a piece of B; none if words cannot be cut.
+        self.beside = np.zeros((256, 256), bool)
+        for x in self.bytes_b:
+            self.beside[list(x[:-1]), list(x[1:])] = True
+        lines = [i for i in ids if b"\n" in self.bytes_b[i] and not self.b.is_byte(i)]
+        if lines or not pre.get("use_regex", True) or spec.get("normalizer") or any(not t["special"] for t in spec.get("added_tokens") or []):
+            self.beside = None
         self.tables = [UnitTable(np.dtype(np.int32), size) for _ in range(2)]
 
     def _ask_a(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
 
     def _ask_b(self, units: list[str]) -> list[list[int]]:
-        # the library puts a space before each text
-        return [ids if len(u) > 1 else [self.blank] for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
+        # the library puts a space before each text; what begins with a line end has none
+        found = self.b.encode([u[u[0] == " " :] for u in units], num_threads=1)
+        return [(ids if u[0] == " " else ids[1:]) if len(u) > 1 else [self.blank] for u, ids in zip(units, found, strict=True)]
 
     def _ids(self, ask: Callable, known: np.ndarray, units: list[str], sizes: np.ndarray, joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of stretches; those that ``joins`` marks are asked for many in one text and come apart at their ends."""
@@ -143,8 +187,15 @@ class Pair:
         units = [r.decode("utf-8", "replace") for r in raw]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         data, last = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes)
-        joins = (data[last - 1] > 32) & (data[last - 1] < 0x80)  # what follows a visible character is cut off there
-        found = [self._ids(ask, known, units, sizes, joins) for ask, known in ((self._ask_a, self.size_a), (self._ask_b, self.size_b))]
+        joins = (data[last - 1] > 32) & (data[last - 1] < 0x80) | _letters(data, last - 1)  # what follows a visible character is cut off there
+        inner = data[last - sizes] != 32  # these get a line end before them, which is a token of its own, and is taken off again
+        units = [f"\n{u}" if x else u for u, x in zip(units, inner.tolist(), strict=True)]
+        found = []
+        for ask, known in ((self._ask_a, self.size_a), (self._ask_b, self.size_b)):
+            ids, counts = self._ids(ask, known, units, sizes + inner, joins)
+            stay = np.ones(len(ids), bool)
+            stay[(np.cumsum(counts) - counts)[inner]] = False
+            found.append((ids[stay], counts - inner))
         same = np.ones(len(raw), bool)
         for known, (ids, counts) in zip((self.size_a, self.size_b), found, strict=True):
             ends = np.concatenate(([0], np.cumsum(known[ids])))
@@ -192,8 +243,8 @@ def distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Batch:
     """Texts with their distinct stretches, until they are ``TOGETHER`` bytes."""
 
-    def __init__(self) -> None:
-        self.size = 0
+    def __init__(self, beside: np.ndarray | None) -> None:
+        self.beside, self.size = beside, 0
         self.ids: list[pa.Array] = []
         self.lengths: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
@@ -205,7 +256,7 @@ class Batch:
         """More texts; a space is put before each."""
         texts = pc.fill_null(texts, "")
         data, offsets = buffers(pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise("", texts, " ")))
-        starts = safe_starts(data, offsets)
+        starts = safe_starts(data, offsets, self.beside)
         sizes = np.diff(starts, append=len(data))
         first = place = np.zeros(0, np.int64)
         if len(starts):
@@ -213,7 +264,7 @@ class Batch:
             first, place = distinct(one, two)
             self.one.append(one[first])
             self.two.append(two[first])
-        self.places.append(place + len(self.raw))
+        self.places.append((place + len(self.raw)).astype(np.int32))
         self.raw += texts_of(data, starts[first], sizes[first])
         self.ids.append(ids)
         self.lengths.append(np.diff(np.searchsorted(starts, offsets)))
@@ -223,51 +274,59 @@ class Batch:
         """The batch: rows of ``PART`` stretches each, then rows of texts."""
         one, two = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (self.one, self.two))
         first, same = distinct(one, two)
-        place, lengths = same[np.concatenate(self.places)], np.concatenate(self.lengths)
+        place, lengths = same.astype(np.int32)[np.concatenate(self.places)], np.concatenate(self.lengths)
         (a, n_a), (b, n_b) = tool.encode(one[first], two[first], [self.raw[k] for k in first.tolist()])
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         whole = np.ones(len(lengths), bool)
         whole[owner[n_a[place] == 0]] = False  # a text with a stretch that is not given back
         place, lengths = place[whole[owner]], np.where(whole, lengths, 0)
-        n, k = np.bincount(place, minlength=len(first)).astype(np.int32), np.arange(len(first), dtype=np.int32)
+        n = np.bincount(place, minlength=len(first)).astype(np.int32)
         from_a, from_b, bounds = (np.concatenate(([0], np.cumsum(x))) for x in (n_a, n_b, lengths))
         nothing = {c: pa.nulls(1, t) for c, t in ROW.items()}
-        row = lambda **new: pa.RecordBatch.from_pydict({**nothing, "bucket": pa.array([bucket], pa.int64())} | {c: v if len(v) == 1 and c == "base" else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in new.items()})
+        row = lambda **new: pa.RecordBatch.from_pydict({**nothing, "bucket": pa.array([bucket], pa.int64())} | {c: v if c == "base" else pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in new.items()})
         for x in range(0, len(first), PART):
             y = min(x + PART, len(first))
             ids = [flat[at[x] : at[y]] for flat, at in ((a, from_a), (b, from_b))]
-            unit = np.concatenate((np.repeat(2 * k[x:y], n_a[x:y]), np.repeat(2 * k[x:y] + 1, n_b[x:y])))
-            size = np.concatenate((tool.size_a[ids[0]], tool.size_b[ids[1]])).astype(np.int16)
-            yield row(base=pa.array([x], pa.int32()), n=pa.array(n[x:y]), unit=pa.array(unit), id=pa.array(np.concatenate(ids)), size=pa.array(size))
+            turns = np.stack((n_a[x:y], n_b[x:y]), axis=1).ravel()  # A's and B's tokens of a stretch follow each other: nearly the order of what comes
+            first_of = np.cumsum(turns) - turns
+            token = np.repeat(np.arange(len(turns)), turns) * LENGTH
+            for side, known in enumerate((tool.size_a, tool.size_b)):
+                token[spread(first_of[side::2], turns[side::2])] += known[ids[side]]
+            token *= VOCABULARY
+            for side in (0, 1):
+                token[spread(first_of[side::2], turns[side::2])] += ids[side]
+            yield row(base=pa.array([x], pa.int32()), n=pa.array(n[x:y]), token=pa.array(token))
         docs, x = pa.concat_arrays(self.ids), 0
         while x < len(docs):
             y = max(x + 1, int(np.searchsorted(bounds, bounds[x] + 8 * PART, "right")) - 1)
-            lists = pa.ListArray.from_arrays(pa.array((bounds[x : y + 1] - bounds[x]).astype(np.int32)), pa.array(place[bounds[x] : bounds[y]].astype(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array((bounds[x : y + 1] - bounds[x]).astype(np.int32)), pa.array(place[bounds[x] : bounds[y]]))
             yield row(doc_ids=docs[x:y], places=lists)
             x = y
 
 
 def cut_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """bucket and either base, n, unit, id, size (stretches from number ``base`` on) or doc_ids, places (texts); staged.
+    """bucket and either base, n, token (stretches from number ``base`` on) or doc_ids, places (texts); staged.
 
-    ``n`` are the places of each stretch, ``unit``, ``id`` and ``size`` its tokens, the number
-    of a stretch being doubled and one more for B; ``places`` are the texts as stretches.
+    ``n`` are the places of each stretch, ``token`` its tokens: unit, length and id in one number,
+    a unit being the number of a stretch after ``base``, doubled and one more for B.  ``places``
+    are the texts as stretches.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("alignment", pair.cache_clear)
-        tool, bucket, held = pair(path_a, path_b), TaskContext.get().partitionId() << 32, Batch()
+        tool, bucket = pair(path_a, path_b), TaskContext.get().partitionId() << 32
+        held = Batch(tool.beside)
         for whole in batches:
             for batch in slices(whole, "text", CUT):
                 held.add(batch.column("doc_id"), batch.column("text"))
                 if held.size >= TOGETHER:
                     yield from held.rows(bucket, tool)
-                    bucket, held = bucket + 1, Batch()
+                    bucket, held = bucket + 1, Batch(tool.beside)
         if held.ids:
             yield from held.rows(bucket, tool)
 
-    schema = "bucket long, base int, n array<int>, unit array<int>, id array<int>, size array<smallint>, doc_ids array<long>, places array<array<int>>"
+    schema = "bucket long, base int, n array<int>, token array<long>, doc_ids array<long>, places array<array<int>>"
     return bucketed(in_arrow(rows, run, schema), 4 * docs.rdd.getNumPartitions(), "texts")
 
 
@@ -275,6 +334,8 @@ def bucketed(df: DataFrame, n: int, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, in files by ``bucket`` that readers need not shuffle."""
     spark, table = df.sparkSession, f"vellum_{name}_{uuid.uuid4().hex}"
     writer = df.write.format("parquet").option("compression", "zstd").option("path", new_folder(spark, name))
+    # numbers in order: their differences are packed; dictionaries would be filled and then given up
+    writer = writer.option("parquet.enable.dictionary", "false").option("parquet.writer.version", "v2")
     writer.bucketBy(max(1, min(n, 100_000)), "bucket").saveAsTable(table)
     return spark.table(table)
 
@@ -282,19 +343,21 @@ def bucketed(df: DataFrame, n: int, name: str) -> DataFrame:
 def unit_links(batches: DataFrame) -> DataFrame:
     """bucket, k, end, group, a, b, a_ends, b_ends, n: a row a link of each stretch k, its groups numbered from its end."""
     dealt = batches.filter("base is not null")
-    token = F.posexplode(F.arrays_zip("unit", "id", "size")).alias("at", "t")
-    places = F.element_at("n", F.shiftright("t.unit", 1) - F.col("base") + 1).cast("long")
-    # the id and the places of its stretch share a column: rows are sorted several times
-    tokens = dealt.select("bucket", "base", "n", token).select("bucket", "t.unit", "at", (places * VOCABULARY + F.col("t.id")).alias("x"), "t.size")
+    running = lambda *order: Window.partitionBy(*order[:-1]).orderBy(order[-1]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the id and the places of its stretch share a column: rows are sorted twice, and come almost in order
+    unit = F.expr(f"cast(token div {LENGTH * VOCABULARY} as int)")
+    tokens = dealt.select("bucket", "base", "n", F.posexplode("token").alias("at", "token")).select("bucket", "at", (unit + 2 * F.col("base")).alias("unit"), (F.get("n", F.shiftright(unit, 1)).cast("long") * VOCABULARY + F.col("token") % VOCABULARY).alias("x"), F.expr(f"token div {VOCABULARY} % {LENGTH}").alias("size"))
     tokens = tokens.filter(F.col("x") >= VOCABULARY)  # the others are in altered texts only
-    ends = tokens.select("bucket", "unit", "x", F.sum("size").over(Window.partitionBy("bucket", "unit").orderBy("at")).alias("end"))
-    ends = ends.select("bucket", F.shiftright("unit", 1).alias("k"), (F.col("unit") % 2).alias("side"), (F.col("x") % VOCABULARY).cast("int").alias("id"), F.expr(f"x div {VOCABULARY}").alias("n"), "end")
-    of = lambda side, name: F.max(F.when(F.col("side") == side, F.col("id"))).alias(name)  # noqa: E731  one token at most
-    met = ends.groupBy(*UNIT, "end").agg(of(0, "a"), of(1, "b"), F.max("n").alias("n"))
-    back = Window.partitionBy(*UNIT).orderBy(F.desc("end"))  # from the last end on, a running frame sees the token that covers a place
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
-    cover = lambda c: F.last(c, ignorenulls=True).over(back).alias(c)
-    return met.select(*UNIT, F.col("end").cast("int").alias("end"), F.sum(cut.cast("int")).over(back).cast("int").alias("group"), cover("a"), cover("b"), F.col("a").isNotNull().alias("a_ends"), F.col("b").isNotNull().alias("b_ends"), "n")
+    ends = tokens.select("bucket", "unit", "x", F.sum("size").over(running("bucket", "unit", "at")).cast("int").alias("end"))
+    ends = ends.select("bucket", F.shiftright("unit", 1).alias("k"), (F.col("unit") % 2 == 0).alias("of_a"), "x", "end")
+    back = running(*UNIT, F.desc("end"))  # from the last end on; the later row of an end, with both sides seen, has the tokens that cover a place
+    there = Window.partitionBy(*UNIT).orderBy(F.desc("end"))
+    cover = lambda own: F.last(F.when(own, (F.col("x") % VOCABULARY).cast("int")), ignorenulls=True).over(back)
+    cuts = F.row_number().over(there) - F.dense_rank().over(there)  # rows less ends: the ends that both sides have
+    met = ends.select(*UNIT, "end", cuts.alias("group"), cover(F.col("of_a")).alias("a"), cover(~F.col("of_a")).alias("b"), "of_a", F.lag("end").over(there).alias("before"), F.lead("end").over(there).alias("after"), F.expr(f"x div {VOCABULARY}").alias("n"))
+    both = F.col("before").eqNullSafe(F.col("end"))
+    once = met.filter(~F.col("after").eqNullSafe(F.col("end")))  # one row an end
+    return once.select(*UNIT, "end", "group", "a", "b", (F.col("of_a") | both).alias("a_ends"), (~F.col("of_a") | both).alias("b_ends"), "n")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -350,11 +413,14 @@ def text_results(found: Alignment) -> DataFrame:
 
 def assembled(left: pa.Table, right: pa.Table) -> pa.Table:
     """The texts of one batch with the statistics and groups of their stretches."""
-    order = np.lexsort((right.column("end").to_numpy(), right.column("k").to_numpy()))
-    t = {c: right.column(c).to_numpy()[order] for c in right.column_names[1:]}
+    t = {c: right.column(c).to_numpy() for c in right.column_names[1:]}
+    place = (t["k"].astype(np.int64) << 32) - t["end"]
+    # links are written by stretch and from the last end on: mostly they only have to be turned round
+    order = slice(None, None, -1) if (place[1:] > place[:-1]).all() else np.argsort(place)[::-1]
+    t = {c: v[order] for c, v in t.items()}
     first = np.flatnonzero(np.diff(t["k"], prepend=-1))
     groups = _groups(t, first)
-    whole = {"n_a": t["a_ends"], "n_b": t["b_ends"], "n_groups": t["a_ends"] & t["b_ends"], "n_links": np.ones(len(order), bool), "n_best": t["best"], "count_sum": t["pair_n"]}
+    whole = {"n_a": t["a_ends"], "n_b": t["b_ends"], "n_groups": t["a_ends"] & t["b_ends"], "n_links": np.ones(len(place), bool), "n_best": t["best"], "count_sum": t["pair_n"]}
     stats = {c: np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for c, v in whole.items()}
     k = t["k"][first]
     at = np.zeros(int(k.max(initial=-1)) + 1, np.int64)
