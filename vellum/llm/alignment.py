@@ -49,7 +49,7 @@ from .staging import new_folder, sendable, stage
 from .units import _BLANK_END, UnitTable, buffers, hashes, spread, texts_of
 
 #: Bytes of text whose distinct stretches go into one row, and those that are cut at a time.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 CUT = 2 << 20
 #: Stretches in a row, and those that the libraries get at a time.
 PART = 1 << 16
@@ -276,6 +276,9 @@ class Batch:
         first, same = distinct(one, two)
         place, lengths = same.astype(np.int32)[np.concatenate(self.places)], np.concatenate(self.lengths)
         (a, n_a), (b, n_b) = tool.encode(one[first], two[first], [self.raw[k] for k in first.tolist()])
+        docs = pa.concat_arrays(self.ids)
+        self.__init__(self.beside)  # its bytes are not needed while rows are made
+        del one, two, same
         owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         whole = np.ones(len(lengths), bool)
         whole[owner[n_a[place] == 0]] = False  # a text with a stretch that is not given back
@@ -296,7 +299,7 @@ class Batch:
             for side in (0, 1):
                 token[spread(first_of[side::2], turns[side::2])] += ids[side]
             yield row(base=pa.array([x], pa.int32()), n=pa.array(n[x:y]), token=pa.array(token))
-        docs, x = pa.concat_arrays(self.ids), 0
+        x = 0
         while x < len(docs):
             y = max(x + 1, int(np.searchsorted(bounds, bounds[x] + 8 * PART, "right")) - 1)
             lists = pa.ListArray.from_arrays(pa.array((bounds[x : y + 1] - bounds[x]).astype(np.int32)), pa.array(place[bounds[x] : bounds[y]]))
